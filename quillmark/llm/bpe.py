@@ -21,7 +21,7 @@ from .common import map_rows
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"""
 #: Bounds of what a Python worker keeps: words with their ids, longest such word, trie nodes, judged token pairs. Beyond
 #: them it starts anew, which changes no result.
-KEPT_WORDS, KEPT_LENGTH, KEPT_NODES, KEPT_PAIRS = 150_000, 64, 400_000, 400_000
+KEPT_WORDS, KEPT_LENGTH, KEPT_NODES, KEPT_PAIRS = 120_000, 64, 300_000, 250_000
 
 
 def byte_chars() -> dict[str, int]:
@@ -150,6 +150,12 @@ def encoder(text: str) -> Encoder:
     return Encoder(Vocabulary(text))
 
 
+@lru_cache(maxsize=2)
+def decoder(text: str) -> dict[int, bytes]:
+    """Each id's bytes, once for each Python worker; decoding needs no more of the vocabulary."""
+    return Vocabulary(text).bytes
+
+
 def vocabulary_text(path: str) -> str:
     """The vocabulary file, read on the driver; its size (1.6 MB) does not depend on the data."""
     with open(path, encoding="utf-8") as file:
@@ -180,7 +186,7 @@ def bpe_decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame
     shared = encoded.sparkSession.sparkContext.broadcast(vocabulary_text(path))
 
     def step(rows: Iterator[tuple]) -> Iterator[tuple]:
-        token = encoder(shared.value).v.bytes.__getitem__
+        token = decoder(shared.value).__getitem__
         for key, ids in rows:
             numbers = array("I")
             numbers.frombytes(ids or b"")

@@ -62,10 +62,8 @@ def fingerprints(docs: DataFrame, words_each: int = 3, id_col: str = "doc_id", t
 class BKTree:
     """Nodes are (value, children by distance)."""
 
-    def __init__(self, values: list[int]):
+    def __init__(self) -> None:
         self.root: tuple[int, dict] | None = None
-        for value in values:
-            self.insert(value)
 
     def insert(self, value: int) -> None:
         if self.root is None:
@@ -78,18 +76,17 @@ class BKTree:
                 return
             node = child
 
-    def within(self, value: int, radius: int) -> list[int]:
+    def within(self, value: int, radius: int) -> Iterator[int]:
         """The tree's values at most radius away; a subtree is entered only if its edge can hold one."""
-        found, todo = [], [self.root] if self.root else []
+        todo = [self.root] if self.root else []
         while todo:
             own, children = todo.pop()
             distance = (own ^ value).bit_count()
             if distance <= radius:
-                found.append(own)
+                yield own
             for edge in range(max(1, distance - radius), distance + radius + 1):
                 if (child := children.get(edge)) is not None:
                     todo.append(child)
-        return found
 
 
 class Forest:
@@ -116,42 +113,46 @@ class Forest:
 
 
 def block_keys(fp: Column, radius: int) -> list[Column]:
-    """One key for each of radius + 1 blocks: the block's number above its bits."""
+    """One key for each of radius + 1 blocks of a 64-bit fingerprint: the block's bits above its number."""
     bounds = [64 * i // (radius + 1) for i in range(radius + 2)]
     return [F.shiftrightunsigned(fp, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)) * F.lit(radius + 1) + F.lit(i) for i, (lo, hi) in enumerate(zip(bounds, bounds[1:], strict=False))]
 
 
-def links(distinct: DataFrame, radius: int = 2, tree_size: int = TREE_SIZE) -> DataFrame:
-    """Edges (a, b) with b < a between distinct fingerprints (column fp): a spanning forest of what each bucket links."""
-    spread = distinct.select("fp", F.explode(F.array(*block_keys(F.col("fp"), radius))).alias("bucket"))
-    sizes = spread.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+def links(nodes: DataFrame, radius: int = 2, slack: int = 0, tree_size: int = TREE_SIZE) -> DataFrame:
+    """Edges (a, b) with b < a between nodes (columns node long, bits binary, buckets array<long>): a spanning forest of the links
+    that each bucket finds.
+
+    Nodes of one bucket at most radius bits apart end up connected. With slack, a node that close to a tree's value is linked to
+    it and not inserted, and the search goes 2 * slack further, so that large groups of near copies stay cheap; then nodes up to
+    radius + 2 * slack apart may be connected too.
+    """
+    reach = radius + 2 * slack
+    spread = nodes.select("node", "bits", F.explode("buckets").alias("bucket"))
+    sizes = nodes.select(F.explode("buckets").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     shards = F.ceil(F.col("n") / F.lit(tree_size)).cast("int")
-    kept = spread.join(sizes, "bucket").select("fp", "bucket", shards.alias("shards")).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("shards")).cast("int"))
+    kept = spread.join(sizes, "bucket").select("node", "bits", "bucket", shards.alias("shards")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("shards")).cast("int"))
     # The tree of a shard is built beside each of the bucket's chunks of queries. A chunk holds what the shard of its number
     # holds, so where the two are the same the members are the queries.
     every = F.sequence(F.lit(0), F.col("shards") - 1)
     place = lambda shard, chunk, query: F.struct(shard.alias("shard"), chunk.alias("chunk"), F.lit(query).alias("query"))
     members = F.transform(every, lambda i: place(F.col("own"), i, 0))
     queries = F.transform(F.filter(every, lambda i: i != F.col("own")), lambda i: place(i, F.col("own"), 1))
-    sent = kept.select("bucket", "fp", F.explode(F.concat(members, queries)).alias("at")).select("bucket", "at.shard", "at.chunk", "at.query", "fp")
-    dealt = sent.repartition("bucket", "shard", "chunk").sortWithinPartitions("bucket", "shard", "chunk", "query")
+    sent = kept.select("bucket", "node", "bits", F.explode(F.concat(members, queries)).alias("at")).select("bucket", "at.shard", "at.chunk", "at.query", "node", "bits")
+    dealt = sent.repartition("bucket", "shard", "chunk").sortWithinPartitions("bucket", "shard", "chunk", "query", "node")
 
     def step(rows: Iterator[tuple]) -> Iterator[tuple]:
         for (_, shard, chunk), group in groupby(rows, itemgetter(0, 1, 2)):
-            tree, own, linked = BKTree([]), [], Forest()
-            for *_, query, fp in group:
-                fp &= (1 << 64) - 1
-                if not query:
-                    tree.insert(fp)
-                    own.append(fp)
-                    continue
-                for other in tree.within(fp, radius):
-                    linked.link(fp, other)
-            for fp in own if shard == chunk else ():
-                for other in tree.within(fp, radius):
-                    linked.link(fp, other)
-            for a, b in linked.edges():
-                yield a - (a >> 63 << 64), b - (b >> 63 << 64)
+            tree, owner, linked = BKTree(), {}, Forest()
+            for *_, query, node, bits in group:
+                value = int.from_bytes(bits, "big")
+                near = value if value in owner else next(tree.within(value, slack), None) if slack else None
+                if query or shard == chunk:
+                    for other in (near,) if near is not None else tree.within(value, reach):
+                        linked.link(node, owner[other])
+                if near is None and not query:
+                    tree.insert(value)
+                    owner[value] = node
+            yield from linked.edges()
 
     return map_rows(dealt, "a long, b long", step)
 
@@ -189,9 +190,111 @@ def near_duplicates(docs: DataFrame, words_each: int = 3, radius: int = 2, tree_
     """
     marked = written(fingerprints(docs, words_each, id_col, text_col), "fingerprints")
     distinct = written(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    joined = components(links(distinct, radius, tree_size))
+    nodes = distinct.select(F.col("fp").alias("node"), F.unhex(F.lpad(F.hex("fp"), 16, "0")).alias("bits"), F.array(*block_keys(F.col("fp"), radius)).alias("buckets"))
+    joined = components(links(nodes, radius, tree_size=tree_size))
     # fp -> component root (itself where unlinked) -> smallest doc_id below that root
     rooted = distinct.join(joined, distinct.fp == joined.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     linked = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = rooted.select("fp", "root").join(linked, "root").select("fp", "component_id")
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
+
+
+#: Fingerprints of near copies: tables of blocks, bits of a block, bits that near copies differ in at most, and slack.
+TABLES, BLOCK_BITS, NEAR, SLACK = 20, 24, 56, 24
+#: Texts of one candidate group that one task compares at first.
+GROUP = 8192
+
+
+def wide_fingerprint(data: bytes) -> bytes:
+    """SimHash of TABLES * BLOCK_BITS bits over the distinct words of a text, which few edits change little."""
+    words = set(data.lower().split()) or {b""}
+    seeds = range(-(-TABLES * BLOCK_BITS // 128))
+    counts = np.zeros(128 * len(seeds), np.int64)
+    todo = iter(words)
+    while part := list(islice(todo, 4096)):
+        raw = b"".join(xxhash.xxh3_128_digest(w, s) for w in part for s in seeds)
+        counts += np.unpackbits(np.frombuffer(raw, np.uint8).reshape(len(part), -1), axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * counts[: TABLES * BLOCK_BITS] > len(words)).tobytes()
+
+
+def shingle_hashes(data: bytes, words_each: int) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the shingles of lower-cased words; of fewer words, of the whole sequence."""
+    words = data.lower().split()
+    text = b" ".join(words)
+    ends = np.cumsum([len(w) + 1 for w in words]).tolist()
+    starts = [0, *ends[:-1]] if words else [0]
+    n = max(1, len(words) - words_each + 1)
+    last = [*ends[words_each - 1 :], len(text) + 1][:n]
+    return np.unique(np.array([xxhash.xxh3_64_intdigest(text[a : b - 1]) for a, b in zip(starts, last, strict=False)], np.uint64))
+
+
+class Leaders:
+    """Sets of shingles no two of which are alike; each new set joins the first leader it is like, or leads itself."""
+
+    def __init__(self, least: float):
+        self.least, self.sets, self.names, self.index = least, [], [], {}
+
+    def place(self, name: int, shingles: set[int]) -> int:
+        # a set this alike shares at least one of any (1 - least) * size + 1 shingles; those few leaders have are tried
+        tried = int((1 - self.least) * len(shingles) + 1e-9) + 1
+        rare = sorted(shingles, key=lambda x: len(self.index.get(x, ())))[:tried]
+        for i in sorted({i for x in rare for i in self.index.get(x, ())}):
+            shared = len(shingles & self.sets[i])
+            if shared >= self.least * (len(shingles) + len(self.sets[i]) - shared) - 1e-9:
+                return self.names[i]
+        for x in shingles:
+            self.index.setdefault(x, []).append(len(self.sets))
+        self.sets.append(shingles)
+        self.names.append(name)
+        return name
+
+
+def near_copies(docs: DataFrame, words_each: int = 5, least: float = 0.8, group: int = GROUP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, leader) of the documents that repeat an earlier one, so that one document of each group stays.
+
+    Documents of equal text repeat the one with the smallest id. Of the other texts, wide fingerprints that agree in a block go
+    to shard trees; fingerprints within the radius make candidate groups. In each the exact Jaccard similarity of shingle sets
+    decides: in order of id, a text that is alike (at least least) to a kept one goes, any other is kept. A group of more than
+    group texts is dealt out, and what stays of each part is compared again; there, a leader may have gone for another one.
+
+    Null texts count as empty. Null ids are neither dropped nor leaders. Repeated rows of one id are one document here. An empty
+    table gives no rows.
+    """
+    key, data = F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit("")).cast("binary")
+    rows = docs.where(key.isNotNull()).select(key.alias("doc_id"), F.xxhash64(data).alias("h"), F.md5(data).alias("m"), data.alias("data"))
+
+    def mark(rows: Iterator[tuple]) -> Iterator[tuple]:
+        for doc, h, m, data in rows:
+            yield doc, h, m, wide_fingerprint(data)
+
+    marked = written(map_rows(rows, "doc_id long, h long, m string, bits binary", mark), "marks")
+    firsts = marked.groupBy("h", "m").agg(F.min("doc_id").alias("leader"))
+    copies = marked.join(firsts, ["h", "m"]).select("doc_id", "leader", "bits")
+    copies = written(copies, "copies")
+    block = lambda i: F.conv(F.substring(F.hex("bits"), i * BLOCK_BITS // 4 + 1, BLOCK_BITS // 4), 16, 10).cast("long") * F.lit(TABLES) + F.lit(i)
+    own = copies.where("doc_id = leader").dropDuplicates(["doc_id"])
+    groups = components(links(own.select(F.col("doc_id").alias("node"), "bits", F.array(*map(block, range(TABLES))).alias("buckets")), NEAR, SLACK))
+    sizes = groups.groupBy("root").agg((F.count("*") + 1).alias("n"))
+    members = groups.select(F.col("node").alias("doc_id"), "root").union(sizes.select(F.col("root").alias("doc_id"), "root"))
+    members = members.join(sizes, "root").select("doc_id", "root", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / F.lit(group))).alias("part"))
+    members = written(members, "members")
+
+    def shingles(rows: Iterator[tuple]) -> Iterator[tuple]:
+        for doc, root, part, data in rows:
+            yield root, part, doc, shingle_hashes(data, words_each).tobytes()
+
+    def lead(rows: Iterator[tuple]) -> Iterator[tuple]:
+        for (root, _), texts in groupby(rows, itemgetter(0, 1)):
+            leaders = Leaders(least)
+            for _, _, doc, own in texts:
+                leader = leaders.place(doc, set(np.frombuffer(own, np.uint64).tolist()))
+                yield root, doc, leader, own if leader == doc else b""
+
+    texts = rows.select("doc_id", "data").join(members, "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "root", "part", "data")
+    sets = map_rows(texts, "root long, part long, doc_id long, shingles binary", shingles)
+    placed = lambda df: map_rows(df.repartition("root", "part").sortWithinPartitions("root", "part", "doc_id"), "root long, doc_id long, leader long, shingles binary", lead)
+    once = written(placed(sets), "leaders")
+    gone = once.where("doc_id != leader").select("doc_id", "leader")
+    split = members.groupBy("root").agg(F.max("part").alias("parts")).where("parts > 0").select("root")
+    again = placed(once.where("doc_id = leader").join(split, "root").select("root", F.lit(0).cast("long").alias("part"), "doc_id", "shingles"))
+    return copies.where("doc_id != leader").select("doc_id", "leader").union(gone).union(again.where("doc_id != leader").select("doc_id", "leader"))

@@ -110,6 +110,45 @@ def test_simhash(docs, rows):
         assert {r.doc_id: r.component_id for r in got} == root
 
 
+def nodes(spark, signed):
+    frame = spark.createDataFrame([(v, (v & (1 << 64) - 1).to_bytes(8, "big")) for v in signed], "node long, bits binary")
+    return frame.withColumn("buckets", F.array(*simhash.block_keys(F.col("node"), 2)))
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b)
+
+
+@pytest.mark.parametrize("group", [8192, 3])
+def test_near_copies(spark, group):
+    r = random.Random(3)
+    texts, base = {}, []
+    for i in range(12):
+        words = [f"w{r.randint(0, 3000)}" for _ in range(200)]
+        base.append(i * 10)
+        texts[i * 10] = " ".join(words)
+        for j in range(1, 6):
+            own = list(words)
+            for _ in range(r.randint(0, 3) if j < 5 else 60):
+                own[r.randrange(200)] = f"e{r.randint(0, 9999)}"
+            texts[i * 10 + j] = " ".join(own)
+    texts |= {900: "", 901: " ", 902: "tiny text", 903: "Tiny TEXT", 904: "other"}
+    frame = spark.createDataFrame([*texts.items(), (None, texts[0]), (0, texts[0]), (905, None)], "doc_id long, text string")
+    gone = {x.doc_id: x.leader for x in simhash.near_copies(frame, group=group).collect()}
+    sets = {d: set(simhash.shingle_hashes(t.encode(), 5).tolist()) for d, t in texts.items()} | {905: sets_of_nothing()}
+    kept = set(sets) - set(gone)
+    if group == 8192:
+        for d, leader in gone.items():
+            assert leader in kept and leader < d and jaccard(sets[d], sets[leader]) >= 0.8
+    pairs = [(a, b) for a in kept for b in kept if a < b and jaccard(sets[a], sets[b]) >= 0.8]
+    assert pairs == [] and set(base) <= kept and {5 + 10 * i for i in range(12)} <= kept
+    assert {900, 902, 904} <= kept and not {901, 903, 905} & kept
+
+
+def sets_of_nothing():
+    return set(simhash.shingle_hashes(b"", 5).tolist())
+
+
 def test_simhash_chains(spark):
     r = random.Random(4)
     values = [r.getrandbits(64) for _ in range(40)]
@@ -123,7 +162,7 @@ def test_simhash_chains(spark):
     signed = [v - (v >> 63 << 64) for v in values]
     place = {v: i for i, v in enumerate(signed)}
     for size in (20_000, 7):
-        edges = simhash.components(simhash.links(spark.createDataFrame([(v,) for v in signed], "fp long"), 2, size)).collect()
+        edges = simhash.components(simhash.links(nodes(spark, signed), 2, tree_size=size)).collect()
         group = {i: {i} for i in place.values()}
         for node, root in edges:
             a, b = group[place[node]], group[place[root]]
