@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -72,14 +73,31 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
     The tables stay until clear_work() or until the folder's owner removes them.
     """
-    spark = df.sparkSession
-    path = f"{work_folder(spark)}/quillmark/{name}-{uuid.uuid4().hex}"
+    return kept_until(df, name)[0]
+
+
+def _written_to(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def kept_until(df: DataFrame, name: str) -> tuple[DataFrame, Callable[[], None]]:
+    """written(), and a function that removes the table once no frame that will still be computed reads it."""
+    spark, path = df.sparkSession, f"{work_folder(df.sparkSession)}/quillmark/{name}-{uuid.uuid4().hex}"
+    return _written_to(df, path), lambda: _remove(spark, path)
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner remove the shuffle files of finished steps now and not when the driver happens to collect garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def clear_work(spark: SparkSession) -> None:
     """Removes what written() has left; frames that read it can't be used afterwards."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{work_folder(spark)}/quillmark")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _remove(spark, f"{work_folder(spark)}/quillmark")

@@ -1,7 +1,7 @@
 """Substring dedup on a compacted De Bruijn graph of words.
 
-Windows of 13 words are the edges of the graph. Consecutive windows that share a minimizer (the first of the 4-word runs they
-contain, in a fixed order) are a nonbranching path inside one document, and equal windows have equal minimizers, so the graph
+Windows of 13 words are the edges of the graph. Consecutive windows that share a minimizer (the least hash of the 4-word runs they
+contain) are a nonbranching path inside one document, and equal windows have equal minimizers, so the graph
 can be built in pieces by minimizer:
 
 1. Minimizers that two different texts contain are found; a bit set of fixed size made from them only spares work later.
@@ -10,7 +10,7 @@ can be built in pieces by minimizer:
 3. A path met again in a later document repeats as a whole. Where a minimizer has paths of different content, the graph
    branches; the paths' first sources are opened into single windows there, and these are matched in the same way.
 
-A minimizer (58 bits, 6 more for a length) and a 64-bit digest of the words at the source coordinates must both agree, so equal
+A minimizer's 64-bit hash and a 64-bit digest of the words at the source coordinates must both agree, so equal
 digests of different words play no part at any size of corpus. Hot paths are pre-aggregated before the shuffle and their join is
 left to Spark's skew handling; a document's own spans are bounded by its length.
 """
@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, written
+from .common import kept_until, map_rows, release, written
 
 #: Words of a window, words of a minimizer, longest path in windows.
 WINDOW, MINI, PATH = 13, 4, 64
@@ -37,19 +37,17 @@ _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9,
 
 
 def minimizers(words: list[bytes]) -> np.ndarray:
-    """For each window its minimizer: among its 4-word runs the longest in bytes, of these the one with the least hash."""
+    """For each window its minimizer: the least hash of its 4-word runs."""
     n = len(words)
     if n < WINDOW:
         return np.zeros(0, np.uint64)
     hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, n)
-    lengths = np.fromiter(map(len, words), np.int64, n)
-    runs, size = n - MINI + 1, np.zeros(n - MINI + 1, np.int64)
+    runs = n - MINI + 1
     mixed = np.zeros(runs, np.uint64)
     for j in range(MINI):
         mixed = (mixed ^ hashes[j : j + runs]) * _FACTORS[j]
         mixed ^= mixed >> np.uint64(29)
-        size += lengths[j : j + runs]
-    best = mixed >> np.uint64(6) | (63 - np.minimum(size, 63)).astype(np.uint64) << np.uint64(58)
+    best = mixed
     span, need = 1, WINDOW - MINI + 1
     while span < need:
         step = min(span, need - span)
@@ -107,6 +105,8 @@ def repeated_spans(docs: DataFrame, set_bits: int = SET_BITS) -> DataFrame:
     held = map_rows(docs, "mini long, h long", seen)
     repeated = held.groupBy("mini").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo < hi").select("mini")
     flags = spark.sparkContext.broadcast(_bit_set(repeated, set_bits))
+    del held, repeated
+    release(spark)
 
     def cut(rows: Iterator[tuple]) -> Iterator[tuple]:
         kept, digest = flags.value, xxhash.xxh3_64_intdigest
@@ -126,13 +126,16 @@ def repeated_spans(docs: DataFrame, set_bits: int = SET_BITS) -> DataFrame:
                 each = np.array([digest(text[begins[j] : begins[j + WINDOW] - 1]) for j in range(a, b)], np.uint64)
                 yield _signed(int(best[a])), _signed(digest(text[begins[a] : begins[b + WINDOW - 1] - 1])), doc, a, b - a, each.tobytes()
 
-    cuts = written(map_rows(docs, "mini long, path long, doc_id long, start int, n int, windows binary", cut), "paths")
+    cuts, done_with_cuts = kept_until(map_rows(docs, "mini long, path long, doc_id long, start int, n int, windows binary", cut), "paths")
     contents = cuts.groupBy("mini", "path").agg(F.min("doc_id").alias("first"))
     branches = contents.groupBy("mini").agg((F.count("*") > 1).alias("branches"))
     compact = contents.join(branches, "mini")
     again = F.col("doc_id") > F.col("first")
     met = cuts.join(compact, ["mini", "path"]).where(again | F.col("branches"))
     met = written(met.select("mini", "doc_id", "start", "n", F.when(~again, F.col("windows")).alias("windows")), "met")
+    del cuts, contents, branches, compact
+    done_with_cuts()
+    release(spark)
 
     def opened(rows: Iterator[tuple]) -> Iterator[tuple]:
         for mini, doc, start, windows in rows:
@@ -140,10 +143,14 @@ def repeated_spans(docs: DataFrame, set_bits: int = SET_BITS) -> DataFrame:
                 yield mini, one, doc, start + j
 
     single = map_rows(met.where("windows is not null").select("mini", "doc_id", "start", "windows"), "mini long, one long, doc_id long, start int", opened)
-    single = written(single, "windows")
+    single, done_with_single = kept_until(single, "windows")
     least = single.groupBy("mini", "one").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("mini", "one", "first")
     branched = single.join(least, ["mini", "one"]).where("doc_id > first").select("doc_id", "start", F.lit(1).alias("n"))
-    return met.where("windows is null").select("doc_id", "start", "n").union(branched)
+    spans = written(met.where("windows is null").select("doc_id", "start", "n").union(branched), "spans")
+    del single, least, branched, met
+    done_with_single()
+    release(spark)
+    return spans
 
 
 def remove_repeats(docs: DataFrame, set_bits: int = SET_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
