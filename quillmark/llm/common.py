@@ -20,6 +20,7 @@ ARROW = {
     "array<long>": pa.list_(pa.int64()),
     "array<int>": pa.list_(pa.int32()),
     "array<string>": pa.list_(pa.string()),
+    "array<binary>": pa.list_(pa.binary()),
 }
 #: Rows taken from an Arrow batch at a time, and rows and bytes after which an output batch is handed on.
 TAKE_ROWS, GIVE_ROWS, GIVE_BYTES = 64, 2048, 8_000_000
@@ -43,7 +44,7 @@ def given(rows: Iterable[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     size = 0
     for row in rows:
         held.append(row)
-        size += sum(len(x) for x in row if isinstance(x, str | bytes | list))
+        size += sum(len(x) if not isinstance(x, list) else 16 * len(x) for x in row if isinstance(x, str | bytes | list))
         if len(held) >= GIVE_ROWS or size >= GIVE_BYTES:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), schema.types, strict=True)], schema=schema)
             held, size = [], 0
