@@ -43,9 +43,13 @@ def index_vectors() -> tuple[np.ndarray, np.ndarray]:
     return random.integers(0, DIM, (n, PLACES)), random.choice([-1, 1], (n, PLACES))
 
 
+#: The units of words that this Python worker has met; its tasks share them.
+_UNITS: dict[bytes, int] = {}
+
+
 def _streams(rows: Iterator[tuple]) -> Iterator[tuple]:
     """(key, word units, shape units) of each document."""
-    known: dict[bytes, int] = {}
+    known = _UNITS
     for key, data in rows:
         words = (data or b"").split()
         if len(known) > KEPT_WORDS:
