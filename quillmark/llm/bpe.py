@@ -21,7 +21,9 @@ from .common import map_rows
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"""
 #: Bounds of what a Python worker keeps: words with their ids, longest such word, trie nodes, judged token pairs. Beyond
 #: them it starts anew, which changes no result.
-KEPT_WORDS, KEPT_LENGTH, KEPT_NODES, KEPT_PAIRS = 120_000, 64, 300_000, 250_000
+KEPT_WORDS, KEPT_LENGTH, KEPT_NODES, KEPT_PAIRS = 150_000, 64, 500_000, 250_000
+#: Characters of the texts whose words are learned together.
+BATCH = 500_000
 
 
 def byte_chars() -> dict[str, int]:
@@ -43,7 +45,9 @@ class Vocabulary:
         self.ids = {raw(s): i for s, i in ids.items()}
         pairs = (m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"])
         self.merges = {(ids[a], ids[b]): (rank, ids[a + b]) for rank, (a, b) in enumerate(pairs)}
-        self.ends = {t[k:] for t in self.ids for k in range(len(t))}
+        #: every ending of a token, with its id or -1 where it is no token itself
+        self.ends = {t[k:]: self.ids.get(t[k:], -1) for t in self.ids for k in range(len(t))}
+        self.sizes = {i: len(b) for i, b in self.bytes.items()}
         self.splitter = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) or r"(?!)")
 
     def merged(self, data: bytes) -> list[int]:
@@ -62,51 +66,60 @@ class PrefixTrie:
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.clear()
 
     def clear(self) -> None:
+        """Back to the root. path has the nodes of the word inserted last, where the next word's walk begins."""
         self.child: dict[int, int] = {}
-        self.last = [-1]
+        self.last = array("i", [-1])
+        self.word, self.path = b"", [0]
 
     def fits(self, left: int, right: int) -> bool:
         """Whether right follows left in an encoding (left -1: starts it): their bytes together encode as just those two."""
-        key = (left, right)
-        if (known := self.pairs.get(key)) is None:
-            if len(self.pairs) >= KEPT_PAIRS:
-                self.pairs.clear()
-            own = [right] if left < 0 else [left, right]
-            known = self.pairs[key] = self.v.merged(b"".join(self.v.bytes[i] for i in own)) == own
+        if len(self.pairs) >= KEPT_PAIRS:
+            self.pairs.clear()
+        own = [right] if left < 0 else [left, right]
+        known = self.pairs[left + 1 << 32 | right] = self.v.merged(b"".join(self.v.bytes[i] for i in own)) == own
         return known
 
     def propagate(self, word: bytes, end: int, path: list[int]) -> int:
         """The last token of word[:end]'s encoding, from the states of the nodes on its path."""
-        found, ends, ids = [], self.v.ends, self.v.ids
-        at = end - 1
-        while at >= 0 and (suffix := word[at:end]) in ends:
-            if suffix in ids:
-                found.append((at, ids[suffix]))
-            at -= 1
+        found, ending = [], self.v.ends.get
+        for at in range(end - 1, -1, -1):
+            if (token := ending(word[at:end])) is None:
+                break
+            if token >= 0:
+                found.append((at, token))
+        last, known = self.last, self.pairs.get
         for at, token in reversed(found):
-            if self.fits(self.last[path[at]], token):
+            left = last[path[at]]
+            if (fits := known(left + 1 << 32 | token)) is None:
+                fits = self.fits(left, token)
+            if fits:
                 return token
         raise ValueError("the vocabulary lacks a byte")
 
     def encode(self, word: bytes) -> list[int]:
-        """Inserts the word and reads its tokens backwards."""
-        path, node, child, last = [0], 0, self.child, self.last
-        for i, byte in enumerate(word):
-            key = node << 8 | byte
+        """Inserts the word and reads its tokens backwards. What it shares with the word before is not walked again."""
+        path, child, last = self.path, self.child, self.last
+        shared, most = 0, min(len(word), len(self.word))
+        while shared < most and word[shared] == self.word[shared]:
+            shared += 1
+        del path[shared + 1 :]
+        self.word, node = word, path[shared]
+        for i in range(shared, len(word)):
+            key = node << 8 | word[i]
             node = child.get(key, 0)
             if not node:
-                node = child[key] = len(last)
                 last.append(self.propagate(word, i + 1, path))
+                node = child[key] = len(last) - 1
             path.append(node)
-        out, at = [], len(word)
+        out, at, sizes = [], len(word), self.v.sizes
         while at:
             token = last[path[at]]
             out.append(token)
-            at -= len(self.v.bytes[token])
+            at -= sizes[token]
         out.reverse()
         if len(last) > KEPT_NODES:
             self.clear()
@@ -121,27 +134,39 @@ class Encoder:
         self.known: dict[str, bytes] = {}
         self.words = regex.compile(WORDS).findall
 
-    def packed(self, text: str) -> bytes:
-        """The ids of a text; a special token's string becomes its id."""
-        parts, at = [], 0
+    def cut(self, text: str) -> list[str | bytes]:
+        """The words of a text; a special token's string is its packed id."""
+        out, at = [], 0
         for m in self.v.splitter.finditer(text):
-            parts += [self.plain(text[at : m.start()]), self.v.special[m[0]].to_bytes(4, "little")]
+            out += self.words(text[at : m.start()])
+            out.append(self.v.special[m[0]].to_bytes(4, "little"))
             at = m.end()
-        parts.append(self.plain(text[at:] if at else text))
-        return b"".join(parts)
-
-    def plain(self, text: str) -> bytes:
-        """The ids of text without special tokens. Sorted, its new words visit the trie depth first."""
-        words, known, long = self.words(text), self.known, {}
-        if new := set(words).difference(known):
-            if len(known) + len(new) > KEPT_WORDS:
-                known.clear()
-                new = set(words)
-            for word in sorted(new):
-                (known if len(word) <= KEPT_LENGTH else long)[word] = array("I", self.trie.encode(word.encode())).tobytes()
-            if long:
-                return b"".join(long[w] if w in long else known[w] for w in words)
-        return b"".join(map(known.__getitem__, words))
+        return out + self.words(text[at:]) if at else self.words(text)
+
+    def learn(self, words: set[str | bytes]) -> list[str]:
+        """Brings all of words into known; returns the long ones, which are not to stay. Sorted, new words visit the trie depth first."""
+        known = self.known
+        if len(known) + len(new := words.difference(known)) > KEPT_WORDS:
+            known.clear()
+            new = words
+        ready = {w for w in new if isinstance(w, bytes)}
+        known.update(zip(ready, ready, strict=True))
+        encode = self.trie.encode
+        for word in sorted(new - ready):
+            known[word] = array("I", encode(word.encode())).tobytes()
+        return [w for w in new if len(w) > KEPT_LENGTH]
+
+    def packed(self, text: str) -> bytes:
+        return self.packed_all([text])[0]
+
+    def packed_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text. The new words of all texts are learned together."""
+        cut = [self.cut(text) for text in texts]
+        long = self.learn(set().union(*cut))
+        out = [b"".join(map(self.known.__getitem__, words)) for words in cut]
+        for word in long:
+            del self.known[word]
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -171,9 +196,16 @@ def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary_text(path))
 
     def step(rows: Iterator[tuple]) -> Iterator[tuple]:
-        packed = encoder(shared.value).packed
+        packed = encoder(shared.value).packed_all
+        keys, texts, size = [], [], 0
         for key, text in rows:
-            yield key, packed(text or "")
+            keys.append(key)
+            texts.append(text or "")
+            size += len(texts[-1])
+            if size >= BATCH:
+                yield from zip(keys, packed(texts), strict=True)
+                keys, texts, size = [], [], 0
+        yield from zip(keys, packed(texts), strict=True)
 
     return map_rows(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), "doc_id long, ids binary", step)
 
