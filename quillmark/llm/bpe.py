@@ -33,16 +33,22 @@ def byte_chars() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def token_bytes(spec: dict) -> dict[int, bytes]:
+    """Each id's bytes, of a vocabulary in the JSON form of the tokenizers library."""
+    of = byte_chars()
+    special = {x["id"]: x["content"].encode() for x in spec["added_tokens"]}
+    return {i: bytes(of[c] for c in s) for s, i in spec["model"]["vocab"].items() if i not in special} | special
+
+
 class Vocabulary:
     """A byte-level BPE vocabulary in the JSON form of the tokenizers library."""
 
     def __init__(self, text: str):
-        spec, of = json.loads(text), byte_chars()
-        raw = lambda s: bytes(of[c] for c in s)
+        spec = json.loads(text)
         ids = spec["model"]["vocab"]
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
-        self.bytes = {i: raw(s) for s, i in ids.items()} | {i: s.encode() for s, i in self.special.items()}
-        self.ids = {raw(s): i for s, i in ids.items()}
+        self.bytes = token_bytes(spec)
+        self.ids = {self.bytes[i]: i for i in ids.values()}
         pairs = (m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"])
         self.merges = {(ids[a], ids[b]): (rank, ids[a + b]) for rank, (a, b) in enumerate(pairs)}
         #: every ending of a token, with its id or -1 where it is no token itself
@@ -176,9 +182,10 @@ def encoder(text: str) -> Encoder:
 
 
 @lru_cache(maxsize=2)
-def decoder(text: str) -> dict[int, bytes]:
+def decoder(text: str) -> list[bytes | None]:
     """Each id's bytes, once for each Python worker; decoding needs no more of the vocabulary."""
-    return Vocabulary(text).bytes
+    known = token_bytes(json.loads(text))
+    return [known.get(i) for i in range(max(known) + 1)]
 
 
 def vocabulary_text(path: str) -> str:
