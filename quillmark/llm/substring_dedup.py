@@ -23,7 +23,7 @@ from operator import itemgetter
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import kept_until, map_rows, release, written
@@ -33,6 +33,8 @@ WINDOW, MINI, PATH = 13, 4, 64
 #: Bits of the set of repeated minimizers, as a power of two (2^27 bits: 16 MB), and bits of one of its rows. A full set spares
 #: nothing but loses nothing.
 SET_BITS, ROW_BITS = 27, 19
+#: Of _first_last(): whether one document comes after another one.
+SEVERAL = "first < last or (first is not null and unnamed)"
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
 
@@ -90,10 +92,20 @@ def _bit_set(repeated: DataFrame, bits: int) -> np.ndarray:
     return whole
 
 
+def _later() -> Column:
+    """Whether doc_id is larger than first, the smallest id that is not null; a null id is larger than any other."""
+    return F.coalesce(F.col("doc_id") > F.col("first"), F.col("first").isNotNull())
+
+
+def _first_last() -> list[Column]:
+    """The smallest and the largest id and whether one is null."""
+    return [F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.bool_or(F.col("doc_id").isNull()).alias("unnamed")]
+
+
 def repeated_spans(docs: DataFrame, set_bits: int = SET_BITS) -> DataFrame:
-    """doc_id, start, n: n consecutive windows from word start on, each of which also starts in a document with a smaller id.
+    """doc_id, h, start, n: n consecutive windows from word start on, each of which also starts in a document with a smaller id.
 
-    docs: doc_id (not null), h (64-bit text hash), data (UTF-8). Spans may touch or repeat.
+    docs: doc_id, h (64-bit text hash), data (UTF-8). Documents are told apart by doc_id and h. Spans may touch or repeat.
     """
     spark = docs.sparkSession
 
@@ -110,7 +122,7 @@ def repeated_spans(docs: DataFrame, set_bits: int = SET_BITS) -> DataFrame:
 
     def cut(rows: Iterator[tuple]) -> Iterator[tuple]:
         kept, digest = flags.value, xxhash.xxh3_64_intdigest
-        for doc, _, data in rows:
+        for doc, h, data in rows:
             words = data.split()
             best = minimizers(words)
             low = best & np.uint64((1 << set_bits) - 1)
@@ -124,29 +136,29 @@ def repeated_spans(docs: DataFrame, set_bits: int = SET_BITS) -> DataFrame:
             for i in chosen.tolist():
                 a, b = int(bounds[i]), int(bounds[i + 1])
                 each = np.array([digest(text[begins[j] : begins[j + WINDOW] - 1]) for j in range(a, b)], np.uint64)
-                yield _signed(int(best[a])), _signed(digest(text[begins[a] : begins[b + WINDOW - 1] - 1])), doc, a, b - a, each.tobytes()
+                yield _signed(int(best[a])), _signed(digest(text[begins[a] : begins[b + WINDOW - 1] - 1])), doc, h, a, b - a, each.tobytes()
 
-    cuts, done_with_cuts = kept_until(map_rows(docs, "mini long, path long, doc_id long, start int, n int, windows binary", cut), "paths")
+    cuts, done_with_cuts = kept_until(map_rows(docs, "mini long, path long, doc_id long, h long, start int, n int, windows binary", cut), "paths")
     contents = cuts.groupBy("mini", "path").agg(F.min("doc_id").alias("first"))
     branches = contents.groupBy("mini").agg((F.count("*") > 1).alias("branches"))
     compact = contents.join(branches, "mini")
-    again = F.col("doc_id") > F.col("first")
+    again = _later()
     met = cuts.join(compact, ["mini", "path"]).where(again | F.col("branches"))
-    met = written(met.select("mini", "doc_id", "start", "n", F.when(~again, F.col("windows")).alias("windows")), "met")
+    met = written(met.select("mini", "doc_id", "h", "start", "n", F.when(~again, F.col("windows")).alias("windows")), "met")
     del cuts, contents, branches, compact
     done_with_cuts()
     release(spark)
 
     def opened(rows: Iterator[tuple]) -> Iterator[tuple]:
-        for mini, doc, start, windows in rows:
+        for mini, doc, h, start, windows in rows:
             for j, one in enumerate(np.frombuffer(windows, np.int64).tolist()):
-                yield mini, one, doc, start + j
+                yield mini, one, doc, h, start + j
 
-    single = map_rows(met.where("windows is not null").select("mini", "doc_id", "start", "windows"), "mini long, one long, doc_id long, start int", opened)
+    single = map_rows(met.where("windows is not null").select("mini", "doc_id", "h", "start", "windows"), "mini long, one long, doc_id long, h long, start int", opened)
     single, done_with_single = kept_until(single, "windows")
-    least = single.groupBy("mini", "one").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("mini", "one", "first")
-    branched = single.join(least, ["mini", "one"]).where("doc_id > first").select("doc_id", "start", F.lit(1).alias("n"))
-    spans = written(met.where("windows is null").select("doc_id", "start", "n").union(branched), "spans")
+    least = single.groupBy("mini", "one").agg(*_first_last()).where(SEVERAL).select("mini", "one", "first")
+    branched = single.join(least, ["mini", "one"]).where(_later()).select("doc_id", "h", "start", F.lit(1).alias("n"))
+    spans = written(met.where("windows is null").select("doc_id", "h", "start", "n").union(branched), "spans")
     del single, least, branched, met
     done_with_single()
     release(spark)
@@ -157,18 +169,18 @@ def remove_repeats(docs: DataFrame, set_bits: int = SET_BITS, id_col: str = "doc
     """doc_id, n_words, n_removed and kept (the kept words joined by one space) of every whole text.
 
     A word goes if a window of 13 words over it also starts in a document with a smaller doc_id. Words are what ASCII white space
-    divides; null texts have none, and texts under 13 words lose none. Null ids count as larger than any other and stay null.
-    doc_id is the key: repeated rows give equal rows. An empty table gives none; other columns are not carried on.
+    divides; null texts have none, and texts under 13 words lose none. Null ids count as larger than any other, none of them as
+    smaller than another, and stay null. doc_id and text are the key: repeated rows give equal rows, and rows that share an id, or
+    have none, keep their own spans. An empty table gives none; other columns are not carried on.
     """
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1))
-    rows = docs.select(key.alias("doc_id"), F.xxhash64(text_col).alias("h"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("data"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("h"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("data"))
     # copies of a text with a smaller id repeat as a whole; their paths need no rows of their own
     copies = rows.select("doc_id", "h", F.md5("data").alias("m"))
-    firsts = copies.groupBy("h", "m").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-    copied = copies.join(firsts, ["h", "m"]).where("doc_id > first").select("doc_id", F.lit(0).alias("start"), F.lit((1 << 31) - 1).alias("n")).distinct()
+    firsts = copies.groupBy("h", "m").agg(*_first_last()).where(SEVERAL).select("h", "m", "first")
+    copied = copies.join(firsts, ["h", "m"]).where(_later()).select("doc_id", "h", F.lit(0).alias("start"), F.lit((1 << 31) - 1).alias("n")).distinct()
     spans = repeated_spans(rows, set_bits).union(copied)
     place = F.shiftleft(F.col("start").cast("long"), 32).bitwiseOR(F.col("n").cast("long"))
-    spans = spans.select("doc_id", place.alias("place")).groupBy("doc_id").agg(F.collect_set("place").alias("places"))
+    spans = spans.select("doc_id", "h", place.alias("place")).groupBy("doc_id", "h").agg(F.collect_set("place").alias("places"))
 
     def step(rows: Iterator[tuple]) -> Iterator[tuple]:
         for doc, data, places in rows:
@@ -181,9 +193,10 @@ def remove_repeats(docs: DataFrame, set_bits: int = SET_BITS, id_col: str = "doc
                     gone[min(start + n + WINDOW - 1, len(words))] -= 1
             covered = np.cumsum(gone[:-1]) > 0
             kept = [w for w, c in zip(words, covered.tolist(), strict=True) if not c] if covered.any() else words
-            yield None if doc == (1 << 63) - 1 else doc, len(words), len(words) - len(kept), b" ".join(kept).decode()
+            yield doc, len(words), len(words) - len(kept), b" ".join(kept).decode()
 
-    both = rows.select("doc_id", "data").join(spans, "doc_id", "left").select("doc_id", "data", "places")
+    spans = spans.select(F.col("doc_id").alias("span_id"), F.col("h").alias("span_h"), "places")
+    both = rows.join(spans, F.col("doc_id").eqNullSafe(F.col("span_id")) & (F.col("h") == F.col("span_h")), "left").select("doc_id", "data", "places")
     return map_rows(both, "doc_id long, n_words long, n_removed long, kept string", step)
 
 

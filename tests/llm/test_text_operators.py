@@ -199,6 +199,17 @@ def test_substring_dedup_on_few_words(spark):
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in got.collect()} == plain_removal(texts)
 
 
+def test_substring_dedup_without_ids(spark):
+    text = lambda tag, n: " ".join(f"{tag}{i}" for i in range(n))
+    one, two, shared = text("a", 30), text("b", 40), text("s", 20)
+    top = (1 << 63) - 1
+    rows = [(1, one), (None, one), (None, two), (None, shared + " " + text("c", 9)), (None, shared + " " + text("d", 9)), (5, text("e", 25)), (5, text("f", 9) + " " + one), (top, two)]
+    got = substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    # unnamed copies of 1 and of the largest id go, others with no id or the same id keep what is only theirs
+    want = [(1, one), (None, ""), (None, ""), *rows[3:6], (5, text("f", 9)), (top, two)]
+    assert sorted((str(r.doc_id), r.kept) for r in got) == sorted((str(d), t) for d, t in want)
+
+
 def test_media_round_trip(docs, rows):
     stored = media.store_media(docs)
     read = {r.doc_id: r for r in media.read_media(stored).collect()}
