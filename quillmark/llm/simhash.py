@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, written
+from .common import kept_until, map_rows, release, written
 
 #: Most fingerprints in one shard tree; a larger bucket gets more trees, each visited by all its fingerprints.
 TREE_SIZE = 20_000
@@ -199,22 +199,10 @@ def near_duplicates(docs: DataFrame, words_each: int = 3, radius: int = 2, tree_
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-#: Fingerprints of near copies: tables of blocks, bits of a block, bits that near copies differ in at most, and slack.
-TABLES, BLOCK_BITS, NEAR, SLACK = 20, 24, 56, 24
-#: Texts of one candidate group that one task compares at first.
-GROUP = 8192
-
-
-def wide_fingerprint(data: bytes) -> bytes:
-    """SimHash of TABLES * BLOCK_BITS bits over the distinct words of a text, which few edits change little."""
-    words = set(data.lower().split()) or {b""}
-    seeds = range(-(-TABLES * BLOCK_BITS // 128))
-    counts = np.zeros(128 * len(seeds), np.int64)
-    todo = iter(words)
-    while part := list(islice(todo, 4096)):
-        raw = b"".join(xxhash.xxh3_128_digest(w, s) for w in part for s in seeds)
-        counts += np.unpackbits(np.frombuffer(raw, np.uint8).reshape(len(part), -1), axis=1).sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * counts[: TABLES * BLOCK_BITS] > len(words)).tobytes()
+#: Slots in which shingles are counted before they are put in order (a fixed size), and counts that travel together.
+SEEN, ROWS = 1 << 20, 1 << 15
+#: Texts that may hold a shingle for all their pairs to be compared at once.
+GROUP = 64
 
 
 def shingle_hashes(data: bytes, words_each: int) -> np.ndarray:
@@ -228,73 +216,109 @@ def shingle_hashes(data: bytes, words_each: int) -> np.ndarray:
     return np.unique(np.array([xxhash.xxh3_64_intdigest(text[a : b - 1]) for a, b in zip(starts, last, strict=False)], np.uint64))
 
 
-class Leaders:
-    """Sets of shingles no two of which are alike; each new set joins the first leader it is like, or leads itself."""
+def _seen(texts: DataFrame, words_each: int) -> np.ndarray:
+    """About how many texts hold a shingle of each slot. Its fixed size is what reaches the driver (8 MB)."""
+
+    def count(rows: Iterator[tuple]) -> Iterator[tuple]:
+        table = np.zeros(SEEN, np.int64)
+        for (data,) in rows:
+            np.add.at(table, (shingle_hashes(data, words_each) % np.uint64(SEEN)).astype(np.int64), 1)
+        for at in range(0, SEEN, ROWS):
+            if table[at : at + ROWS].any():
+                yield at, table[at : at + ROWS].tobytes()
+
+    def total(rows: Iterator[tuple]) -> Iterator[tuple]:
+        for at, group in groupby(rows, itemgetter(0)):
+            yield at, sum(np.frombuffer(data, np.int64) for _, data in group).tobytes()
+
+    parts = map_rows(texts.select("data"), "at long, data binary", count)
+    out = np.zeros(SEEN, np.int64)
+    for at, data in map_rows(parts.repartition("at").sortWithinPartitions("at"), "at long, data binary", total).collect():
+        out[at : at + ROWS] = np.frombuffer(data, np.int64)
+    return out
+
 
-    def __init__(self, least: float):
-        self.least, self.sets, self.names, self.index = least, [], [], {}
+def _alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Of the pairs (a, b) those whose sets of shingles have a Jaccard similarity of at least least."""
 
-    def place(self, name: int, shingles: set[int]) -> int:
-        # a set this alike shares at least one of any (1 - least) * size + 1 shingles; those few leaders have are tried
-        tried = int((1 - self.least) * len(shingles) + 1e-9) + 1
-        rare = sorted(shingles, key=lambda x: len(self.index.get(x, ())))[:tried]
-        for i in sorted({i for x in rare for i in self.index.get(x, ())}):
-            shared = len(shingles & self.sets[i])
-            if shared >= self.least * (len(shingles) + len(self.sets[i]) - shared) - 1e-9:
-                return self.names[i]
-        for x in shingles:
-            self.index.setdefault(x, []).append(len(self.sets))
-        self.sets.append(shingles)
-        self.names.append(name)
-        return name
+    def compare(rows: Iterator[tuple]) -> Iterator[tuple]:
+        for a, b, one, two in rows:
+            one, two = np.frombuffer(one, np.uint64), np.frombuffer(two, np.uint64)
+            shared = len(np.intersect1d(one, two, assume_unique=True))
+            if shared >= least * (len(one) + len(two) - shared) - 1e-9:
+                yield a, b
+
+    side = lambda name, own: sets.select(F.col("doc_id").alias(name), F.col("shingles").alias(own))
+    return map_rows(pairs.join(side("a", "one"), "a").join(side("b", "two"), "b").select("a", "b", "one", "two"), "a long, b long", compare)
+
+
+def _several(index: DataFrame) -> DataFrame:
+    """The rows of the index whose shingle more than one text holds."""
+    return index.join(index.groupBy("shingle").count().where("count > 1").select("shingle"), "shingle")
 
 
 def near_copies(docs: DataFrame, words_each: int = 5, least: float = 0.8, group: int = GROUP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, leader) of the documents that repeat an earlier one, so that one document of each group stays.
 
-    Documents of equal text repeat the one with the smallest id. Of the other texts, wide fingerprints that agree in a block go
-    to shard trees; fingerprints within the radius make candidate groups. In each the exact Jaccard similarity of shingle sets
-    decides: in order of id, a text that is alike (at least least) to a kept one goes, any other is kept. A group of more than
-    group texts is dealt out, and what stays of each part is compared again; there, a leader may have gone for another one.
+    Documents of equal text repeat the one with the smallest id. Of the other texts, the exact Jaccard similarity of shingle sets
+    decides: in order of id, a text that is alike (at least least) to a kept one goes, any other is kept. The rule is the same at
+    every size, and no pair is missed: sets of n shingles that are alike share one of the first (1 - least) * n + 1 in any fixed
+    order, here with those that few texts hold before the others, so a join on these shingles finds every pair.
 
-    Null texts count as empty. Null ids are neither dropped nor leaders. Repeated rows of one id are one document here. An empty
-    table gives no rows.
+    While a shingle has more than group texts, rounds decide the texts that have no earlier candidate left and compare only them
+    with the others, as long as that decides a fiftieth of the texts or more. These rounds save pairs and change no result.
+
+    Null texts count as empty. Null ids are neither dropped nor leaders. Rows that repeat an id and text are one document; of
+    different texts under one id, that with the least hash counts. An empty table gives no rows.
     """
     key, data = F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     rows = docs.where(key.isNotNull()).select(key.alias("doc_id"), F.xxhash64(data).alias("h"), F.md5(data).alias("m"), data.alias("data"))
-
-    def mark(rows: Iterator[tuple]) -> Iterator[tuple]:
-        for doc, h, m, data in rows:
-            yield doc, h, m, wide_fingerprint(data)
-
-    marked = written(map_rows(rows, "doc_id long, h long, m string, bits binary", mark), "marks")
-    firsts = marked.groupBy("h", "m").agg(F.min("doc_id").alias("leader"))
-    copies = marked.join(firsts, ["h", "m"]).select("doc_id", "leader", "bits")
-    copies = written(copies, "copies")
-    block = lambda i: F.conv(F.substring(F.hex("bits"), i * BLOCK_BITS // 4 + 1, BLOCK_BITS // 4), 16, 10).cast("long") * F.lit(TABLES) + F.lit(i)
-    own = copies.where("doc_id = leader").dropDuplicates(["doc_id"])
-    groups = components(links(own.select(F.col("doc_id").alias("node"), "bits", F.array(*map(block, range(TABLES))).alias("buckets")), NEAR, SLACK))
-    sizes = groups.groupBy("root").agg((F.count("*") + 1).alias("n"))
-    members = groups.select(F.col("node").alias("doc_id"), "root").union(sizes.select(F.col("root").alias("doc_id"), "root"))
-    members = members.join(sizes, "root").select("doc_id", "root", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / F.lit(group))).alias("part"))
-    members = written(members, "members")
-
-    def shingles(rows: Iterator[tuple]) -> Iterator[tuple]:
-        for doc, root, part, data in rows:
-            yield root, part, doc, shingle_hashes(data, words_each).tobytes()
-
-    def lead(rows: Iterator[tuple]) -> Iterator[tuple]:
-        for (root, _), texts in groupby(rows, itemgetter(0, 1)):
-            leaders = Leaders(least)
-            for _, _, doc, own in texts:
-                leader = leaders.place(doc, set(np.frombuffer(own, np.uint64).tolist()))
-                yield root, doc, leader, own if leader == doc else b""
-
-    texts = rows.select("doc_id", "data").join(members, "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "root", "part", "data")
-    sets = map_rows(texts, "root long, part long, doc_id long, shingles binary", shingles)
-    placed = lambda df: map_rows(df.repartition("root", "part").sortWithinPartitions("root", "part", "doc_id"), "root long, doc_id long, leader long, shingles binary", lead)
-    once = written(placed(sets), "leaders")
-    gone = once.where("doc_id != leader").select("doc_id", "leader")
-    split = members.groupBy("root").agg(F.max("part").alias("parts")).where("parts > 0").select("root")
-    again = placed(once.where("doc_id = leader").join(split, "root").select("root", F.lit(0).cast("long").alias("part"), "doc_id", "shingles"))
-    return copies.where("doc_id != leader").select("doc_id", "leader").union(gone).union(again.where("doc_id != leader").select("doc_id", "leader"))
+    spark = docs.sparkSession
+    marked = rows.select("doc_id", "h", "m")
+    copies = written(marked.join(marked.groupBy("h", "m").agg(F.min("doc_id").alias("leader")), ["h", "m"]), "copies")
+    own = copies.where("doc_id = leader").groupBy("doc_id").agg(F.min(F.struct("h", "m")).alias("one")).select("doc_id", "one.h", "one.m")
+    texts = written(rows.join(own, ["doc_id", "h", "m"]).dropDuplicates(["doc_id"]).select("doc_id", "data"), "texts")
+    seen = spark.sparkContext.broadcast(_seen(texts, words_each))
+
+    def first(rows: Iterator[tuple]) -> Iterator[tuple]:
+        for doc, data in rows:
+            every = shingle_hashes(data, words_each)
+            n = len(every)
+            order = np.lexsort((every, seen.value[(every % np.uint64(SEEN)).astype(np.int64)]))
+            for x in every[order[: int((1 - least) * n + 1e-9) + 1]].view(np.int64).tolist():
+                yield x, doc, n
+
+    def hashes(rows: Iterator[tuple]) -> Iterator[tuple]:
+        for doc, data in rows:
+            yield doc, shingle_hashes(data, words_each).tobytes()
+
+    heads, done_with_heads = kept_until(map_rows(texts, "shingle long, doc_id long, n int", first), "heads")
+    index = written(_several(heads), "index")
+    done_with_heads()
+    sets = written(map_rows(texts.join(index.select("doc_id").distinct(), "doc_id"), "doc_id long, shingles binary", hashes), "shingles")
+    release(spark)
+    gone = copies.where("doc_id != leader").select("doc_id", "leader")
+    sized = F.least("n", "m") >= F.greatest("n", "m") * F.lit(least) - F.lit(1e-9)
+    while not index.groupBy("shingle").count().where(F.col("count") > group).isEmpty():
+        met = index.join(index.groupBy("shingle").agg(F.min("doc_id").alias("b")), "shingle")
+        # the texts that come first for all their shingles have no earlier candidate left: they stay
+        kept = written(met.groupBy("doc_id").agg(F.min("b").alias("b"), F.first("n").alias("m")).where("b = doc_id").select("b", "m"), "kept")
+        pairs = met.join(kept, "b").where(F.col("doc_id") > F.col("b")).where(sized).select(F.col("doc_id").alias("a"), "b").distinct()
+        like = written(_alike(pairs, sets, least).groupBy("a").agg(F.min("b").alias("b")), "alike")
+        decided = kept.select(F.col("b").alias("doc_id")).union(like.select(F.col("a").alias("doc_id")))
+        gone = gone.union(like.select(F.col("a").alias("doc_id"), F.col("b").alias("leader")))
+        few = 50 * decided.count() < met.select("doc_id").distinct().count()
+        index = written(_several(index.join(decided, "doc_id", "left_anti")), "index")
+        if few:
+            break
+    left = index.select("shingle", F.col("doc_id").alias("a"), "n")
+    pairs = left.join(index.select("shingle", F.col("doc_id").alias("b"), F.col("n").alias("m")), "shingle").where("a > b").where(sized).select("a", "b").distinct()
+    edges = written(_alike(pairs, sets, least), "alike")
+    while not edges.isEmpty():
+        # what has no earlier text alike to it that may stay, stays
+        kept = edges.select("b").distinct().join(edges.select(F.col("a").alias("b")), "b", "left_anti")
+        like = written(edges.join(kept, "b").groupBy("a").agg(F.min("b").alias("b")), "alike")
+        gone = gone.union(like.select(F.col("a").alias("doc_id"), F.col("b").alias("leader")))
+        out = like.select("a")
+        edges = written(edges.join(out, "a", "left_anti").join(out.select(F.col("a").alias("b")), "b", "left_anti").select("a", "b"), "edges")
+    return gone

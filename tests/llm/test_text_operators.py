@@ -145,6 +145,31 @@ def test_near_copies(spark, group):
     assert {900, 902, 904} <= kept and not {901, 903, 905} & kept
 
 
+@pytest.mark.parametrize("group", [8192, 2])
+def test_near_copies_with_passages(spark, group):
+    """Passages appended or replaced, and chains of near copies: by one rule whatever the group."""
+    r = random.Random(4)
+    fresh = lambda n: [f"v{r.randint(0, 10**9)}" for _ in range(n)]
+    texts = {}
+    for i in range(30):
+        base = fresh(r.choice([100, 200, 400]))
+        n = len(base)
+        own = [base, base + fresh(n * r.choice([10, 15, 20, 24]) // 100), base[: n - n // 11] + fresh(n // 11)]
+        own += [base[n // 12 :] + fresh(n // 12), base[n // 6 :] + fresh(n // 6), base[n // 4 :] + fresh(n // 4)]
+        texts |= {d: " ".join(w) for d, w in zip(r.sample(range(i * 10, i * 10 + 10), len(own)), own, strict=True)}
+    gone = {x.doc_id: x.leader for x in simhash.near_copies(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), group=group).collect()}
+    sets = {d: set(simhash.shingle_hashes(t.encode(), 5).tolist()) for d, t in texts.items()}
+    want: dict[int, int] = {}
+    kept: list[int] = []
+    for d in sorted(sets):
+        if like := [k for k in kept if jaccard(sets[d], sets[k]) >= 0.8]:
+            want[d] = like[0]
+        else:
+            kept.append(d)
+    assert gone.keys() == want.keys() and len(want) > 30
+    assert all(x < d and x in kept and jaccard(sets[d], sets[x]) >= 0.8 for d, x in gone.items())
+
+
 def sets_of_nothing():
     return set(simhash.shingle_hashes(b"", 5).tolist())
 
