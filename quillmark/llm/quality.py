@@ -30,7 +30,7 @@ _RUNS = [(re.compile(rb"[a-z]+"), b"a"), (re.compile(rb"[A-Z]+"), b"A"), (re.com
 
 def units(word: bytes) -> int:
     """Unit of a word, and above it that of its shape: runs of letters and digits become one sign each, other signs stay."""
-    shape = word[:64]
+    shape = word
     for run, sign in _RUNS:
         shape = run.sub(sign, shape)
     return crc32(word) % WORDS | (crc32(shape) % SHAPES) << 16

@@ -224,3 +224,8 @@ def test_odd_tables(odd, empty, labels):
         assert len(twice) == 2 and twice[0] == twice[1]
     assert mixing.mix(mixing.token_table(empty)).collect() == []
     assert len(mixing.mix(mixing.token_table(odd), most_repeats=None, entropy_share=0.0).collect()) >= 2
+
+
+def test_quality_shape_of_whole_words():
+    shape = lambda word: quality.units(word) >> 16
+    assert shape(b"-" * 64 + b"a") != shape(b"-" * 64 + b"1") and shape(b"a" * 100) == shape(b"a") != shape(b"a" * 64 + b"7")
