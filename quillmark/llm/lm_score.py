@@ -1,21 +1,23 @@
 """LM scoring by online logistic context mixing over the bits of word codes.
 
-The most frequent words of the training documents and an escape get Huffman codes; a word is coded bit by bit. Each bit has
-several predictors: counts under hashed contexts (the place in the code alone, with the word before, with two words before, with
-the word before last), gathered from all training documents. Their stretched probabilities are combined with weights from a gate
-that looks at how much each predictor has seen, and the weights are refined after every bit. A word without a code costs the
-escape and its share among the remaining words, whose counts a Spark join brings; so the model is normalised over the same words
-as the base score.
+The most frequent words of the training documents are symbols of their own; every other word belongs to one of many buckets by its
+hash, and each bucket is a symbol too. Symbols have Huffman codes and are coded bit by bit. Each bit has several predictors: counts
+under hashed contexts (the place in the code alone, with the symbol before, with two symbols before, with the symbol before last),
+gathered from all training documents. Their stretched probabilities are combined with weights from a gate that looks at how much
+each predictor has seen. A document starts from the first weights, refines them after every block of words and keeps them to its
+end. Within its bucket a word has its share of the bucket's counts, add one, and unseen words share one more count; so the model is
+normalised over the same words as the base score.
 """
 
 from __future__ import annotations
 
 import heapq
 from collections import Counter
-from collections.abc import Iterator
-from itertools import groupby
-from math import log, log10
+from collections.abc import Iterable, Iterator
+from itertools import groupby, repeat
+from math import log, log2, log10
 from operator import itemgetter
+from zlib import crc32
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -23,12 +25,18 @@ from pyspark.sql import functions as F
 
 from .common import map_rows, written
 
-#: Words with a code at most, slots of each hashed table (fixed sizes), tables.
-CODED, SLOTS, ORDERS = 4096, 1 << 18, 4
-#: Bits after which a lane of a document starts from the first weights again, step of the refinement, tokens worked on at once.
-LANE, RATE, TOKENS = 1024, 0.02, 300_000
-#: Distinct words a task counts before it hands them on, rows of the tables that travel together.
-COUNTED, ROWS = 200_000, 1 << 15
+#: Words with a symbol of their own, buckets of the others, words at most whose counts travel with the model (the counts of the
+#: others stay in Spark).
+OWN, BUCKETS, KNOWN = 2048, 2048, 1 << 16
+#: Predictors, training words for each slot of a predictor's table, and bounds of the slots as powers of two.
+ORDERS, WORDS_A_SLOT, FEWEST, MOST = 4, 64, 14, 21
+#: Words after which the weights are refined, step of the refinement, gates (three levels for each predictor with a history).
+BLOCK, RATE, GATES = 16, 0.02, 3 ** (ORDERS - 1)
+#: Words of a document that are worked on at once (whole blocks), and words of several documents together; bytes cut into words at once.
+SEGMENT, GROUP, CUT = 1 << 15, 1 << 17, 1 << 20
+#: Distinct words a task counts before it hands them on, cells of a table that travel together.
+COUNTED, CELLS = 200_000, 1 << 16
+_ODD = [np.uint32(x) for x in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F)]
 
 
 def learned(doc_id: Column) -> Column:
@@ -36,171 +44,308 @@ def learned(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 7 != 2, F.lit(True))
 
 
+def word_lists(data: bytes) -> Iterator[list[bytes]]:
+    """The words of a text, lower-cased, in lists of bounded size (a longer word is its own list); the last one ends with the end."""
+    at = 0
+    while len(data) - at > CUT:
+        cut = at + CUT
+        while cut > at and not data[cut - 1 : cut].isspace():
+            cut -= 1
+        if cut == at:
+            cut = at + CUT
+            while cut < len(data) and not data[cut : cut + 1].isspace():
+                cut += 1
+        yield data[at:cut].lower().split()
+        at = cut
+    yield [*data[at:].lower().split(), b""]
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """word (binary; empty: the end) and c, its count in docs (data: UTF-8). Tasks count first, then Spark adds up."""
 
     def step(rows: Iterator[tuple]) -> Iterator[tuple]:
         counts: Counter[bytes] = Counter()
         for (data,) in rows:
-            counts.update(data.lower().split())
-            counts[b""] += 1
-            if len(counts) > COUNTED:
-                yield from counts.items()
-                counts.clear()
+            for words in word_lists(data):
+                counts.update(words)
+                if len(counts) > COUNTED:
+                    yield from counts.items()
+                    counts.clear()
         yield from counts.items()
 
     return map_rows(docs.select("data"), "word binary, c long", step).groupBy("word").agg(F.sum("c").alias("c"))
 
 
 class Code:
-    """Huffman codes of words (symbols 0..) and of the escape, the last symbol, as nodes and bits in flat arrays."""
+    """Huffman codes of symbols with the given counts, as nodes and bits in flat arrays."""
 
-    def __init__(self, words: list[bytes], counts: list[int], rest: int):
-        self.symbol = {w: i for i, w in enumerate(words)}
-        self.escape = len(words)
-        heap = [(c, i, i) for i, c in enumerate([*counts, rest + 1])]
+    def __init__(self, counts: list[int]):
+        heap = [(c, i, i) for i, c in enumerate(counts)]
         heapq.heapify(heap)
         above: dict[int, tuple[int, int]] = {}
-        nodes, fresh = 0, len(heap)
+        fresh = first = len(counts)
         while len(heap) > 1:
             (a, _, x), (b, _, y) = heapq.heappop(heap), heapq.heappop(heap)
             above[x], above[y] = (fresh, 0), (fresh, 1)
             heapq.heappush(heap, (a + b, fresh, fresh))
-            fresh, nodes = fresh + 1, nodes + 1
-        first = len(words) + 1
-        flat_nodes, flat_bits, self.lengths, self.starts = [], [], [], []
+            fresh += 1
+        nodes, bits, lengths, starts = [], [], [], []
         for s in range(first):
             at, own = s, []
             while at in above:
                 at, bit = above[at]
                 own.append((at - first, bit))
-            self.starts.append(len(flat_nodes))
-            self.lengths.append(len(own))
-            flat_nodes += [n for n, _ in reversed(own)]
-            flat_bits += [b for _, b in reversed(own)]
-        self.lengths, self.starts = np.array(self.lengths), np.array(self.starts)
-        self.nodes, self.bits = np.array(flat_nodes, np.int64), np.array(flat_bits, np.int64)
-
-
-def bit_contexts(code: Code, symbols: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For every bit of the symbols' codes its bit and its slots in the tables (bits x ORDERS); and the bits before each symbol.
-
-    begins: whether a symbol begins a document, which has no words before it.
+            starts.append(len(nodes))
+            lengths.append(len(own))
+            nodes += [n for n, _ in reversed(own)]
+            bits += [b for _, b in reversed(own)]
+        self.lengths, self.starts = np.array(lengths, np.int64), np.array(starts, np.int64)
+        self.nodes, self.bits = np.array(nodes, np.uint32), np.array(bits, np.int64)
+        #: what stands for no word before
+        self.none = first
+
+    def places(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The places in nodes and bits of all bits of the symbols, and how many bits each symbol has."""
+        lengths = self.lengths[symbols]
+        ends = np.cumsum(lengths)
+        return np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[symbols] - (ends - lengths), lengths), lengths
+
+
+class Words:
+    """What travels with the model: symbols and shares of the known words, and the buckets of all others.
+
+    words and counts: the known words, most frequent first; the first own ones have a symbol of their own. totals: for each
+    bucket the sum of counts and the number of distinct words, of all training words.
     """
-    n = len(symbols)
-    none = code.escape + 1
-    one, two = np.full(n, none, np.int64), np.full(n, none, np.int64)
-    one[1:] = symbols[:-1]
-    one[begins] = none
-    two[1:] = one[:-1]
-    two[begins] = none
-    lengths = code.lengths[symbols]
-    ends = np.cumsum(lengths)
-    total = int(ends[-1]) if n else 0
-    place = np.arange(total) + np.repeat(code.starts[symbols] - (ends - lengths), lengths)
-    node = code.nodes[place].astype(np.uint64)
-    slots = np.empty((total, ORDERS), np.int64)
-    slots[:, 0] = node % np.uint64(SLOTS)
-    shift = np.uint64(64 - (SLOTS.bit_length() - 1))
-    for k, context in enumerate((one, one * 65_537 + two + 1, two + (1 << 40)), 1):
-        mixed = np.repeat(context.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), lengths)
-        slots[:, k] = ((mixed ^ mixed >> np.uint64(31)) + node * np.uint64(0xD6E8FEB86659FD93)) * np.uint64(0xC2B2AE3D27D4EB4F) >> shift
-    return code.bits[place], slots, ends - lengths
-
-
-def gathered(rows: Iterator[tuple]) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
-    """Documents in groups of about TOKENS words, and of at least one document: keys and words, word counts."""
-    keys, words, counts, size = [], [], [], 0
+
+    def __init__(self, words: list[bytes], counts: list[int], totals: list[tuple[int, int]], own: int):
+        self.place = {w: i for i, w in enumerate(words)}
+        self.own, self.buckets = min(own, len(words)), len(totals)
+        bucket = np.array([crc32(w) % self.buckets for w in words], np.int64)
+        c = np.array(counts, np.int64)
+        sums = np.array(totals, np.int64).reshape(-1, 2)
+        np.subtract.at(sums[:, 0], bucket[: self.own], c[: self.own])
+        np.subtract.at(sums[:, 1], bucket[: self.own], 1)
+        self.code = Code([*c[: self.own].tolist(), *(sums[:, 0] + 1).tolist()])
+        self.symbols = np.where(np.arange(len(words)) < self.own, np.arange(len(words)), self.own + bucket)
+        #: log10 of a bucket's counts with one for each word and one for the unseen; a word's own count goes on top
+        self.below = np.log10(sums[:, 0] + sums[:, 1] + 1)
+        self.plain = np.log10(c + 1)
+        self.inner = np.where(np.arange(len(words)) < self.own, 0.0, self.plain - self.below[bucket])
+
+    def look(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols of the words, and their places among the known words (-1: another word)."""
+        place = np.fromiter(map(self.place.get, words, repeat(-1)), np.int64, len(words))
+        symbols = self.symbols[place] if len(self.symbols) else np.zeros(len(words), np.int64)
+        others = np.flatnonzero(place < 0)
+        symbols[others] = [self.own + crc32(words[i]) % self.buckets for i in others.tolist()]
+        return symbols, place
+
+
+class Segment:
+    """Consecutive words of one document: the first at a block's begin, and no others of it in the same group."""
+
+    __slots__ = ("key", "words", "symbols", "place", "one", "two", "first", "last")
+
+    def __init__(self, key: tuple, words: list[bytes], own: Words, before: Segment | None, last: bool):
+        self.key, self.words, self.first, self.last = key, words, before is None, last
+        self.symbols, self.place = own.look(words)
+        none = own.code.none
+        past = np.concatenate([[none, none] if before is None else [before.two[-1] if len(before.symbols) < 2 else before.symbols[-2], before.symbols[-1]], self.symbols])
+        self.one, self.two = past[1:-1], past[:-2]
+
+
+def segments(rows: Iterable[tuple], own: Words) -> Iterator[Segment]:
+    """The documents (key..., data) in segments of SEGMENT words; the last one of a document has the rest."""
     for *key, data in rows:
-        own = data.lower().split()
-        own.append(b"")
-        keys.append((*key, len(data)))
-        words.append(own)
-        counts.append(len(own))
-        size += len(own)
-        if size >= TOKENS:
-            yield keys, words, np.array(counts)
-            keys, words, counts, size = [], [], [], 0
-    if keys:
-        yield keys, words, np.array(counts)
-
-
-def _symbols(code: Code, words: list[list[bytes]], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    get, escape = code.symbol.get, code.escape
-    symbols = np.fromiter((get(w, escape) for own in words for w in own), np.int64, int(counts.sum()))
-    begins = np.zeros(len(symbols), bool)
-    begins[np.cumsum(counts) - counts] = True
-    return symbols, begins
-
-
-def tables(docs: DataFrame, code: Code) -> np.ndarray:
-    """How often each slot saw 0 and 1 (ORDERS x SLOTS x 2) in all of docs. Their fixed size is what reaches the driver (8 MB)."""
-    shared = docs.sparkSession.sparkContext.broadcast(code)
+        held: list[bytes] = []
+        before = None
+        for words in word_lists(data):
+            held += words
+            while len(held) > SEGMENT:
+                before = Segment((*key, len(data)), held[:SEGMENT], own, before, False)
+                yield before
+                held = held[SEGMENT:]
+        yield Segment((*key, len(data)), held, own, before, True)
+
+
+def groups(parts: Iterable[Segment]) -> Iterator[list[Segment]]:
+    """Segments in groups of about GROUP words; one that isn't its document's last ends a group."""
+    held: list[Segment] = []
+    size = 0
+    for part in parts:
+        held.append(part)
+        size += len(part.symbols)
+        if size >= GROUP or not part.last:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def context_slots(code: Code, place: np.ndarray, lengths: np.ndarray, one: np.ndarray, two: np.ndarray, slots: int) -> Iterator[np.ndarray]:
+    """For each predictor the slot of every bit in a table of slots (a power of two). one, two: the symbols before each symbol."""
+    node = code.nodes[place]
+    yield node & np.uint32(slots - 1)
+    mark = (node + np.uint32(1)) * _ODD[0]
+    one, two = one.astype(np.uint32) + np.uint32(1), two.astype(np.uint32) + np.uint32(1)
+    shift = np.uint32(32 - (slots.bit_length() - 1))
+    for context in (one * _ODD[1], one * _ODD[1] + two * _ODD[2] + np.uint32(1), two * _ODD[3]):
+        mixed = np.repeat(context ^ context >> np.uint32(15), lengths)
+        mixed += mark
+        mixed ^= mixed >> np.uint32(16)
+        mixed *= _ODD[2]
+        yield mixed >> shift
+
+
+def planes(counts: np.ndarray) -> bytes:
+    """32-bit counts with all lowest bytes first, since the others are mostly zeros and shuffles are compressed."""
+    return counts.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def from_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+
+
+def entries(counts: np.ndarray) -> np.ndarray:
+    """Table entries for counts of 0 and 1 (n x 2): the stretched probability in 1/1024ths times 4, plus the level: 0 never seen,
+    1 less than 30 times, 2 more often."""
+    seen = counts.sum(1)
+    stretch = np.rint(np.log((counts[:, 1] + 0.4) / (counts[:, 0] + 0.4)) * 1024).astype(np.int64)
+    return (stretch * 4 + (seen > 0) + (seen >= 30)).astype("<i4")
+
+
+def tables(docs: DataFrame, own: Words, slots: int) -> np.ndarray:
+    """The predictors' entries (ORDERS x slots) from all of docs: 4 bytes a slot reach the driver, counts are added up in tasks."""
+    shared = docs.sparkSession.sparkContext.broadcast(own)
 
     def gather(rows: Iterator[tuple]) -> Iterator[tuple]:
-        own = shared.value
-        table = np.zeros((ORDERS, SLOTS * 2), np.int64)
-        for _, words, counts in gathered(rows):
-            bits, slots, _ = bit_contexts(own, *_symbols(own, words, counts))
-            for k in range(ORDERS):
-                table[k] += np.bincount(slots[:, k] * 2 + bits, minlength=SLOTS * 2)
+        words = shared.value
+        table = np.zeros((ORDERS, slots * 2), np.int32)
+        for group in groups(segments(rows, words)):
+            symbols, one, two = (np.concatenate([getattr(s, x) for s in group]) for x in ("symbols", "one", "two"))
+            place, lengths = words.code.places(symbols)
+            bits = words.code.bits[place]
+            for k, slot in enumerate(context_slots(words.code, place, lengths, one, two, slots)):
+                np.add(table[k], np.bincount(slot * np.int64(2) + bits, minlength=slots * 2), out=table[k], casting="unsafe")
         flat = table.ravel()
-        for at in range(0, len(flat), ROWS):
-            part = flat[at : at + ROWS]
-            if part.any():
-                yield at, part.astype("<i8").tobytes()
+        for at in range(0, len(flat), CELLS):
+            if (part := flat[at : at + CELLS]).any():
+                yield at, planes(part)
 
     def total(rows: Iterator[tuple]) -> Iterator[tuple]:
         for at, group in groupby(rows, itemgetter(0)):
-            yield at, sum(np.frombuffer(data, "<i8") for _, data in group).tobytes()
+            yield at, entries(sum(from_planes(data) for _, data in group).reshape(-1, 2)).tobytes()
 
     parts = map_rows(docs.select("data"), "at long, data binary", gather)
     summed = map_rows(parts.repartition("at").sortWithinPartitions("at"), "at long, data binary", total)
-    out = np.zeros(ORDERS * SLOTS * 2)
+    out = np.zeros(ORDERS * slots, np.int32)
     for at, data in summed.collect():
-        out[at : at + ROWS] = np.frombuffer(data, "<i8")
-    return out.reshape(ORDERS, SLOTS, 2)
+        own_part = np.frombuffer(data, "<i4")
+        out[at // 2 : at // 2 + len(own_part)] = own_part
+    return out.reshape(ORDERS, slots)
 
 
-class Mixer:
-    """Stretched probabilities and gate levels of all slots, and the first weights of each gate."""
-
-    def __init__(self, counts: np.ndarray):
-        seen = counts.sum(2)
-        self.stretch = np.log((counts[:, :, 1] + 0.4) / (counts[:, :, 0] + 0.4)).astype(np.float32)
-        #: 0: never, 1: less than 30 times, 2: more; the place in the code alone is always well known
-        self.level = ((seen > 0).astype(np.int8) + (seen >= 30)).astype(np.int8)
-        gates = np.stack(np.meshgrid(*[np.arange(3)] * (ORDERS - 1), indexing="ij"), -1).reshape(-1, ORDERS - 1)
-        trust = np.array([0.0, 0.15, 0.5])[gates] * np.array([1.0, 0.5, 0.4])
-        self.first = np.concatenate([np.maximum(0.15, 1 - trust.sum(1, keepdims=True)), trust], 1).astype(np.float32)
-
-    def bits(self, bit: np.ndarray, slots: np.ndarray, lanes: np.ndarray) -> np.ndarray:
-        """Natural logarithm of each bit's probability. lanes: where lanes begin, ascending; each starts from the first weights."""
-        inputs = np.stack([self.stretch[k][slots[:, k]] for k in range(ORDERS)], 1)
-        gate = np.zeros(len(bit), np.int64)
-        for k in range(1, ORDERS):
-            gate = gate * 3 + self.level[k][slots[:, k]]
-        out = np.empty(len(bit))
-        lengths = np.diff(np.append(lanes, len(bit)))
-        order = np.argsort(-lengths, kind="stable")
-        starts, lengths = lanes[order], lengths[order]
-        weights = np.broadcast_to(self.first, (len(lanes), *self.first.shape)).copy().reshape(-1, ORDERS)
-        base = np.arange(len(lanes)) * len(self.first)
-        active = np.searchsorted(-lengths, -np.arange(int(lengths.max(initial=0))), "left")
-        target = bit.astype(np.float32)
-        for t, n in enumerate(active.tolist()):
-            at = starts[:n] + t
-            x, own = inputs[at], base[:n] + gate[at]
-            w = weights[own]
-            z = np.clip(np.einsum("ij,ij->i", w, x), -12, 12)
-            p = 1 / (1 + np.exp(-z))
-            y = target[at]
-            out[at] = np.where(y > 0, p, 1 - p)
-            weights[own] = w + (RATE * (y - p))[:, None] * x
-        return np.log(out)
+def first_weights() -> np.ndarray:
+    """GATES x ORDERS: predictors that have seen more are trusted more, the place in the code alone less then."""
+    levels = np.stack(np.meshgrid(*[np.arange(3)] * (ORDERS - 1), indexing="ij"), -1).reshape(-1, ORDERS - 1)
+    trust = np.array([0.0, 0.15, 0.5])[levels] * np.array([1.0, 0.5, 0.4])
+    return np.concatenate([np.maximum(0.15, 1 - trust.sum(1, keepdims=True)), trust], 1).astype(np.float32)
 
 
-def score(docs: DataFrame, coded: int = CODED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+class Mixer:
+    """Mixes the predictors of the groups' bits. Weights of an unfinished document are kept for its next segment."""
+
+    def __init__(self, code: Code, table: np.ndarray):
+        self.code, self.table, self.first = code, table, first_weights()
+        self.kept = self.first
+
+    def scores(self, group: list[Segment]) -> np.ndarray:
+        """Natural logarithm of the probability of each segment's symbols. Segments of a group go side by side, block by block."""
+        sizes = np.array([len(s.symbols) for s in group])
+        order = np.argsort(-sizes, kind="stable")
+        sizes = sizes[order]
+        n = len(group)
+        symbols, one, two = (np.concatenate([getattr(group[i], x) for i in order.tolist()]) for x in ("symbols", "one", "two"))
+        # words in order of block, then segment: so the bits of a step lie together
+        owner = np.repeat(np.arange(n), sizes)
+        block = (np.arange(len(symbols)) - np.repeat(np.cumsum(sizes) - sizes, sizes)) // BLOCK
+        by_block = np.argsort(block, kind="stable")
+        symbols, one, two, owner, block = (x[by_block] for x in (symbols, one, two, owner, block))
+        place, lengths = self.code.places(symbols)
+        slots = self.table.shape[1]
+        inputs = np.empty((ORDERS, len(place)), np.float32)
+        gate = np.zeros(len(place), np.int32)
+        for k, slot in enumerate(context_slots(self.code, place, lengths, one, two, slots)):
+            entry = self.table[k][slot]
+            inputs[k] = entry >> 2
+            if k:
+                gate *= 3
+                gate += entry & 3
+        inputs *= np.float32(1 / 1024)
+        gate += np.repeat(owner.astype(np.int32) * GATES, lengths)
+        bit = self.code.bits[place].astype(np.float32)
+        ends = np.cumsum(lengths)
+        steps = np.flatnonzero(np.append(block[1:] != block[:-1], True))
+        edges = [0, *ends[steps].tolist()]
+        active = owner[steps] + 1
+        weights = np.empty((ORDERS, n * GATES), np.float32)
+        for k in range(ORDERS):
+            weights[k] = np.tile(self.first[:, k], n)
+        for i, at in enumerate(order.tolist()):
+            if not group[at].first:
+                weights[:, i * GATES : (i + 1) * GATES] = self.kept.T
+        logs = np.empty(len(place), np.float32)
+        for a, b, m in zip(edges, edges[1:], active.tolist(), strict=False):
+            own = gate[a:b]
+            x = inputs[:, a:b]
+            z = weights[0][own] * x[0]
+            for k in range(1, ORDERS):
+                z += weights[k][own] * x[k]
+            np.clip(z, -12, 12, out=z)
+            y = bit[a:b]
+            # log p(bit) = -log(1 + exp(-z)) for 1 and with z for 0
+            p = 1 / (1 + np.exp(-z))
+            logs[a:b] = np.log(np.where(y > 0, p, 1 - p))
+            error = (y - p) * np.float32(RATE)
+            for k in range(ORDERS):
+                weights[k][: m * GATES] += np.bincount(own, error * x[k], m * GATES)
+        for i, at in enumerate(order.tolist()):
+            if not group[at].last:
+                self.kept = weights[:, i * GATES : (i + 1) * GATES].T.copy()
+        sums = np.concatenate([[0.0], np.cumsum(logs, dtype=np.float64)])
+        each = sums[ends] - sums[ends - lengths]
+        out = np.empty(n)
+        out[order] = np.bincount(owner, each, n)
+        return out
+
+
+def known_words(counts: DataFrame, known: int, buckets: int) -> tuple[list, list, int, int]:
+    """The most frequent words (word, c), at most known of them; sums and distinct words of each bucket; all counts, all words.
+
+    Words come by a least count, the smallest that leaves no more than known. What reaches the driver has a bound: known rows, a
+    row for each bucket, and one for each eighth of a power of two.
+    """
+    levels = counts.groupBy(F.floor(F.log2("c") * 8).alias("level")).agg(F.count("*").alias("n"), F.sum("c").alias("c"), F.min("c").alias("least")).collect()
+    least, size = None, 0
+    for r in sorted(levels, key=lambda r: -r.level):
+        size += r.n
+        if size > known:
+            break
+        least = r.least
+    top = [] if least is None else [(bytes(r.word), r.c) for r in counts.where(F.col("c") >= least).collect()]
+    totals = [(0, 0)] * buckets
+    for r in counts.groupBy((F.crc32("word") % buckets).alias("bucket")).agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect():
+        totals[r.bucket] = (r.c, r.n)
+    return sorted(top, key=lambda x: (-x[1], x[0])), totals, sum(r.c for r in levels), sum(r.n for r in levels)
+
+
+def slots_for(words: int) -> int:
+    """Slots of a predictor's table for so many training words: they grow with the words up to 2^MOST, then contexts share slots."""
+    return 1 << max(FEWEST, min(MOST, int(log2(max(1, words / WORDS_A_SLOT)))))
+
+
+def score(docs: DataFrame, own: int = OWN, buckets: int = BUCKETS, known: int = KNOWN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte of every whole text.
 
     base_score: log10 of the add-one unigram probability. score: log10 of the mixing model's. bits_per_byte: the score in bits over
@@ -208,54 +353,45 @@ def score(docs: DataFrame, coded: int = CODED, id_col: str = "doc_id", text_col:
     as text, modulo 7, is not 2; a null id is learned from. Null texts count as empty, which still have their end. Repeated rows
     are learned from as often and give equal rows; an empty table gives none. Other columns are not carried on.
 
-    To the driver come the coded words, three sums and the tables, all of fixed size. Counts of other words stay in Spark, where
-    a join brings them to the words of each document; those words are rare, so no key is hot.
+    Of the words, only the known ones travel with the model; a join brings the counts of the others to the words of each document.
+    Those are rare, so no key is hot. A document is worked on in segments, so its length has no bearing on memory, and its weights
+    go on from segment to segment.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.cast("binary").alias("data"))
     train = rows.where(learned(F.col("doc_id")))
     counts = written(word_counts(train), "counts")
-    total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = counts.orderBy(F.desc("c"), "word").limit(coded).collect()
-    rest = total - sum(r.c for r in top)
-    code = Code([bytes(r.word) for r in top], [r.c for r in top], rest)
-    spark = docs.sparkSession
-    model = spark.sparkContext.broadcast((code, Mixer(tables(train, code)), np.array([log10((r.c + 1) / (total + distinct + 1)) for r in top] + [0.0])))
+    top, totals, total, distinct = known_words(counts, known, buckets)
+    words = Words([w for w, _ in top], [c for _, c in top], totals, own)
+    model = docs.sparkSession.sparkContext.broadcast((words, tables(train, words, slots_for(total))))
 
     def step(rows: Iterator[tuple]) -> Iterator[tuple]:
-        own, mixer, base = model.value
-        for keys, words, sizes in gathered(rows):
-            symbols, begins = _symbols(own, words, sizes)
-            bit, slots, before = bit_contexts(own, symbols, begins)
-            firsts = np.cumsum(sizes) - sizes
-            edges = np.append(before[firsts], len(bit))
-            lanes = np.concatenate([np.arange(a, b, LANE) for a, b in zip(edges, edges[1:], strict=False)])
-            logs = np.concatenate([[0.0], np.cumsum(mixer.bits(bit, slots, lanes))])
-            models = (logs[edges[1:]] - logs[edges[:-1]]) / log(10)
-            coded_base = np.add.reduceat(base[symbols], firsts)
-            known = np.add.reduceat(symbols < own.escape, firsts, dtype=np.int64)
-            for i, (doc, h, n_bytes) in enumerate(keys):
-                at = int(firsts[i])
-                own_words = words[i]
-                others = Counter([own_words[j] for j in np.flatnonzero(symbols[at : at + int(sizes[i])] == own.escape).tolist()])
+        own, table = model.value
+        mixer = Mixer(own.code, table)
+        for group in groups(segments(rows, own)):
+            for s, logs in zip(group, mixer.scores(group).tolist(), strict=True):
+                doc, h, n_bytes = s.key
+                met = s.place[s.place >= 0]
+                others = np.flatnonzero(s.place < 0)
+                inner = own.inner[met].sum() - own.below[s.symbols[others] - own.own].sum()
+                tally = Counter([s.words[i] for i in others.tolist()])
                 # first a key no word has: words hold no space
-                yield doc, h, [f" {doc} {h}".encode(), *others], [0, *others.values()], int(sizes[i]), int(known[i]), float(coded_base[i]), float(models[i]), n_bytes
+                yield doc, h, [f" {doc} {h}".encode(), *tally], [0, *tally.values()], int(s.last), len(s.words), len(met), float(own.plain[met].sum()), logs / log(10) + float(inner), n_bytes if s.last else 0
 
-    parts = map_rows(rows, "doc_id long, h long, words array<binary>, tfs array<long>, n_tokens long, n_known long, base double, model double, n_bytes long", step)
-    # a row for each word; the document's own sums stay with the first
+    parts = map_rows(rows, "doc_id long, h long, words array<binary>, tfs array<long>, whole int, n_tokens long, n_known long, plain double, model double, n_bytes long", step)
+    # a row for each word; the segment's own sums stay with the first
     parts = parts.select("*", F.posexplode(F.arrays_zip("words", "tfs")).alias("pos", "at"))
-    first = lambda c, none: F.when(F.col("pos") == 0, F.col(c)).otherwise(F.lit(none)).alias(c)
-    own_sums = [first("n_tokens", 0), first("n_known", 0), first("base", 0.0), first("model", 0.0), first("n_bytes", 0)]
-    parts = parts.select("doc_id", "h", F.col("at.words").alias("word"), F.col("at.tfs").alias("tf"), *own_sums, (F.col("pos") == 0).cast("int").alias("whole"))
+    sums = {"whole": 0, "n_tokens": 0, "n_known": 0, "plain": 0.0, "model": 0.0, "n_bytes": 0}
+    own_sums = [F.when(F.col("pos") == 0, F.col(c)).otherwise(F.lit(none)).alias(c) for c, none in sums.items()]
+    parts = parts.select("doc_id", "h", F.col("at.words").alias("word"), F.col("at.tfs").alias("tf"), *own_sums)
     joined = parts.join(counts, "word", "left")
-    c = F.coalesce(F.col("c"), F.lit(0)) + 1
-    others = distinct - len(top)
+    rest = F.col("tf") * F.log10(F.coalesce(F.col("c"), F.lit(0)) + 1)
     summed = joined.groupBy("doc_id", "h").agg(
         F.sum("whole").alias("rows"),
         F.sum("n_tokens").alias("n_tokens"),
         F.sum(F.col("n_known") + F.when(F.col("c").isNotNull(), F.col("tf")).otherwise(0)).alias("n_known"),
-        F.sum(F.col("base") + F.col("tf") * F.log10(c / F.lit(float(total + distinct + 1)))).alias("base_score"),
-        F.sum(F.col("model") + F.col("tf") * F.log10(c / F.lit(float(rest + others + 1)))).alias("score"),
+        F.sum(F.col("plain") + rest - F.col("n_tokens") * F.lit(log10(total + distinct + 1))).alias("base_score"),
+        F.sum(F.col("model") + rest).alias("score"),
         F.sum("n_bytes").alias("n_bytes"),
     )
     each = summed.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))

@@ -187,9 +187,9 @@ def check_base(got, texts):
         assert r.score <= 0
 
 
-@pytest.mark.parametrize("coded", [4096, 20, 0])
-def test_lm_base(docs, rows, coded):
-    check_base({r.doc_id: r for r in lm_score.score(docs, coded=coded).collect()}, {r[0]: r[1] for r in rows})
+@pytest.mark.parametrize("own,buckets,known", [(2048, 2048, 1 << 16), (6, 3, 20), (0, 1, 0)])
+def test_lm_base(docs, rows, own, buckets, known):
+    check_base({r.doc_id: r for r in lm_score.score(docs, own=own, buckets=buckets, known=known).collect()}, {r[0]: r[1] for r in rows})
 
 
 def test_lm_table(spark):
@@ -200,19 +200,108 @@ def test_lm_table(spark):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def plain_model(texts, own, buckets, known):
+    """log10 probability of each text by a loop over bits, with counts in dictionaries under the same hashed contexts."""
+    def spell(words):
+        symbols = [place[w] if place.get(w, own) < own else own + zlib.crc32(w) % buckets for w in words]
+        past = [none, none, *symbols]
+        for i, s in enumerate(symbols):
+            one, two = past[i + 1] + 1, past[i] + 1
+            contexts = [one * 0x85EBCA77, one * 0x85EBCA77 + two * 0xC2B2AE3D + 1, two * 0x27D4EB2F]
+            path = range(int(code.starts[s]), int(code.starts[s] + code.lengths[s]))
+            yield [(int(code.bits[p]), [(0, int(code.nodes[p])), *((k + 1, slot(c % 2**32, int(code.nodes[p]))) for k, c in enumerate(contexts))]) for p in path]
+
+    def slot(context, node):
+        x = ((context ^ context >> 15) + (node + 1) * 0x9E3779B1) % 2**32
+        return (x ^ x >> 16) * 0xC2B2AE3D % 2**32 >> 32 - (slots.bit_length() - 1)
+
+    train = Counter(w for d, t in texts.items() if zlib.crc32(str(d).encode()) % 7 != 2 for w in words_of(t))
+    top = sorted(train.items(), key=lambda x: (-x[1], x[0]))
+    least = [c for _, c in top] + [0]
+    while top and len(top) > known:  # whole levels of eighths of a power of two go
+        level = math.floor(math.log2(top[-1][1]) * 8)
+        top = [x for x in top if math.floor(math.log2(x[1]) * 8) > level]
+    assert least
+    place = {w: i for i, (w, _) in enumerate(top)}
+    own = min(own, len(top))
+    counts, distinct = Counter(), Counter()
+    for w, c in train.items():
+        s = place[w] if place.get(w, own) < own else own + zlib.crc32(w) % buckets
+        counts[s] += c
+        distinct[s] += 1
+    code, none = lm_score.Code([counts[s] + (s >= own) for s in range(own + buckets)]), own + buckets
+    slots = lm_score.slots_for(sum(train.values()))
+    seen = Counter()
+    for d, t in texts.items():
+        if zlib.crc32(str(d).encode()) % 7 != 2:
+            seen.update((*at, bit) for word in spell(words_of(t)) for bit, ats in word for at in ats)
+    first, out = lm_score.first_weights().astype(float), {}
+    for d, t in texts.items():
+        words, weights, total = words_of(t), first.copy(), 0.0
+        spelled = list(spell(words))
+        for begin in range(0, len(words), lm_score.BLOCK):
+            change = np.zeros_like(weights)
+            for word in spelled[begin : begin + lm_score.BLOCK]:
+                for bit, ats in word:
+                    n = [(seen[(*at, 0)], seen[(*at, 1)]) for at in ats]
+                    x = np.array([round(math.log((b + 0.4) / (a + 0.4)) * 1024) / 1024 for a, b in n])
+                    gate = 0
+                    for a, b in n[1:]:
+                        gate = gate * 3 + (a + b > 0) + (a + b >= 30)
+                    p = 1 / (1 + math.exp(-max(-12.0, min(12.0, float(weights[gate] @ x)))))
+                    total += math.log10(p if bit else 1 - p)
+                    change[gate] += lm_score.RATE * (bit - p) * x
+            weights += change
+        for w in words:
+            if place.get(w, own) >= own:
+                s = own + zlib.crc32(w) % buckets
+                total += math.log10((train[w] + 1) / (counts[s] + distinct[s] + 1))
+        out[d] = total
+    return out
+
+
+@pytest.mark.parametrize("own,buckets,known", [(2048, 2048, 1 << 16), (6, 3, 20), (0, 1, 0)])
+def test_lm_score_equals_a_plain_loop(docs, rows, monkeypatch, own, buckets, known):
+    texts = {r[0]: r[1] for r in rows}
+    want = plain_model(texts, own, buckets, known)
+    for segment, group, cut in ((1 << 15, 1 << 17, 1 << 20), (2 * lm_score.BLOCK, 40, 50)):
+        for name, value in (("SEGMENT", segment), ("GROUP", group), ("CUT", cut)):
+            monkeypatch.setattr(lm_score, name, value)
+        got = lm_score.score(docs.coalesce(1), own=own, buckets=buckets, known=known).collect()
+        for r in got:
+            assert math.isclose(r.score, want[r.doc_id], rel_tol=2e-4, abs_tol=1e-3), r.doc_id
+
+
+def test_lm_cuts_change_no_words(monkeypatch):
+    texts = [b"", b" \n", b"a", "Ünder été 中文 ".encode() * 30, b"x" * 90 + b" y " + b"z" * 70, b"\tA b\x0bc  " * 40]
+    want = [lm_score.word_lists(t).__next__() for t in texts]
+    monkeypatch.setattr(lm_score, "CUT", 7)
+    assert [[w for part in lm_score.word_lists(t) for w in part] for t in texts] == want
+
+
 def test_lm_probabilities_sum_to_one():
-    """All words that may follow a history, by the code and the share among the others, have probability 1 together."""
-    words, counts, others = [b"a", b"b", b"c", b""], [9, 5, 3, 2], [2, 1]
-    code = lm_score.Code(words, counts, sum(others))
+    """All words that may follow a history have probability 1 together: symbols by the code, words by their shares of a bucket."""
+    words, counts = [b"a", b"b", b"c", b"", b"d", b"e"], [9, 5, 3, 2, 2, 1]
+    totals = [(0, 0)] * 3
+    for w, c in zip(words, counts, strict=True):
+        n = zlib.crc32(w) % 3
+        totals[n] = (totals[n][0] + c, totals[n][1] + 1)
+    own = lm_score.Words(words, counts, totals, own=2)
     random = np.random.default_rng(1)
-    mixer = lm_score.Mixer(random.integers(0, 50, (lm_score.ORDERS, lm_score.SLOTS, 2)).astype(float))
+    table = np.stack([lm_score.entries(random.integers(0, 50, (1 << 14, 2))) for _ in range(lm_score.ORDERS)])
     total = 0.0
-    for last in range(len(words) + 1):
-        symbols = np.array([0, 2, 1, last])
-        bit, slots, before = lm_score.bit_contexts(code, symbols, np.array([True, False, False, False]))
-        total += math.exp(mixer.bits(bit, slots, np.array([0]))[before[3] :].sum())
-    assert math.isclose(total, 1, rel_tol=1e-5)
-    assert math.isclose(sum(c + 1 for c in [*others, 0]) / (sum(others) + len(others) + 1), 1)
+    history = [b"a", b"c", b"unseen"] * lm_score.BLOCK
+    for symbol in range(own.own + own.buckets):
+        past = lm_score.Segment((0,), history, own, None, False)
+        last = lm_score.Segment((0,), [b"a"], own, past, True)
+        last.symbols = np.array([symbol])
+        mixer = lm_score.Mixer(own.code, table)
+        mixer.scores([past])
+        total += math.exp(mixer.scores([last])[0])
+    assert math.isclose(total, 1, rel_tol=1e-4)
+    for n in range(3):
+        inside = [10 ** own.inner[i] for i, w in enumerate(words) if i >= 2 and zlib.crc32(w) % 3 == n]
+        assert math.isclose(sum(inside) + 10 ** -own.below[n], 1)
 
 
 def test_odd_tables(odd, empty, labels):
