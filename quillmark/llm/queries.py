@@ -18,8 +18,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
-    both = bpe.bpe_decode(bpe.bpe_encode(docs, VOCABULARY), VOCABULARY)
+    both = bpe.bpe_round_trip(_table(spark, sf_dir, "documents"), VOCABULARY)
     return both.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
