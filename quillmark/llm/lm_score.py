@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, written
+from .common import from_planes, map_rows, planes, written
 
 #: Words with a symbol of their own, buckets of the others, words at most whose counts travel with the model (the counts of the
 #: others stay in Spark).
@@ -198,15 +198,6 @@ def context_slots(code: Code, place: np.ndarray, lengths: np.ndarray, one: np.nd
         yield mixed >> shift
 
 
-def planes(counts: np.ndarray) -> bytes:
-    """32-bit counts with all lowest bytes first, since the others are mostly zeros and shuffles are compressed."""
-    return counts.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
-
-
-def from_planes(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
-
-
 def entries(counts: np.ndarray) -> np.ndarray:
     """Table entries for counts of 0 and 1 (n x 2): the stretched probability in 1/1024ths times 4, plus the level: 0 never seen,
     1 less than 30 times, 2 more often."""

@@ -2,9 +2,9 @@
 
 Fingerprints within a radius r agree on at least one of r + 1 blocks of their bits, so each distinct fingerprint goes to r + 1
 buckets, one for each block's value. A bucket's fingerprints form shard trees of bounded size: BK-trees whose children are
-keyed by the Hamming distance to their parent. A bucket's shard trees are sent to all of the bucket's fingerprints, which
-follow only the edges within the radius. Trees travel by a shuffle to the tasks that need them and not through the driver,
-since all of them together hold every document's fingerprint.
+keyed by the Hamming distance to their parent, and a search follows only the edges within the radius. Each tree is built once, by
+the task that holds its shard, and its members are linked there. Where a bucket has several shards, their trees are broadcast as
+flat arrays to the other shards' fingerprints, as long as all of them together are small; else each travels by a shuffle to them.
 
 Links are reported as a spanning forest of each bucket, never as all pairs within a group.
 """
@@ -20,12 +20,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept_until, map_rows, release, written
+from .common import from_planes, map_rows, planes, release, written
 
-#: Most fingerprints in one shard tree; a larger bucket gets more trees, each visited by all its fingerprints.
+#: Most fingerprints in one shard tree, about; a larger bucket gets more trees, each visited by its other shards' fingerprints.
 TREE_SIZE = 20_000
+#: Bytes of trees that are broadcast at most.
+SENT = 32_000_000
 #: Shingles whose bits are counted at once.
 BLOCK = 65_536
+_STEP = np.dtype([("value", "<u8"), ("above", "<u4"), ("edge", "u1")])
 
 
 def fingerprint(data: bytes, words_each: int = 3, seed: int = 42) -> int:
@@ -64,17 +67,39 @@ class BKTree:
 
     def __init__(self) -> None:
         self.root: tuple[int, dict] | None = None
+        self.steps: list[tuple[int, int, int]] = []
+        self.places: dict[int, int] = {}
 
     def insert(self, value: int) -> None:
+        above = edge = 0
         if self.root is None:
             self.root = (value, {})
-            return
-        node = self.root
-        while distance := (node[0] ^ value).bit_count():
-            if (child := node[1].get(distance)) is None:
-                node[1][distance] = (value, {})
+        else:
+            node = self.root
+            while edge := (node[0] ^ value).bit_count():
+                if (child := node[1].get(edge)) is None:
+                    node[1][edge] = (value, {})
+                    above = self.places[node[0]]
+                    break
+                node = child
+            else:
                 return
-            node = child
+        self.places[value] = len(self.steps)
+        self.steps.append((value, above, edge))
+
+    def packed(self) -> bytes:
+        """The tree as a flat array of values, places of their parents and edges, in order of insertion."""
+        return np.array(self.steps, _STEP).tobytes()
+
+    @classmethod
+    def unpacked(cls, data: bytes) -> BKTree:
+        tree, nodes = cls(), []
+        for value, above, edge in np.frombuffer(data, _STEP).tolist():
+            nodes.append((value, {}))
+            if edge:
+                nodes[above][1][edge] = nodes[-1]
+        tree.root = nodes[0] if nodes else None
+        return tree
 
     def within(self, value: int, radius: int) -> Iterator[int]:
         """The tree's values at most radius away; a subtree is entered only if its edge can hold one."""
@@ -112,49 +137,84 @@ class Forest:
                 yield value, top
 
 
+MASK = (1 << 64) - 1
+
+
+def _signed(x: int) -> int:
+    return x - (x >> 63 << 64)
+
+
 def block_keys(fp: Column, radius: int) -> list[Column]:
     """One key for each of radius + 1 blocks of a 64-bit fingerprint: the block's bits above its number."""
     bounds = [64 * i // (radius + 1) for i in range(radius + 2)]
     return [F.shiftrightunsigned(fp, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)) * F.lit(radius + 1) + F.lit(i) for i, (lo, hi) in enumerate(zip(bounds, bounds[1:], strict=False))]
 
 
-def links(nodes: DataFrame, radius: int = 2, slack: int = 0, tree_size: int = TREE_SIZE) -> DataFrame:
-    """Edges (a, b) with b < a between nodes (columns node long, bits binary, buckets array<long>): a spanning forest of the links
-    that each bucket finds.
+def links(nodes: DataFrame, radius: int = 2, tree_size: int = TREE_SIZE, sent: int = SENT) -> DataFrame:
+    """Edges (a, b) between fingerprints (nodes: fp long, each once, not null): a spanning forest of the links that each bucket finds.
 
-    Nodes of one bucket at most radius bits apart end up connected. With slack, a node that close to a tree's value is linked to
-    it and not inserted, and the search goes 2 * slack further, so that large groups of near copies stay cheap; then nodes up to
-    radius + 2 * slack apart may be connected too.
+    Fingerprints at most radius bits apart end up connected. An empty table gives no edges.
     """
-    reach = radius + 2 * slack
-    spread = nodes.select("node", "bits", F.explode("buckets").alias("bucket"))
-    sizes = nodes.select(F.explode("buckets").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    spread = nodes.select("fp", F.explode(F.array(*block_keys(F.col("fp"), radius))).alias("bucket"))
+    sizes = spread.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     shards = F.ceil(F.col("n") / F.lit(tree_size)).cast("int")
-    kept = spread.join(sizes, "bucket").select("node", "bits", "bucket", shards.alias("shards")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("shards")).cast("int"))
-    # The tree of a shard is built beside each of the bucket's chunks of queries. A chunk holds what the shard of its number
-    # holds, so where the two are the same the members are the queries.
-    every = F.sequence(F.lit(0), F.col("shards") - 1)
-    place = lambda shard, chunk, query: F.struct(shard.alias("shard"), chunk.alias("chunk"), F.lit(query).alias("query"))
-    members = F.transform(every, lambda i: place(F.col("own"), i, 0))
-    queries = F.transform(F.filter(every, lambda i: i != F.col("own")), lambda i: place(i, F.col("own"), 1))
-    sent = kept.select("bucket", "node", "bits", F.explode(F.concat(members, queries)).alias("at")).select("bucket", "at.shard", "at.chunk", "at.query", "node", "bits")
-    dealt = sent.repartition("bucket", "shard", "chunk").sortWithinPartitions("bucket", "shard", "chunk", "query", "node")
-
-    def step(rows: Iterator[tuple]) -> Iterator[tuple]:
-        for (_, shard, chunk), group in groupby(rows, itemgetter(0, 1, 2)):
-            tree, owner, linked = BKTree(), {}, Forest()
-            for *_, query, node, bits in group:
-                value = int.from_bytes(bits, "big")
-                near = value if value in owner else next(tree.within(value, slack), None) if slack else None
-                if query or shard == chunk:
-                    for other in (near,) if near is not None else tree.within(value, reach):
-                        linked.link(node, owner[other])
-                if near is None and not query:
-                    tree.insert(value)
-                    owner[value] = node
-            yield from linked.edges()
-
-    return map_rows(dealt, "a long, b long", step)
+    kept = spread.join(sizes, "bucket").select("bucket", "fp", shards.alias("shards")).withColumn("shard", F.pmod(F.xxhash64("fp"), F.col("shards")).cast("int"))
+    dealt = kept.repartition("bucket", "shard").sortWithinPartitions("bucket", "shard", "fp")
+
+    def grow(rows: Iterator[tuple]) -> Iterator[tuple]:
+        for (bucket, shard), group in groupby(rows, itemgetter(0, 1)):
+            tree, linked, shards = BKTree(), Forest(), 1
+            for *_, fp, shards in group:  # noqa: B007
+                value = fp & MASK
+                for other in tree.within(value, radius):
+                    linked.link(value, other)
+                tree.insert(value)
+            yield from ((_signed(a), _signed(b), None, None, None) for a, b in linked.edges())
+            if shards > 1:
+                yield None, None, bucket, shard, tree.packed()
+
+    grown = written(map_rows(dealt.select("bucket", "shard", "fp", "shards"), "a long, b long, bucket long, shard int, tree binary", grow), "trees")
+    edges, trees = grown.where("tree is null").select("a", "b"), grown.where("tree is not null").select("bucket", "shard", "tree")
+    size = trees.agg(F.sum(F.octet_length("tree"))).first()[0]
+    if not size:
+        return edges
+    # between shards: a fingerprint visits the trees of its bucket's shards before its own
+    asking = kept.where("shard > 0").select("bucket", F.col("shard").alias("chunk"), "fp")
+
+    def visit(tree: BKTree, fp: int, linked: Forest) -> None:
+        value = fp & MASK
+        for other in tree.within(value, radius):
+            linked.link(value, other)
+
+    if size <= sent:
+        held = nodes.sparkSession.sparkContext.broadcast([tuple(r) for r in trees.collect()])
+
+        def search(rows: Iterator[tuple]) -> Iterator[tuple]:
+            near: dict[int, list] = {}
+            for bucket, shard, tree in held.value:
+                near.setdefault(bucket, []).append((shard, BKTree.unpacked(tree)))
+            linked = Forest()
+            for bucket, chunk, fp in rows:
+                for shard, tree in near.get(bucket, ()):
+                    if shard < chunk:
+                        visit(tree, fp, linked)
+            yield from ((_signed(a), _signed(b)) for a, b in linked.edges())
+
+        return edges.union(map_rows(asking, "a long, b long", search))
+    most = kept.where("shards > 1").select("bucket", "shards").distinct()
+    sent_trees = trees.join(most, "bucket").where(F.col("shard") < F.col("shards") - 1)
+    sent_trees = sent_trees.select("bucket", "shard", F.explode(F.sequence(F.col("shard") + 1, F.col("shards") - 1)).alias("chunk"), "tree", F.lit(None).cast("long").alias("fp"))
+    asked = asking.select("bucket", F.explode(F.sequence(F.lit(0), F.col("chunk") - 1)).alias("shard"), "chunk", F.lit(None).cast("binary").alias("tree"), "fp")
+    met = sent_trees.union(asked).repartition("bucket", "shard", "chunk").sortWithinPartitions("bucket", "shard", "chunk", F.col("fp").asc_nulls_first())
+
+    def search_one(rows: Iterator[tuple]) -> Iterator[tuple]:
+        for _, group in groupby(rows, itemgetter(0, 1, 2)):
+            tree, linked = BKTree.unpacked(next(group)[3]), Forest()
+            for *_, fp in group:
+                visit(tree, fp, linked)
+            yield from ((_signed(a), _signed(b)) for a, b in linked.edges())
+
+    return edges.union(map_rows(met, "a long, b long", search_one))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -190,17 +250,21 @@ def near_duplicates(docs: DataFrame, words_each: int = 3, radius: int = 2, tree_
     """
     marked = written(fingerprints(docs, words_each, id_col, text_col), "fingerprints")
     distinct = written(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    nodes = distinct.select(F.col("fp").alias("node"), F.unhex(F.lpad(F.hex("fp"), 16, "0")).alias("bits"), F.array(*block_keys(F.col("fp"), radius)).alias("buckets"))
-    joined = components(links(nodes, radius, tree_size=tree_size))
+    return marked.join(_named(distinct, radius, tree_size), "fp").select("doc_id", "fp", "component_id")
+
+
+def _named(distinct: DataFrame, radius: int, tree_size: int = TREE_SIZE) -> DataFrame:
+    """fp and component_id of distinct fingerprints (fp, first: their smallest doc_id)."""
+    joined = components(links(distinct.select("fp"), radius, tree_size))
     # fp -> component root (itself where unlinked) -> smallest doc_id below that root
     rooted = distinct.join(joined, distinct.fp == joined.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     linked = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.select("fp", "root").join(linked, "root").select("fp", "component_id")
-    return marked.join(named, "fp").select("doc_id", "fp", "component_id")
+    return rooted.select("fp", "root").join(linked, "root").select("fp", "component_id")
 
 
-#: Slots in which shingles are counted before they are put in order (a fixed size), and counts that travel together.
-SEEN, ROWS = 1 << 20, 1 << 15
+#: Slots in which shingles are counted before they are put in order, and bits of the set of shingles met again, as a power of two
+#: (2^27 bits: 16 MB); both sizes are fixed. Cells and bits that travel together, slots a task holds before it hands them on.
+SEEN, SET_BITS, ROWS, ROW_BITS, HELD = 1 << 22, 27, 1 << 16, 19, 3_000_000
 #: Texts that may hold a shingle for all their pairs to be compared at once.
 GROUP = 64
 
@@ -216,26 +280,71 @@ def shingle_hashes(data: bytes, words_each: int) -> np.ndarray:
     return np.unique(np.array([xxhash.xxh3_64_intdigest(text[a : b - 1]) for a, b in zip(starts, last, strict=False)], np.uint64))
 
 
-def _seen(texts: DataFrame, words_each: int) -> np.ndarray:
-    """About how many texts hold a shingle of each slot. Its fixed size is what reaches the driver (8 MB)."""
+def print_of(hashes: np.ndarray) -> int:
+    """64-bit SimHash of distinct shingle hashes."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), BLOCK):
+        part = hashes[at : at + BLOCK].astype("<u8")
+        counts += np.unpackbits(part.view(np.uint8), bitorder="little").reshape(-1, 64).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
+
+
+def _met(texts: DataFrame, words_each: int, set_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The set of shingles (low bits of their hashes) that were met more than once, and about how many texts hold those of each slot.
+
+    Neither size depends on the data (32 MB together reach the driver). A full set or a crowded slot costs time and changes no
+    result. Tasks send sorted places as differences, mostly one byte each.
+    """
+    low, row_bits = np.uint64((1 << set_bits) - 1), min(set_bits, ROW_BITS)
 
     def count(rows: Iterator[tuple]) -> Iterator[tuple]:
         table = np.zeros(SEEN, np.int64)
+        held: list[np.ndarray] = []
+        size = 0
+
+        def places() -> Iterator[tuple]:
+            own, n = np.unique(np.concatenate(held), return_counts=True)
+            for part in (own, own[n > 1]):
+                edges = np.searchsorted(part, np.arange((1 << set_bits - row_bits) + 1) << row_bits)
+                for row, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
+                    if a < b:
+                        yield row, planes(np.diff(part[a:b], prepend=row << row_bits))
+
         for (data,) in rows:
-            np.add.at(table, (shingle_hashes(data, words_each) % np.uint64(SEEN)).astype(np.int64), 1)
+            hashes = shingle_hashes(data, words_each)
+            np.add.at(table, (hashes >> np.uint64(40)).astype(np.int64) % SEEN, 1)
+            held.append((hashes & low).astype(np.int64))
+            size += len(hashes)
+            if size >= HELD:
+                yield from places()
+                held.clear()
+                size = 0
+        if held:
+            yield from places()
         for at in range(0, SEEN, ROWS):
             if table[at : at + ROWS].any():
-                yield at, table[at : at + ROWS].tobytes()
+                yield -1 - at, planes(table[at : at + ROWS])
 
     def total(rows: Iterator[tuple]) -> Iterator[tuple]:
         for at, group in groupby(rows, itemgetter(0)):
-            yield at, sum(np.frombuffer(data, np.int64) for _, data in group).tobytes()
+            if at < 0:
+                yield at, sum(from_planes(data) for _, data in group).astype("<u4").tobytes()
+                continue
+            once, again = np.zeros(1 << row_bits, bool), np.zeros(1 << row_bits, bool)
+            for _, data in group:
+                own = np.cumsum(from_planes(data))
+                again[own] |= once[own]
+                once[own] = True
+            yield at, np.packbits(again, bitorder="little").tobytes()
 
     parts = map_rows(texts.select("data"), "at long, data binary", count)
-    out = np.zeros(SEEN, np.int64)
+    seen, flags, size = np.zeros(SEEN, np.uint32), np.zeros(1 << set_bits - 3, np.uint8), 1 << row_bits - 3
     for at, data in map_rows(parts.repartition("at").sortWithinPartitions("at"), "at long, data binary", total).collect():
-        out[at : at + ROWS] = np.frombuffer(data, np.int64)
-    return out
+        if at < 0:
+            seen[-1 - at : -1 - at + ROWS] = np.frombuffer(data, "<u4")
+        else:
+            flags[at * size : (at + 1) * size] = np.frombuffer(data, np.uint8)
+    return flags, seen
 
 
 def _alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -257,13 +366,19 @@ def _several(index: DataFrame) -> DataFrame:
     return index.join(index.groupBy("shingle").count().where("count > 1").select("shingle"), "shingle")
 
 
-def near_copies(docs: DataFrame, words_each: int = 5, least: float = 0.8, group: int = GROUP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_copies(docs: DataFrame, words_each: int = 5, least: float = 0.8, radius: int = 3, group: int = GROUP, set_bits: int = SET_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, leader) of the documents that repeat an earlier one, so that one document of each group stays.
 
-    Documents of equal text repeat the one with the smallest id. Of the other texts, the exact Jaccard similarity of shingle sets
-    decides: in order of id, a text that is alike (at least least) to a kept one goes, any other is kept. The rule is the same at
-    every size, and no pair is missed: sets of n shingles that are alike share one of the first (1 - least) * n + 1 in any fixed
-    order, here with those that few texts hold before the others, so a join on these shingles finds every pair.
+    Documents of equal text repeat the one with the smallest id. Other texts are alike if the exact Jaccard similarity of their
+    shingle sets is at least least. They go in two steps, by the same rules at every size:
+
+    1. SimHash: texts whose fingerprints (of shingle sets) are linked over at most radius bits form a group; a text that is alike
+       to its group's first goes.
+    2. Of the texts left, in order of id, one that is alike to a kept one goes, any other is kept. No pair is missed here: sets of
+       n shingles that are alike share one of the first (1 - least) * n + 1 in any fixed order, so a join on these finds all pairs.
+       First come shingles that no other text holds, then those that few hold; texts whose first ones are all their own take no part.
+
+    So no two kept texts are alike, and each leader is kept or goes for an earlier leader that it is alike to.
 
     While a shingle has more than group texts, rounds decide the texts that have no earlier candidate left and compare only them
     with the others, as long as that decides a fiftieth of the texts or more. These rounds save pairs and change no result.
@@ -274,30 +389,46 @@ def near_copies(docs: DataFrame, words_each: int = 5, least: float = 0.8, group:
     key, data = F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     rows = docs.where(key.isNotNull()).select(key.alias("doc_id"), F.xxhash64(data).alias("h"), F.md5(data).alias("m"), data.alias("data"))
     spark = docs.sparkSession
-    marked = rows.select("doc_id", "h", "m")
+    marked = rows.select("doc_id", "h", "m").distinct()
     copies = written(marked.join(marked.groupBy("h", "m").agg(F.min("doc_id").alias("leader")), ["h", "m"]), "copies")
     own = copies.where("doc_id = leader").groupBy("doc_id").agg(F.min(F.struct("h", "m")).alias("one")).select("doc_id", "one.h", "one.m")
-    texts = written(rows.join(own, ["doc_id", "h", "m"]).dropDuplicates(["doc_id"]).select("doc_id", "data"), "texts")
-    seen = spark.sparkContext.broadcast(_seen(texts, words_each))
+    shared = spark.sparkContext.broadcast(_met(rows, words_each, set_bits))
+    release(spark)
 
-    def first(rows: Iterator[tuple]) -> Iterator[tuple]:
-        for doc, data in rows:
+    def sketch(rows: Iterator[tuple]) -> Iterator[tuple]:
+        flags, seen = shared.value
+        low = np.uint64((1 << set_bits) - 1)
+        for doc, h, m, data in rows:
             every = shingle_hashes(data, words_each)
-            n = len(every)
-            order = np.lexsort((every, seen.value[(every % np.uint64(SEEN)).astype(np.int64)]))
-            for x in every[order[: int((1 - least) * n + 1e-9) + 1]].view(np.int64).tolist():
+            place = (every & low).astype(np.int64)
+            again = flags[place >> 3] >> (place & 7).astype(np.uint8) & 1
+            n, own = len(every), len(every) - int(again.sum())
+            first, own_print = int((1 - least) * n + 1e-9) + 1, _signed(print_of(every))
+            if first > own:
+                met = every[again > 0]
+                met = met[np.lexsort((met, seen[(met >> np.uint64(40)).astype(np.int64) % SEEN]))[: first - own]]
+                yield doc, h, m, n, own_print, met.tobytes(), every.tobytes()
+            else:
+                yield doc, h, m, n, own_print, None, None
+
+    def opened(rows: Iterator[tuple]) -> Iterator[tuple]:
+        for doc, n, met in rows:
+            for x in np.frombuffer(met, np.int64).tolist():
                 yield x, doc, n
 
-    def hashes(rows: Iterator[tuple]) -> Iterator[tuple]:
-        for doc, data in rows:
-            yield doc, shingle_hashes(data, words_each).tobytes()
-
-    heads, done_with_heads = kept_until(map_rows(texts, "shingle long, doc_id long, n int", first), "heads")
-    index = written(_several(heads), "index")
-    done_with_heads()
-    sets = written(map_rows(texts.join(index.select("doc_id").distinct(), "doc_id"), "doc_id long, shingles binary", hashes), "shingles")
+    sketched = map_rows(rows.select("doc_id", "h", "m", "data"), "doc_id long, h long, m string, n int, fp long, met binary, shingles binary", sketch)
+    heads = written(sketched.join(own, ["doc_id", "h", "m"]).select("doc_id", "n", "fp", "met", "shingles"), "heads")
+    some = heads.where("met is not null")
+    sets = some.select("doc_id", "shingles")
+    if not some.groupBy("doc_id").count().where("count > 1").isEmpty():
+        sets = sets.dropDuplicates(["doc_id"])
+    distinct = written(heads.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
+    near = heads.select("doc_id", "fp").join(_named(distinct, radius), "fp").where("doc_id != component_id")
+    like = written(_alike(near.select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")).distinct(), sets, least), "alike")
+    left = some.select("doc_id", "n", "met").join(like.select(F.col("a").alias("doc_id")), "doc_id", "left_anti")
+    index = written(_several(map_rows(left, "shingle long, doc_id long, n int", opened).distinct()), "index")
     release(spark)
-    gone = copies.where("doc_id != leader").select("doc_id", "leader")
+    gone = copies.where("doc_id != leader").select("doc_id", "leader").union(like.select(F.col("a").alias("doc_id"), F.col("b").alias("leader")))
     sized = F.least("n", "m") >= F.greatest("n", "m") * F.lit(least) - F.lit(1e-9)
     while not index.groupBy("shingle").count().where(F.col("count") > group).isEmpty():
         met = index.join(index.groupBy("shingle").agg(F.min("doc_id").alias("b")), "shingle")
