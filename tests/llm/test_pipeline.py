@@ -17,9 +17,10 @@ def test_stages_one_by_one(spark):
     kept = cp.near_duplicate_stage(spark, good, SMALL).collect()
     sets = {r.doc_id: set(simhash.shingle_hashes(r.text.encode(), 5).tolist()) for r in good.collect()}
     alike = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    leaders = {r.doc_id: r.leader for r in simhash.near_copies(good).collect()}
     ids = [r.doc_id for r in kept]
     assert not any(alike(a, b) for a in ids for b in ids if a < b)
-    assert all(any(alike(d, k) for k in ids if k < d) for d in sets.keys() - set(ids)) and len(ids) < len(sets)
+    assert all(alike(d, k) and k < d and leaders.get(k, k) in ids for d, k in leaders.items()) and leaders.keys() == sets.keys() - set(ids) and leaders
     frame = spark.createDataFrame(kept, docs.schema)
     clean = cp.secret_stage(spark, frame, SMALL)
     before = {r.doc_id: r.text for r in kept}
@@ -47,3 +48,28 @@ def test_run_and_odd_tables(spark, docs, rows):
         assert out.count() > 0
     twice = docs.union(docs)
     assert cp.near_duplicate_stage(spark, twice, SMALL).count() == cp.near_duplicate_stage(spark, docs, SMALL).count()
+
+
+CLASHING = ["gone_id", "span_id", "span_hash", "span_list", "plan_id", "plan_rows", "plan_row", "leader", "predicted", "epoch", "_id", "__rows", "h"]
+
+
+def test_clashing_columns_and_null_ids(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    more = docs.select("*", *(F.lit(f"{c} of ").alias(c) for c in CLASHING))
+    for c in CLASHING:
+        more = more.withColumn(c, F.concat(c, F.col("doc_id").cast("string")))
+    for _, stage in cp.STAGES[:-1]:
+        out = stage(spark, more, SMALL)
+        assert sorted(out.columns) == sorted(more.columns)
+        rows = out.collect()
+        assert rows and all(r[c] == f"{c} of {r.doc_id}" for r in rows for c in CLASHING)
+        assert sorted(r.doc_id for r in rows) == sorted(r.doc_id for r in stage(spark, docs, SMALL).collect())
+
+
+def test_null_ids_and_texts_through_all_stages(spark, tmp_path):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    nothing = spark.createDataFrame([(None, "some words without an id", None, None, None), (None, None, "en", "s", 0), (10**9, None, None, None, None)], docs.schema)
+    docs.union(nothing).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.read.parquet(f"{SMALL}/labels.parquet").write.parquet(str(tmp_path / "labels.parquet"))
+    rows = cp.run(spark, str(tmp_path)).collect()
+    assert sum(r.doc_id is None for r in rows) >= 1 and len(rows) > 50
