@@ -25,9 +25,11 @@ from pyspark.sql import functions as F
 
 from .common import from_planes, map_rows, planes, written
 
-#: Words with a symbol of their own, buckets of the others, words at most whose counts travel with the model (the counts of the
-#: others stay in Spark).
-OWN, BUCKETS, KNOWN = 2048, 2048, 1 << 16
+#: Words with a symbol of their own, buckets of the others.
+OWN, BUCKETS = 2048, 2048
+#: Known words are those whose counts travel with the model, the counts of the others stay in Spark: training words for each known
+#: one, and bounds of their number.
+WORDS_A_KNOWN, FEWEST_KNOWN, MOST_KNOWN = 256, 1 << 12, 1 << 18
 #: Predictors, training words for each slot of a predictor's table, and bounds of the slots as powers of two.
 ORDERS, WORDS_A_SLOT, FEWEST, MOST = 4, 64, 14, 21
 #: Words after which the weights are refined, step of the refinement, gates (three levels for each predictor with a history).
@@ -273,9 +275,9 @@ class Mixer:
             if k:
                 gate *= 3
                 gate += entry & 3
-        inputs *= np.float32(1 / 1024)
+        # with the sign of the bit, the weighted sum is the stretched probability of the bit that is there
+        inputs *= ((2 * self.code.bits[place] - 1) / 1024).astype(np.float32)
         gate += np.repeat(owner.astype(np.int32) * GATES, lengths)
-        bit = self.code.bits[place].astype(np.float32)
         ends = np.cumsum(lengths)
         steps = np.flatnonzero(np.append(block[1:] != block[:-1], True))
         edges = [0, *ends[steps].tolist()]
@@ -286,38 +288,37 @@ class Mixer:
         for i, at in enumerate(order.tolist()):
             if not group[at].first:
                 weights[:, i * GATES : (i + 1) * GATES] = self.kept.T
-        logs = np.empty(len(place), np.float32)
+        chances = np.empty(len(place), np.float32)
         for a, b, m in zip(edges, edges[1:], active.tolist(), strict=False):
             own = gate[a:b]
             x = inputs[:, a:b]
             z = weights[0][own] * x[0]
             for k in range(1, ORDERS):
                 z += weights[k][own] * x[k]
-            np.clip(z, -12, 12, out=z)
-            y = bit[a:b]
-            # log p(bit) = -log(1 + exp(-z)) for 1 and with z for 0
-            p = 1 / (1 + np.exp(-z))
-            logs[a:b] = np.log(np.where(y > 0, p, 1 - p))
-            error = (y - p) * np.float32(RATE)
+            p = 1 / (1 + np.exp(-np.clip(z, -12, 12, out=z)))
+            chances[a:b] = p
+            error = (1 - p) * np.float32(RATE)
             for k in range(ORDERS):
                 weights[k][: m * GATES] += np.bincount(own, error * x[k], m * GATES)
         for i, at in enumerate(order.tolist()):
             if not group[at].last:
                 self.kept = weights[:, i * GATES : (i + 1) * GATES].T.copy()
-        sums = np.concatenate([[0.0], np.cumsum(logs, dtype=np.float64)])
+        sums = np.concatenate([[0.0], np.cumsum(np.log(chances), dtype=np.float64)])
         each = sums[ends] - sums[ends - lengths]
         out = np.empty(n)
         out[order] = np.bincount(owner, each, n)
         return out
 
 
-def known_words(counts: DataFrame, known: int, buckets: int) -> tuple[list, list, int, int]:
+def known_words(counts: DataFrame, known: int | None, buckets: int) -> tuple[list, list, int, int]:
     """The most frequent words (word, c), at most known of them; sums and distinct words of each bucket; all counts, all words.
 
     Words come by a least count, the smallest that leaves no more than known. What reaches the driver has a bound: known rows, a
     row for each bucket, and one for each eighth of a power of two.
     """
     levels = counts.groupBy(F.floor(F.log2("c") * 8).alias("level")).agg(F.count("*").alias("n"), F.sum("c").alias("c"), F.min("c").alias("least")).collect()
+    total, distinct = sum(r.c for r in levels), sum(r.n for r in levels)
+    known = min(MOST_KNOWN, max(FEWEST_KNOWN, total // WORDS_A_KNOWN)) if known is None else known
     least, size = None, 0
     for r in sorted(levels, key=lambda r: -r.level):
         size += r.n
@@ -328,7 +329,7 @@ def known_words(counts: DataFrame, known: int, buckets: int) -> tuple[list, list
     totals = [(0, 0)] * buckets
     for r in counts.groupBy((F.crc32("word") % buckets).alias("bucket")).agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect():
         totals[r.bucket] = (r.c, r.n)
-    return sorted(top, key=lambda x: (-x[1], x[0])), totals, sum(r.c for r in levels), sum(r.n for r in levels)
+    return sorted(top, key=lambda x: (-x[1], x[0])), totals, total, distinct
 
 
 def slots_for(words: int) -> int:
@@ -336,7 +337,7 @@ def slots_for(words: int) -> int:
     return 1 << max(FEWEST, min(MOST, int(log2(max(1, words / WORDS_A_SLOT)))))
 
 
-def score(docs: DataFrame, own: int = OWN, buckets: int = BUCKETS, known: int = KNOWN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, own: int = OWN, buckets: int = BUCKETS, known: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte of every whole text.
 
     base_score: log10 of the add-one unigram probability. score: log10 of the mixing model's. bits_per_byte: the score in bits over
@@ -344,7 +345,7 @@ def score(docs: DataFrame, own: int = OWN, buckets: int = BUCKETS, known: int =
     as text, modulo 7, is not 2; a null id is learned from. Null texts count as empty, which still have their end. Repeated rows
     are learned from as often and give equal rows; an empty table gives none. Other columns are not carried on.
 
-    Of the words, only the known ones travel with the model; a join brings the counts of the others to the words of each document.
+    Of the words, only the known ones travel with the model (as many as the corpus asks for where known is None); a join brings the counts of the others to the words of each document.
     Those are rare, so no key is hot. A document is worked on in segments, so its length has no bearing on memory, and its weights
     go on from segment to segment.
     """
@@ -371,19 +372,18 @@ def score(docs: DataFrame, own: int = OWN, buckets: int = BUCKETS, known: int =
 
     parts = map_rows(rows, "doc_id long, h long, words array<binary>, tfs array<long>, whole int, n_tokens long, n_known long, plain double, model double, n_bytes long", step)
     # a row for each word; the segment's own sums stay with the first
-    parts = parts.select("*", F.posexplode(F.arrays_zip("words", "tfs")).alias("pos", "at"))
-    sums = {"whole": 0, "n_tokens": 0, "n_known": 0, "plain": 0.0, "model": 0.0, "n_bytes": 0}
-    own_sums = [F.when(F.col("pos") == 0, F.col(c)).otherwise(F.lit(none)).alias(c) for c, none in sums.items()]
-    parts = parts.select("doc_id", "h", F.col("at.words").alias("word"), F.col("at.tfs").alias("tf"), *own_sums)
+    own_sums = F.struct("whole", "n_tokens", "n_known", "plain", "model", "n_bytes")
+    parts = parts.select("doc_id", "h", own_sums.alias("own"), F.posexplode(F.arrays_zip("words", "tfs")).alias("pos", "at"))
+    parts = parts.select("doc_id", "h", F.col("at.words").alias("word"), F.col("at.tfs").alias("tf"), F.when(F.col("pos") == 0, F.col("own")).alias("own"))
     joined = parts.join(counts, "word", "left")
-    rest = F.col("tf") * F.log10(F.coalesce(F.col("c"), F.lit(0)) + 1)
+    rest = F.sum(F.col("tf") * F.log10(F.coalesce(F.col("c"), F.lit(0)) + 1))
     summed = joined.groupBy("doc_id", "h").agg(
-        F.sum("whole").alias("rows"),
-        F.sum("n_tokens").alias("n_tokens"),
-        F.sum(F.col("n_known") + F.when(F.col("c").isNotNull(), F.col("tf")).otherwise(0)).alias("n_known"),
-        F.sum(F.col("plain") + rest - F.col("n_tokens") * F.lit(log10(total + distinct + 1))).alias("base_score"),
-        F.sum(F.col("model") + rest).alias("score"),
-        F.sum("n_bytes").alias("n_bytes"),
+        F.sum("own.whole").alias("rows"),
+        F.sum("own.n_tokens").alias("n_tokens"),
+        (F.sum("own.n_known") + F.sum(F.when(F.col("c").isNotNull(), F.col("tf")).otherwise(0))).alias("n_known"),
+        (F.sum("own.plain") + rest - F.sum("own.n_tokens") * F.lit(log10(total + distinct + 1))).alias("base_score"),
+        (F.sum("own.model") + rest).alias("score"),
+        F.sum("own.n_bytes").alias("n_bytes"),
     )
     each = summed.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
     one = lambda c: (F.col(c) / F.col("rows")).alias(c)
