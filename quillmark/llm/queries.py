@@ -68,6 +68,7 @@ def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
         "media_bytes",
         "media_sha256",
         F.concat_ws("|", "n_frames", F.size("first"), F.array_join("start_ms", ",")).alias("feature"),
+        F.array_join(F.zip_with("start_ms", "end_ms", lambda a, b: F.concat_ws("-", a, b)), ",").alias("clips"),
     )
 
 

@@ -2,7 +2,9 @@
 
 import hashlib
 import json
+import math
 import random
+import struct
 import zlib
 from array import array
 
@@ -261,12 +263,15 @@ def test_media_round_trip(docs, rows):
     assert media.clips(media.read_media(stored)).where("start_ms >= end_ms").isEmpty()
 
 
-def test_media_any_bytes_and_damage():
+def test_media_any_bytes_and_damage(monkeypatch):
     payload = bytes(range(256)) * 3
     whole = media.write_avi(payload)
-    assert media.read_avi(whole)[1].tobytes() == payload
+    assert media.read_avi(whole)[1] == payload
+    monkeypatch.setattr(media, "TOGETHER", 3)
+    long = b"abc" * 640
+    assert media.read_avi(media.write_avi(long))[1] == long
     plain = media.write_avi(b"a" * 384)
-    for bad in (b"", plain[:50], plain.replace(b"\xff\xd8", b"\xff\xd7", 1), plain[:-20]):
+    for bad in (b"", plain[:50], plain.replace(b"\xff\xd8", b"\xff\xd7", 1), plain[:-20], plain.replace(b"\0a\0a", b"\1a\0a", 1)):
         with pytest.raises((ValueError, StopIteration, IndexError)):
             media.read_avi(bad)
 
@@ -274,8 +279,124 @@ def test_media_any_bytes_and_damage():
 def test_media_shots_find_a_cut():
     r = random.Random(1)
     calm = lambda base: bytes(base + r.randint(0, 3) for _ in range(192 * 40))
-    frames = media.read_avi(media.write_avi(calm(60) + calm(180)))[1]
-    assert 40 in media.shots(media.histograms(frames))
+    assert 40 in media.shots(media.read_avi(media.write_avi(calm(60) + calm(180)))[2])
+    # a change in the last component alone is a cut, too
+    one = lambda base: b"".join(calm(60)[:128] + bytes(base + r.randint(0, 3) for _ in range(64)) for _ in range(40))
+    assert 40 in media.shots(media.read_avi(media.write_avi(one(60) + one(180)))[2])
+
+
+def plain_samples(block, steps):
+    """Samples (8 x 8) of one block by the sums in the definition of the inverse DCT."""
+    zigzag = sorted(((u, v) for u in range(8) for v in range(8)), key=lambda p: (p[0] + p[1], p[0] if (p[0] + p[1]) % 2 else p[1]))
+    scale = lambda u: math.sqrt(0.5) if u == 0 else 1.0
+    out = []
+    for x in range(8):
+        for y in range(8):
+            total = sum(c * q * scale(u) * scale(v) / 4 * math.cos((2 * x + 1) * u * math.pi / 16) * math.cos((2 * y + 1) * v * math.pi / 16) for c, q, (u, v) in zip(block, steps, zigzag, strict=True) if c)
+            out.append(min(255.0, max(0.0, total + 128)))
+    return out
+
+
+def test_media_histograms_equal_a_plain_loop():
+    r = random.Random(6)
+    payload = bytes(r.choice(b"etaoin shrdlu,.") for _ in range(192 * 6))
+    want = []
+    for f in range(6):
+        hist = []
+        for c in range(3):
+            own = payload[f * 192 + c * 64 : f * 192 + c * 64 + 64]
+            samples = plain_samples([b - 255 if b < 128 else b for b in own], [1] * 64)
+            hist += [sum(int(s // 16) == k for s in samples) for k in range(16)]
+        want.append(hist)
+    got = media.read_avi(media.write_avi(payload))[2]
+    assert got.shape == (6, 48) and abs(got - want).sum() <= 12  # the kernel has whole 1/4096ths, so of 1,152 samples a few may cross a bin's bound
+
+
+def other_writer(blocks, steps, width, height, sampling, restart=0):
+    """A baseline frame by canonical Huffman codes of many lengths. blocks: by component, in order of the scan."""
+    used = [{0} | {i for i in range(12)}, {0, 0xF0} | {r << 4 | s for r in range(16) for s in range(1, 11)}]
+    codes, segments = [], b""
+    for kind, symbols in enumerate(used):
+        order, counts, code, table, length = sorted(symbols), [0] * 16, 0, {}, 2
+        while order:  # one code of each short length, then all others
+            take = order if (1 << length) - code > len(order) else order[:1]  # all ones are no code
+            for s in take:
+                table[s] = f"{code:0{length}b}"
+                code += 1
+            counts[length - 1], order = len(take), order[len(take) :]
+            code, length = code << 1, length + 1
+        codes.append(table)
+        segments += media._segment(0xC4, bytes([kind << 4]) + bytes(counts) + bytes(table))
+    bits, out, scan = "", b"", b""
+
+    def flush():
+        nonlocal bits
+        bits += "1" * (-len(bits) % 8)
+        data = int(bits, 2).to_bytes(len(bits) // 8, "big") if bits else b""
+        bits = ""
+        return data.replace(b"\xff", b"\xff\0")
+
+    def put(value, size):
+        return f"{value if value > 0 else value + (1 << size) - 1:0{size}b}" if size else ""
+
+    n = len(blocks[0]) // (sampling[0][0] * sampling[0][1])
+    before, at = [0] * len(blocks), [0] * len(blocks)
+    for unit in range(n):
+        if restart and unit and unit % restart == 0:
+            out += flush() + bytes([255, 0xD0 + (unit // restart - 1) % 8])
+            before = [0] * len(blocks)
+        for c, (a, d) in enumerate(sampling):
+            for _ in range(a * d):
+                block = blocks[c][at[c]]
+                at[c] += 1
+                diff, before[c] = block[0] - before[c], block[0]
+                bits += codes[0][abs(diff).bit_length()] + put(diff, abs(diff).bit_length())
+                last = max((k for k in range(1, 64) if block[k]), default=0)
+                run = 0
+                for k in range(1, last + 1):
+                    if not block[k]:
+                        run += 1
+                        continue
+                    while run > 15:
+                        bits += codes[1][0xF0]
+                        run -= 16
+                    size = abs(block[k]).bit_length()
+                    bits += codes[1][run << 4 | size] + put(block[k], size)
+                    run = 0
+                if last < 63:
+                    bits += codes[1][0]
+    scan = out + flush()
+    head = b"\xff\xd8" + b"".join(media._segment(0xDB, bytes([i]) + bytes(q)) for i, q in enumerate(steps))
+    head += media._segment(0xC0, struct.pack(">BHHB", 8, height, width, len(blocks)) + b"".join(bytes([i + 1, a << 4 | d, i % len(steps)]) for i, (a, d) in enumerate(sampling)))
+    head += segments + (media._segment(0xDD, struct.pack(">H", restart)) if restart else b"")
+    head += media._segment(0xDA, bytes([len(blocks)]) + b"".join(bytes([i + 1, 0]) for i in range(len(blocks))) + b"\0\x3f\0")
+    return head + scan + b"\xff\xd9"
+
+
+@pytest.mark.parametrize("restart", [0, 2])
+def test_media_reads_another_writers_frames(restart):
+    r = random.Random(9)
+    block = lambda: [r.randint(-200, 200), *(r.randint(-60, 60) if r.random() < 0.2 else 0 for _ in range(63))]
+    sampling = [(2, 2), (1, 1), (1, 1)]
+    blocks = [[block() for _ in range(6 * a * d)] for a, d in sampling]  # 48 x 32 samples: six units of 16 x 16
+    steps = [[1 + k // 4 for k in range(64)], [3 + k // 2 for k in range(64)]]
+    frame = other_writer(blocks, steps, 48, 32, sampling, restart)
+    got = media.decode_frame(frame)
+    assert [x.tolist() for x in got] == blocks
+    own = media.layout(frame)
+    assert not own.plain() and own.steps().tolist() == [steps[0], steps[1], steps[0]]
+    hist = media.histograms([x[None] for x in got], own.steps())
+    for c in range(3):
+        samples = [s for b in blocks[c] for s in plain_samples(b, steps[c % 2])]
+        assert abs(hist[0, c * 16 : c * 16 + 16] - [sum(int(s // 16) == k for s in samples) for k in range(16)]).sum() <= 8
+    for bad in (frame[:-40] + b"\xff\xd9", frame.replace(b"\xff\xc0", b"\xff\xc2", 1), frame[:60]):
+        with pytest.raises((ValueError, IndexError, struct.error)):
+            media.decode_frame(bad)
+
+
+def test_media_of_nothing(spark):
+    read = media.read_media(spark.createDataFrame([(1, 0, None)], "doc_id long, n_bytes long, media binary"))
+    assert [tuple(r) for r in read.collect()] == [(1, 0, None, None, None, 0, [], [], [])] and media.clips(read).isEmpty()
 
 
 def test_queries_have_the_contract_columns(spark):
