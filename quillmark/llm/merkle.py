@@ -1,39 +1,83 @@
 """Document fingerprints: a Merkle tree over paragraphs and sections, in DataFrame functions only.
 
-A paragraph is a line, cut into leaves of bounded length; a section is a run of leaves. Leaves hash their text, sections their
-leaves, the root its sections. Equal roots mean equal texts; where roots differ, differing sections and leaves locate the edit.
+A paragraph is a line; a section is a run of paragraphs that ends at a blank line, or where a paragraph's own digest says so. A
+paragraph's leaves end where its words say so. All borders follow from the content near them, so an edit moves none further on.
+Leaves hash their text, paragraphs their leaves, sections their paragraphs, the root its sections. Equal roots mean equal texts;
+where roots differ, branches whose digests the other tree lacks locate the edit.
 """
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
 
-#: Code points of a leaf at most, leaves of a section, hex digits kept of section and leaf digests in a fingerprint.
-LEAF, SECTION, DIGITS = 24, 16, 8
+#: Code points of a leaf at most, and of one that ends at a border (a vowel or a stop before a space) at least.
+LEAF, LEAST = 64, 17
+LEAVES = rf"[^\n]{{{LEAST - 2},{LEAF - 2}}}?[aeiou.,;:!?]\x20|[^\n]{{1,{LEAF}}}\n?|\n"
+#: Hex digits kept of a leaf's digest in a fingerprint, and of the others but the root's.
+DIGITS, ABOVE = 6, 8
+#: First hex digits of a paragraph's digest with which it ends a section, and the digest of a blank line's paragraph.
+ENDING, BLANK = ("0", "1"), hashlib.md5(hashlib.md5(b"\n").hexdigest().encode()).hexdigest()
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _ends(items: Column, ending: Callable[[Column], Column]) -> Column:
+    """Places (from 0) of the items that end a run; the last one does."""
+    return F.filter(F.transform(items, lambda x, i: F.when(ending(x) | (i == F.size(items) - 1), i).otherwise(F.lit(-1))), lambda i: i >= 0)
+
+
+def _lengths(ends: Column) -> Column:
+    return F.transform(ends, lambda e, k: e - F.when(k == 0, F.lit(-1)).otherwise(F.get(ends, k - 1)))
+
+
+def _above(digests: Column, ends: Column) -> Column:
+    """Digests of the runs."""
+
+    def run(e: Column, k: Column) -> Column:
+        before = F.when(k == 0, F.lit(-1)).otherwise(F.get(ends, k - 1))
+        return F.md5(F.array_join(F.slice(digests, before + 2, e - before), ""))
+
+    return F.transform(ends, run)
 
 
 def leaves(text: Column) -> Column:
-    """The text's leaves in order; joined they are the text. Each line ends a leaf."""
-    return F.regexp_extract_all(text, F.lit(rf"[^\n]{{1,{LEAF}}}\n?|\n"), F.lit(0))
+    """The text's leaves in order; joined they are the text."""
+    return F.regexp_extract_all(text, F.lit(LEAVES), F.lit(0))
 
 
 def fingerprint(text: Column) -> Column:
-    """root|sections|leaves: the root's 128 bits, then the first digits of the section and leaf digests, comma-joined."""
-    hashed = F.transform(leaves(text), F.md5)
+    """root|sections|paragraphs|leaves: the root's 128 bits; the first digits of the section and paragraph digests, each with the
+    number of its parts; the first digits of the leaves' digests without anything between. An empty text has a root only; null
+    stays null."""
+    named = lambda digests, ends: F.array_join(F.zip_with(digests, _lengths(ends), lambda d, n: F.concat_ws(":", F.substring(d, 1, ABOVE), n)), ",")
+
+    def first(parts: Column) -> Column:
+        return _let(F.struct(F.transform(parts, F.md5).alias("leaves"), _ends(parts, lambda x: x.endswith("\n")).alias("ends")), second)
 
-    def tree(digests: Column) -> Column:
-        count = F.ceil(F.size(digests) / F.lit(SECTION)).cast("int")
-        none = F.array().cast("array<string>")
-        sections = F.when(count > 0, F.transform(F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))), lambda i: F.md5(F.array_join(F.slice(digests, i * SECTION + 1, SECTION), "")))).otherwise(none)
-        return F.struct(digests.alias("leaves"), sections.alias("sections"))
+    def second(t: Column) -> Column:
+        return _let(F.struct(t["leaves"], t["ends"], _above(t["leaves"], t["ends"]).alias("paragraphs")), third)
 
-    short = lambda a: F.array_join(F.transform(a, lambda x: F.substring(x, 1, DIGITS)), ",")
-    whole = lambda t: F.concat_ws("|", F.md5(F.array_join(t["sections"], "")), short(t["sections"]), short(t["leaves"]))
-    # one-element transforms name a value, so that it is computed once
-    return F.transform(F.transform(F.array(hashed), tree), whole)[0]
+    def third(t: Column) -> Column:
+        ending = lambda d: F.substring(d, 1, 1).isin(*ENDING) | (d == BLANK)
+        return _let(F.struct(t["leaves"], t["ends"], t["paragraphs"], _ends(t["paragraphs"], ending).alias("section_ends")), fourth)
+
+    def fourth(t: Column) -> Column:
+        return _let(F.struct(t["leaves"], t["ends"], t["paragraphs"], t["section_ends"], _above(t["paragraphs"], t["section_ends"]).alias("sections")), last)
+
+    def last(t: Column) -> Column:
+        short = F.array_join(F.transform(t["leaves"], lambda d: F.substring(d, 1, DIGITS)), "")
+        return F.concat_ws("|", F.md5(F.array_join(t["sections"], "")), named(t["sections"], t["section_ends"]), named(t["paragraphs"], t["ends"]), short)
+
+    return F.when(text.isNotNull(), _let(leaves(text), first))
 
 
 def root(print_: Column) -> Column:
@@ -41,31 +85,59 @@ def root(print_: Column) -> Column:
 
 
 def _level(print_: Column, level: int) -> Column:
+    """Sections (2) or paragraphs (3) of a fingerprint, digest:parts."""
     return F.filter(F.split(F.element_at(F.split(print_, "[|]"), level), ","), lambda x: x != "")
 
 
+def _leaves_of(print_: Column) -> Column:
+    return F.regexp_extract_all(F.element_at(F.split(print_, "[|]"), 4), F.lit(f".{{{DIGITS}}}"), F.lit(0))
+
+
 def likeness(a: Column, b: Column) -> Column:
-    """0 to 1: equal leaves over the leaves of the longer text, both without repeats; 1 for equal roots."""
+    """0 to 1: equal leaves over the leaves of the longer text, both without repeats; 1 for equal roots; null if either is null."""
 
     def share(x: Column, y: Column) -> Column:
         most = F.greatest(F.size(F.array_distinct(x)), F.size(F.array_distinct(y)))
         return F.when(most == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(x, y)) / most)
 
-    return F.when(root(a) == root(b), F.lit(1.0)).otherwise(share(_level(a, 3), _level(b, 3)))
+    other = _let(F.struct(_leaves_of(a).alias("x"), _leaves_of(b).alias("y")), lambda t: share(t["x"], t["y"]))
+    return F.when(a.isNull() | b.isNull(), F.lit(None).cast("double")).when(root(a) == root(b), F.lit(1.0)).otherwise(other)
 
 
 def edits(a: Column, b: Column) -> Column:
-    """array<struct<section, leaf>> (from 0) of the leaves of a that differ from b's at the same place, or that b lacks.
+    """array<struct<section, paragraph, leaf>> (places in a, from 0) of the leaves of a that b lacks, in order.
 
-    Only sections whose digests differ are entered; equal roots give an empty array.
+    Only branches whose digests b lacks are entered: sections first, then their paragraphs, then leaves. A branch that only moved
+    is no edit. Equal roots give an empty array, null fingerprints null. Time grows with a's leaves times those that b lacks.
     """
-    none = F.array().cast("array<struct<section:int,leaf:int>>")
-    sa, sb, la, lb = _level(a, 2), _level(b, 2), _level(a, 3), _level(b, 3)
-    numbers = F.when(F.size(sa) > 0, F.sequence(F.lit(0), F.size(sa) - 1)).otherwise(F.array().cast("array<int>"))
-    changed = F.filter(numbers, lambda i: ~F.get(sa, i).eqNullSafe(F.get(sb, i)))
-    inside = lambda i: F.filter(F.sequence(i * SECTION, F.least((i + 1) * SECTION, F.size(la)) - 1), lambda j: ~F.get(la, j).eqNullSafe(F.get(lb, j)))
-    pairs = F.flatten(F.transform(changed, lambda i: F.transform(inside(i), lambda j: F.struct(i.cast("int").alias("section"), j.cast("int").alias("leaf")))))
-    return F.when(root(a) == root(b), none).otherwise(pairs)
+    none = F.array().cast("array<struct<section:int,paragraph:int,leaf:int>>")
+    digest = lambda x: F.substring(x, 1, ABOVE)
+    parts = lambda x: F.substring_index(x, ":", -1).cast("int")
+    before = lambda counts, i: F.aggregate(F.slice(counts, 1, i), F.lit(0), lambda s, n: s + n)
+
+    def changed(t: Column) -> Column:
+        lacks = lambda have, others: F.array_except(F.transform(have, digest), F.transform(others, digest))
+        return _let(F.struct(t["sa"], t["pa"], t["la"], lacks(t["sa"], t["sb"]).alias("s"), lacks(t["pa"], t["pb"]).alias("p"), F.array_except(t["la"], t["lb"]).alias("l")), located)
+
+    def located(t: Column) -> Column:
+        sections = F.filter(F.transform(t["sa"], lambda x, i: F.struct(i.alias("i"), before(F.transform(t["sa"], parts), i).alias("at"), parts(x).alias("n"), digest(x).alias("d"))), lambda x: F.array_contains(t["s"], x["d"]))
+        paragraphs = F.transform(t["pa"], lambda x, i: F.struct(i.alias("i"), before(F.transform(t["pa"], parts), i).alias("at"), parts(x).alias("n"), digest(x).alias("d")))
+        inside = lambda s: F.filter(F.slice(paragraphs, s["at"] + 1, s["n"]), lambda x: F.array_contains(t["p"], x["d"]))
+        places = lambda p: F.filter(F.sequence(p["at"], p["at"] + p["n"] - 1), lambda j: F.array_contains(t["l"], F.get(t["la"], j)))
+        each = lambda s: F.flatten(F.transform(inside(s), lambda p: F.transform(places(p), lambda j: F.struct(s["i"].alias("section"), p["i"].alias("paragraph"), j.alias("leaf")))))
+        return F.flatten(F.transform(sections, each))
+
+    trees = F.struct(_level(a, 2).alias("sa"), _level(b, 2).alias("sb"), _level(a, 3).alias("pa"), _level(b, 3).alias("pb"), _leaves_of(a).alias("la"), _leaves_of(b).alias("lb"))
+    return F.when(a.isNull() | b.isNull(), F.lit(None).cast("array<struct<section:int,paragraph:int,leaf:int>>")).when(root(a) == root(b), none).otherwise(_let(trees, changed))
+
+
+def first_edit(a: Column, b: Column) -> Column:
+    """The place (from 0) of the first leaf of a that b lacks, and how many different such leaves a has; null and 0 where there is none."""
+
+    def lacking(t: Column) -> Column:
+        return _let(F.struct(t["x"], F.array_except(t["x"], t["y"]).alias("gone")), lambda s: F.struct(F.when(F.size(s["gone"]) > 0, F.array_position(s["x"], F.get(s["gone"], 0)) - 1).alias("leaf"), F.size(s["gone"]).alias("n")))
+
+    return _let(F.struct(_leaves_of(a).alias("x"), _leaves_of(b).alias("y")), lacking)
 
 
 def with_before(keys: DataFrame) -> DataFrame:

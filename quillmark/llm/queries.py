@@ -46,14 +46,18 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = merkle.compare_with_next(_table(spark, sf_dir, "documents"))
+    own, edited = F.col("fingerprint"), F.col("edited_fingerprint")
+    both = both.withColumn("edit", merkle.first_edit(own, edited))
     return both.select(
         "doc_id",
         "n_chars",
         F.sha2(F.col("edited_text").cast("binary"), 256).alias("edited_sha256"),
         "fingerprint",
         "edited_fingerprint",
-        merkle.likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
-        merkle.likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
+        merkle.likeness(own, edited).alias("near_edited"),
+        merkle.likeness(own, F.col("next_fingerprint")).alias("near_next"),
+        F.col("edit.n").alias("n_edited"),
+        F.col("edit.leaf").alias("first_edited"),
     )
 
 

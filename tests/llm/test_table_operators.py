@@ -60,22 +60,36 @@ def test_redaction(spark):
 
 
 # --- Merkle -------------------------------------------------------------------------------------------------------------------
-def plain_leaves(text):
-    return re.findall(rf"[^\n]{{1,{merkle.LEAF}}}\n?|\n", text)
-
-
 def plain_tree(text):
+    """Root, sections and paragraphs with the number of their parts, leaves."""
     md5 = lambda s: hashlib.md5(s.encode()).hexdigest()
-    leaves = [md5(x) for x in plain_leaves(text)]
-    sections = [md5("".join(leaves[i : i + merkle.SECTION])) for i in range(0, len(leaves), merkle.SECTION)]
-    short = lambda a: ",".join(x[: merkle.DIGITS] for x in a)
-    return "|".join([md5("".join(sections)), short(sections), short(leaves)])
+    leaves, paragraphs, sections, at = [], [], [], 0
+    runs: list[list[str]] = [[]]
+    for line in re.findall(r"[^\n]*\n|[^\n]+", text):
+        own = []
+        while line:
+            n = next((i + 1 for i in range(merkle.LEAST - 1, min(merkle.LEAF, len(line))) if line[i] == " " and line[i - 1] in "aeiou.,;:!?"), 0)
+            if not n:
+                n = min(len(line), merkle.LEAF)
+                n += line[n : n + 1] == "\n"
+            own.append(md5(line[:n]))
+            line = line[n:]
+        leaves += own
+        digest = md5("".join(own))
+        paragraphs.append(f"{digest[:8]}:{len(own)}")
+        runs[-1].append(digest)
+        if digest[0] in "01" or own == [md5("\n")]:
+            runs.append([])
+    runs = [r for r in runs if r]
+    sections = [md5("".join(r)) for r in runs]
+    assert at == 0
+    return "|".join([md5("".join(sections)), ",".join(f"{s[:8]}:{len(r)}" for s, r in zip(sections, runs, strict=True)), ",".join(paragraphs), "".join(x[: merkle.DIGITS] for x in leaves)])
 
 
 def plain_likeness(a, b):
     if a.split("|")[0] == b.split("|")[0]:
         return 1.0
-    x, y = ({l for l in p.split("|")[2].split(",") if l} for p in (a, b))
+    x, y = ({p.split("|")[3][i : i + merkle.DIGITS] for i in range(0, len(p.split("|")[3]), merkle.DIGITS)} for p in (a, b))
     return len(x & y) / max(len(x), len(y))
 
 
@@ -107,12 +121,39 @@ def test_merkle_table(spark):
     check_merkle({r.doc_id: r for r in queries.op7_merkle(spark, SMALL).collect()}, texts)
 
 
+def found_edits(spark, pairs):
+    frame = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i long, a string, b string")
+    a, b = merkle.fingerprint(F.col("a")), merkle.fingerprint(F.col("b"))
+    rows = frame.select("i", a.alias("a"), b.alias("b")).select("i", merkle.edits(F.col("a"), F.col("b")).alias("e"), merkle.likeness(F.col("a"), F.col("b")).alias("near"), merkle.first_edit(F.col("a"), F.col("b")).alias("first"), "a")
+    return [([tuple(x) for x in r.e], r.near, tuple(r.first), r.a) for r in rows.orderBy("i").collect()]
+
+
 def test_merkle_edits(spark):
     lines = [f"line number {i} of it\n" for i in range(40)]
-    a, b = "".join(lines), "".join([*lines[:20], "a changed line\n", *lines[21:]])
-    frame = spark.createDataFrame([(a, b)], "a string, b string")
-    found = frame.select(merkle.edits(merkle.fingerprint(F.col("a")), merkle.fingerprint(F.col("b"))).alias("e"), merkle.edits(merkle.fingerprint(F.col("a")), merkle.fingerprint(F.col("a"))).alias("none")).first()
-    assert [tuple(x) for x in found.e] == [(1, 20)] and found.none == []
+    changed = "".join([*lines[:20], "a changed line\n", *lines[21:]])
+    inserted = "".join([*lines[:20], "one more line\n", *lines[20:]])
+    words = [f"word{i * 7919 % 1000} ande" if i % 3 else f"thing{i}" for i in range(300)]
+    prose = " ".join(words)
+    long = " ".join(words[:150] + ["new"] + words[150:])
+    whole = "".join(lines)
+    got = found_edits(spark, [(whole, whole), (changed, whole), (inserted, whole), (whole, inserted), ("X" + prose, prose), (long, prose), ("", prose), (prose, ""), ("", "")])
+    assert got[0][0] == [] and got[0][1] == 1.0
+    # a changed or an inserted line is the one leaf that differs, wherever the lines after it lie
+    for i in (1, 2):
+        assert [x[1:] for x in got[i][0]] == [(20, 20)] and got[i][2] == (20, 1)
+    assert got[3][0] == []
+    # one sign or one word in a long line touches one place
+    for i in (4, 5):
+        places = [leaf for *_, leaf in got[i][0]]
+        assert got[i][1] > 0.9 and 0 < len(places) <= 3 and max(places) - min(places) < 3
+    assert got[4][0][0] == (0, 0, 0)
+    assert got[6][0] == [] and got[6][1] == 0.0 and len(got[7][0]) == len(got[7][3].split("|")[3]) // merkle.DIGITS and got[8][1] == 1.0
+
+
+def test_merkle_of_nulls(spark):
+    null = F.lit(None).cast("string")
+    row = spark.range(1).select(merkle.fingerprint(null).alias("f"), merkle.likeness(null, F.lit("x")).alias("l"), merkle.edits(F.lit("x"), null).alias("e")).first()
+    assert row.l is None and row.e is None and row.f is None
 
 
 # --- mixing -------------------------------------------------------------------------------------------------------------------
