@@ -15,18 +15,25 @@ def select_language(sources: DataFrame, content_language: str = params.CONTENT_L
 def split_passages(sources: DataFrame, size: int = params.SIZE, stride: int = params.STRIDE) -> DataFrame:
     """A2: overlapping word windows with verbatim character spans.
 
-    A text without words has no passage. Positions add up over blocks of stride words, so long texts stay cheap.
+    A text without words has no passage. Positions add up over blocks of stride words, and over groups of blocks, so that the time
+    grows with the text and not faster.
     """
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+    total = lambda lengths: F.aggregate(lengths, F.lit(0), lambda s, x: s + x)
 
     def places(p):
+        """Where each block of stride words begins."""
         blocks = F.greatest(F.lit(1), F.ceil((F.size(p) - size) / F.lit(stride)) + 1).cast("int")
-
-        def add(state, number):
-            length = F.length(F.array_join(F.slice(p, number * stride + 1, stride), ""))
-            return F.struct((state["at"] + length).alias("at"), F.concat(state["starts"], F.array(state["at"])).alias("starts"))
-
-        return F.aggregate(F.sequence(F.lit(0), blocks - 1), start, add, lambda s: s["starts"])
+        lengths = F.transform(F.sequence(F.lit(0), blocks - 1), lambda n: F.length(F.array_join(F.slice(p, n * stride + 1, stride), "")))
+        return F.flatten(F.transform(F.array(lengths), in_groups))
+
+    def in_groups(lengths):
+        of = lambda i: F.floor(i / params.BLOCKS).cast("int")
+        sums = F.transform(F.sequence(F.lit(0), of(F.size(lengths) - 1)), lambda g: total(F.slice(lengths, g * params.BLOCKS + 1, params.BLOCKS)))
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+        add = lambda state, x: F.struct((state["at"] + x).alias("at"), F.concat(state["starts"], F.array(state["at"])).alias("starts"))
+        begins = F.aggregate(sums, start, add, lambda state: state["starts"])
+        each = lambda starts: F.transform(lengths, lambda _, i: F.get(starts, of(i)) + total(F.slice(lengths, of(i) * params.BLOCKS + 1, i % params.BLOCKS)))
+        return F.flatten(F.transform(F.array(begins), each))
 
     def cut(p):
         one = lambda at, i: F.struct(at.alias("char_start"), F.array_join(F.slice(p, i * stride + 1, size), "").alias("quote"))

@@ -3,6 +3,8 @@
 CONTENT_LANGUAGE = "en"
 #: Words of a passage and words from one passage's start to the next's.
 SIZE, STRIDE = 64, 32
+#: Blocks of STRIDE words whose positions add up together.
+BLOCKS = 64
 #: BM25.
 K1, B = 1.2, 0.75
 #: Terms in more than this share of the passages are dropped from questions; of the others the rarest stay.

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import params
+from ..functions.text import words
 from ..operators import prepare, qa, report, retrieval
-from ..sources.tables import read_sources, table
+from ..sources.tables import fresh_folder, read_sources, table, write_table
 from ..streaming.answers import answer_batch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,11 +58,27 @@ def _passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prepare.split_passages(read_sources(spark, sf_dir))
 
 
+def build_tables(sources: DataFrame, folder: str) -> dict[str, DataFrame]:
+    """The retrieval tables over sources, each written once to folder, so that the text is cut up once and not for every use."""
+    passages = write_table(prepare.split_passages(sources), folder, "passages")
+    postings = write_table(retrieval.build_postings(passages), folder, "postings")
+    corpus = write_table(retrieval.corpus_stats(passages), folder, "corpus")
+    return {"passages": passages, "postings": postings, "corpus": corpus, "stats": write_table(retrieval.term_stats(postings, corpus), folder, "stats")}
+
+
+#: The tables that a session has built, by session and folder of sources.
+_BUILT: dict[tuple[str, str], dict[str, DataFrame]] = {}
+
+
 def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """The retrieval tables over all sources. Jobs that answer again and again write them once with sources.write_table()."""
-    passages = _passages(spark, sf_dir)
-    postings, corpus = retrieval.build_postings(passages), retrieval.corpus_stats(passages)
-    return {"passages": passages, "postings": postings, "corpus": corpus, "stats": retrieval.term_stats(postings, corpus)}
+    """The retrieval tables over the sources of a folder, built by the first query of a session that needs them.
+
+    They stay in the shared folder for the session's other queries; sources that change meanwhile need a new session.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _BUILT:
+        _BUILT[key] = build_tables(read_sources(spark, sf_dir), fresh_folder(spark, "tables"))
+    return _BUILT[key]
 
 
 def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,7 +122,7 @@ def b2(spark, sf_dir):
 
 @query("b3_corpus_stats", "select n_passages, round(mean_terms, 6) as mean_terms from corpus")
 def b3(spark, sf_dir):
-    return retrieval.corpus_stats(_passages(spark, sf_dir)).withColumn("mean_terms", F.round("mean_terms", 6))
+    return tables(spark, sf_dir)["corpus"].withColumn("mean_terms", F.round("mean_terms", 6))
 
 
 @query("c1_question_set", "select 'user:' || conv_id || ':' || turn as question_id, text as question from conversations where role = 'user' union all select question_id, question from qst")
@@ -162,6 +179,14 @@ def c9(spark, sf_dir):
     return qa.find_quote(_quotes(spark, sf_dir), read_sources(spark, sf_dir))
 
 
+@query("c9_short_quotes", f"select 'user:' || conv_id || ':' || turn as quote_id, len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'))::INT as n_words from conversations where role = 'user' and len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) < {params.ANCHOR + 2}")
+def c9_short(spark, sf_dir):
+    """User turns that C9 would turn away as quotes."""
+    turns = qa.question_set(table(spark, sf_dir, "conversations"), "user")
+    short = qa.short_quotes(turns.select(F.col("question_id").alias("quote_id"), F.col("question").alias("quote")))
+    return short.select("quote_id", F.size(words(F.col("quote"))).alias("n_words"))
+
+
 @query(
     "c10_retrieval_quality",
     """select k, round(avg((found > 0)::INT), 6) as hit_rate, round(sum(found) / sum(n), 6) as recall, round(avg(case when first <= k then 1.0::DOUBLE / first else 0 end), 6) as mrr

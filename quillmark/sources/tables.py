@@ -1,5 +1,8 @@
 """Parquet tables as the jobs' sources and questions."""
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,3 +20,18 @@ def write_table(df: DataFrame, folder: str, name: str) -> DataFrame:
     """df written as Parquet, for tables that several jobs use, and read again."""
     df.write.mode("overwrite").parquet(f"{folder}/{name}.parquet")
     return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}.parquet")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, spark.checkpoint.dir; a temporary one where it is unset and Spark is one process."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="quillmark-")
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder
+
+
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/quillmark-{name}-{uuid.uuid4().hex}"

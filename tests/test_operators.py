@@ -85,3 +85,32 @@ def test_stream_equals_batch(spark, tmp_path):
         got = spark.read.parquet(sink).drop("batch")
         want = answers.answer_batch(questions.select("question_id", "question"), t)
         assert sorted(map(repr, got.select(want.columns).collect())) == sorted(map(repr, want.collect()))
+
+
+def test_long_texts(spark):
+    """Positions over several groups of blocks, at a time that grows with the text."""
+    text = "".join(f" w{i}\n" if i % 7 else f"  é{i}" for i in range(32 * 64 * 3 + 5))
+    frame = spark.createDataFrame([(1, text, "en", "a")], "source_id long, text string, lang string, origin string")
+    passages = prepare.split_passages(frame).collect()
+    assert len(passages) == 192 and all(text[r.char_start : r.char_start + r.char_len] == r.quote for r in passages)
+    assert [r.passage_no for r in passages] == list(range(192))
+
+
+def test_unanswered_query_with_rows(spark, tmp_path):
+    """C7 where some questions have no known term."""
+    read = lambda name: spark.read.parquet(f"{SMALL}/{name}.parquet")
+    read("documents").write.parquet(str(tmp_path / "documents.parquet"))
+    read("benchmark").union(spark.createDataFrame([(10**6, "xyzzyq plughq"), (10**6 + 1, "")], read("benchmark").schema)).write.parquet(str(tmp_path / "benchmark.parquet"))
+    read("conversations").limit(20).write.parquet(str(tmp_path / "conversations.parquet"))
+    con = duckdb.connect()
+    for t in ("documents", "benchmark", "conversations"):
+        con.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    want = con.execute(f"select question_id, question from ({ORACLES['c7_unanswered']})").fetchall()
+    got = [tuple(r) for r in QUERIES["c7_unanswered"](spark, str(tmp_path)).select("question_id", "question").collect()]
+    assert sorted(got) == sorted(want) and len(got) >= 2
+
+
+def test_tables_are_built_once(spark):
+    assert tables(spark, SMALL)["postings"] is tables(spark, SMALL)["postings"]
+    plan = QUERIES["c6_cited_answers"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "documents.parquet" not in plan
