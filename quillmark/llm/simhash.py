@@ -16,6 +16,7 @@ from itertools import groupby, islice
 from operator import itemgetter
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -262,10 +263,11 @@ def _named(distinct: DataFrame, radius: int, tree_size: int = TREE_SIZE) -> Data
     return rooted.select("fp", "root").join(linked, "root").select("fp", "component_id")
 
 
-#: Slots in which shingles are counted before they are put in order, and bits of the set of shingles met again, as a power of two
-#: (2^27 bits: 16 MB); both sizes are fixed. Cells and bits that travel together, slots a task holds before it hands them on.
-SEEN, SET_BITS, ROWS, ROW_BITS, HELD = 1 << 22, 27, 1 << 16, 19, 3_000_000
-#: Texts that may hold a shingle for all their pairs to be compared at once.
+#: Slots in which shingles are counted to put the common ones last (a fixed size), and counts that travel together.
+SEEN, ROWS = 1 << 20, 1 << 15
+#: Of n shingles, a text shows 1 + n / SHARED more than it must, and two texts are compared if they share so many of what they show.
+SHARED = 10
+#: Pairs of texts that are compared at once, for each shingle of a text.
 GROUP = 64
 
 
@@ -289,62 +291,51 @@ def print_of(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def _met(texts: DataFrame, words_each: int, set_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """The set of shingles (low bits of their hashes) that were met more than once, and about how many texts hold those of each slot.
+def _seen(texts: DataFrame, words_each: int) -> np.ndarray:
+    """About how many texts hold the shingles of each slot, 0 where that is next to the mean of all slots.
 
-    Neither size depends on the data (32 MB together reach the driver). A full set or a crowded slot costs time and changes no
-    result. Tasks send sorted places as differences, mostly one byte each.
+    Its fixed size is what reaches the driver (4 MB). Shingles that a given share of texts hold stand out at any size of corpus.
     """
-    low, row_bits = np.uint64((1 << set_bits) - 1), min(set_bits, ROW_BITS)
 
     def count(rows: Iterator[tuple]) -> Iterator[tuple]:
         table = np.zeros(SEEN, np.int64)
-        held: list[np.ndarray] = []
-        size = 0
-
-        def places() -> Iterator[tuple]:
-            own, n = np.unique(np.concatenate(held), return_counts=True)
-            for part in (own, own[n > 1]):
-                edges = np.searchsorted(part, np.arange((1 << set_bits - row_bits) + 1) << row_bits)
-                for row, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
-                    if a < b:
-                        yield row, planes(np.diff(part[a:b], prepend=row << row_bits))
-
         for (data,) in rows:
-            hashes = shingle_hashes(data, words_each)
-            np.add.at(table, (hashes >> np.uint64(40)).astype(np.int64) % SEEN, 1)
-            held.append((hashes & low).astype(np.int64))
-            size += len(hashes)
-            if size >= HELD:
-                yield from places()
-                held.clear()
-                size = 0
-        if held:
-            yield from places()
+            np.add.at(table, (shingle_hashes(data, words_each) % np.uint64(SEEN)).astype(np.int64), 1)
         for at in range(0, SEEN, ROWS):
             if table[at : at + ROWS].any():
-                yield -1 - at, planes(table[at : at + ROWS])
+                yield at, planes(table[at : at + ROWS])
 
     def total(rows: Iterator[tuple]) -> Iterator[tuple]:
         for at, group in groupby(rows, itemgetter(0)):
-            if at < 0:
-                yield at, sum(from_planes(data) for _, data in group).astype("<u4").tobytes()
-                continue
-            once, again = np.zeros(1 << row_bits, bool), np.zeros(1 << row_bits, bool)
-            for _, data in group:
-                own = np.cumsum(from_planes(data))
-                again[own] |= once[own]
-                once[own] = True
-            yield at, np.packbits(again, bitorder="little").tobytes()
+            yield at, sum(from_planes(data) for _, data in group).astype("<u4").tobytes()
 
     parts = map_rows(texts.select("data"), "at long, data binary", count)
-    seen, flags, size = np.zeros(SEEN, np.uint32), np.zeros(1 << set_bits - 3, np.uint8), 1 << row_bits - 3
+    out = np.zeros(SEEN, np.uint32)
     for at, data in map_rows(parts.repartition("at").sortWithinPartitions("at"), "at long, data binary", total).collect():
-        if at < 0:
-            seen[-1 - at : -1 - at + ROWS] = np.frombuffer(data, "<u4")
-        else:
-            flags[at * size : (at + 1) * size] = np.frombuffer(data, np.uint8)
-    return flags, seen
+        out[at : at + ROWS] = np.frombuffer(data, "<u4")
+    return np.where(out > 2 * out.mean() + 16, out, 0)
+
+
+def _shared(index: DataFrame) -> DataFrame:
+    """The rows of the index (shingle, doc_id, n) whose shingle another row has, too. Sorted rows pass by; no group is held."""
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, given = None, True
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own = batch.column(0).to_numpy()
+            keep = np.zeros(len(own), bool)
+            keep[1:] = own[1:] == own[:-1]
+            keep[:-1] |= keep[1:]
+            if last is not None and last.column(0)[0].as_py() == own[0]:
+                keep[0] = True
+                if not given:
+                    yield last
+            yield batch.filter(pa.array(keep))
+            last, given = batch.slice(len(own) - 1), bool(keep[-1])
+
+    return index.select("shingle", "doc_id", "n").repartition("shingle").sortWithinPartitions("shingle").mapInArrow(step, "shingle bigint, doc_id bigint, n int")
 
 
 def _alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -361,12 +352,13 @@ def _alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return map_rows(pairs.join(side("a", "one"), "a").join(side("b", "two"), "b").select("a", "b", "one", "two"), "a long, b long", compare)
 
 
-def _several(index: DataFrame) -> DataFrame:
-    """The rows of the index whose shingle more than one text holds."""
-    return index.join(index.groupBy("shingle").count().where("count > 1").select("shingle"), "shingle")
+def _crowded(index: DataFrame, group: int) -> bool:
+    """Whether the index makes more than group pairs of texts for each of its rows."""
+    each = index.groupBy("shingle").count().agg(F.sum(F.col("count").cast("double") * (F.col("count") - 1) / 2), F.sum("count")).first()
+    return (each[0] or 0) > group * (each[1] or 0)
 
 
-def near_copies(docs: DataFrame, words_each: int = 5, least: float = 0.8, radius: int = 3, group: int = GROUP, set_bits: int = SET_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_copies(docs: DataFrame, words_each: int = 5, least: float = 0.8, radius: int = 3, group: int = GROUP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, leader) of the documents that repeat an earlier one, so that one document of each group stays.
 
     Documents of equal text repeat the one with the smallest id. Other texts are alike if the exact Jaccard similarity of their
@@ -374,14 +366,15 @@ def near_copies(docs: DataFrame, words_each: int = 5, least: float = 0.8, radius
 
     1. SimHash: texts whose fingerprints (of shingle sets) are linked over at most radius bits form a group; a text that is alike
        to its group's first goes.
-    2. Of the texts left, in order of id, one that is alike to a kept one goes, any other is kept. No pair is missed here: sets of
-       n shingles that are alike share one of the first (1 - least) * n + 1 in any fixed order, so a join on these finds all pairs.
-       First come shingles that no other text holds, then those that few hold; texts whose first ones are all their own take no part.
+    2. Of the texts left, in order of id, one that is alike to a kept one goes, any other is kept. No pair is missed here: put in one
+       order, sets of n shingles that are alike share k of the first (1 - least) * n + k, so a join on these finds all pairs; k is
+       1 + n / SHARED of the smaller set. The order is by hash, with what many texts hold at the end.
 
     So no two kept texts are alike, and each leader is kept or goes for an earlier leader that it is alike to.
 
-    While a shingle has more than group texts, rounds decide the texts that have no earlier candidate left and compare only them
-    with the others, as long as that decides a fiftieth of the texts or more. These rounds save pairs and change no result.
+    While texts and their shingles make more than group pairs for each of them, rounds decide the texts that have no earlier candidate
+    left and compare only them with the others, as long as that decides a fiftieth of the texts or more. These rounds save pairs and
+    change no result.
 
     Null texts count as empty. Null ids are neither dropped nor leaders. Rows that repeat an id and text are one document; of
     different texts under one id, that with the least hash counts. An empty table gives no rows.
@@ -389,61 +382,61 @@ def near_copies(docs: DataFrame, words_each: int = 5, least: float = 0.8, radius
     key, data = F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     rows = docs.where(key.isNotNull()).select(key.alias("doc_id"), F.xxhash64(data).alias("h"), F.md5(data).alias("m"), data.alias("data"))
     spark = docs.sparkSession
-    marked = rows.select("doc_id", "h", "m").distinct()
+    marked = rows.groupBy("doc_id", "h", "m").agg(F.count("*").alias("rows"))
     copies = written(marked.join(marked.groupBy("h", "m").agg(F.min("doc_id").alias("leader")), ["h", "m"]), "copies")
     own = copies.where("doc_id = leader").groupBy("doc_id").agg(F.min(F.struct("h", "m")).alias("one")).select("doc_id", "one.h", "one.m")
-    shared = spark.sparkContext.broadcast(_met(rows, words_each, set_bits))
-    release(spark)
+    unique = copies.where("rows > 1").isEmpty()
+    shared = spark.sparkContext.broadcast(_seen(rows, words_each))
 
     def sketch(rows: Iterator[tuple]) -> Iterator[tuple]:
-        flags, seen = shared.value
-        low = np.uint64((1 << set_bits) - 1)
         for doc, h, m, data in rows:
             every = shingle_hashes(data, words_each)
-            place = (every & low).astype(np.int64)
-            again = flags[place >> 3] >> (place & 7).astype(np.uint8) & 1
-            n, own = len(every), len(every) - int(again.sum())
-            first, own_print = int((1 - least) * n + 1e-9) + 1, _signed(print_of(every))
-            if first > own:
-                met = every[again > 0]
-                met = met[np.lexsort((met, seen[(met >> np.uint64(40)).astype(np.int64) % SEEN]))[: first - own]]
-                yield doc, h, m, n, own_print, met.tobytes(), every.tobytes()
-            else:
-                yield doc, h, m, n, own_print, None, None
+            n = len(every)
+            order = np.lexsort((every, shared.value[(every % np.uint64(SEEN)).astype(np.int64)]))
+            yield doc, h, m, n, _signed(print_of(every)), every[order[: int((1 - least) * n + 1e-9) + 1 + n // SHARED]].tobytes()
 
     def opened(rows: Iterator[tuple]) -> Iterator[tuple]:
-        for doc, n, met in rows:
-            for x in np.frombuffer(met, np.int64).tolist():
+        for doc, n, shown in rows:
+            for x in np.frombuffer(shown, np.int64).tolist():
                 yield x, doc, n
 
-    sketched = map_rows(rows.select("doc_id", "h", "m", "data"), "doc_id long, h long, m string, n int, fp long, met binary, shingles binary", sketch)
-    heads = written(sketched.join(own, ["doc_id", "h", "m"]).select("doc_id", "n", "fp", "met", "shingles"), "heads")
-    some = heads.where("met is not null")
-    sets = some.select("doc_id", "shingles")
-    if not some.groupBy("doc_id").count().where("count > 1").isEmpty():
-        sets = sets.dropDuplicates(["doc_id"])
+    def hashes(rows: Iterator[tuple]) -> Iterator[tuple]:
+        for doc, data in rows:
+            yield doc, shingle_hashes(data, words_each).tobytes()
+
+    sketched = map_rows(rows.select("doc_id", "h", "m", "data"), "doc_id long, h long, m string, n int, fp long, shown binary", sketch)
+    heads = sketched.join(own, ["doc_id", "h", "m"]).select("doc_id", "n", "fp", "shown")
+    heads = written(heads if unique else heads.dropDuplicates(["doc_id"]), "heads")
+    release(spark)
+    index = written(_shared(map_rows(heads.select("doc_id", "n", "shown"), "shingle long, doc_id long, n int", opened)), "index")
+    release(spark)
+    # a text that shares less than its smallest possible partner asks for takes no part
+    enough = index.groupBy("doc_id", "n").count().where(F.col("count") >= 1 + F.floor(F.col("n") * F.lit(least) / SHARED - F.lit(1e-9))).select("doc_id")
+    index = written(_shared(index.join(enough, "doc_id")), "index")
+    some = rows.join(index.select("doc_id").distinct(), "doc_id", "left_semi").join(own, ["doc_id", "h", "m"]).select("doc_id", "data")
+    sets = written(map_rows(some if unique else some.dropDuplicates(["doc_id"]), "doc_id long, shingles binary", hashes), "shingles")
     distinct = written(heads.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    near = heads.select("doc_id", "fp").join(_named(distinct, radius), "fp").where("doc_id != component_id")
-    like = written(_alike(near.select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")).distinct(), sets, least), "alike")
-    left = some.select("doc_id", "n", "met").join(like.select(F.col("a").alias("doc_id")), "doc_id", "left_anti")
-    index = written(_several(map_rows(left, "shingle long, doc_id long, n int", opened).distinct()), "index")
+    near = heads.select("doc_id", "fp").join(_named(distinct, radius), "fp").where("doc_id != component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
+    like = written(_alike(near, sets, least), "alike")
+    index = written(_shared(index.join(like.select(F.col("a").alias("doc_id")), "doc_id", "left_anti")), "index")
     release(spark)
     gone = copies.where("doc_id != leader").select("doc_id", "leader").union(like.select(F.col("a").alias("doc_id"), F.col("b").alias("leader")))
     sized = F.least("n", "m") >= F.greatest("n", "m") * F.lit(least) - F.lit(1e-9)
-    while not index.groupBy("shingle").count().where(F.col("count") > group).isEmpty():
+    asked = F.col("count") >= 1 + F.floor(F.least("n", "m") / SHARED)
+    while _crowded(index, group):
         met = index.join(index.groupBy("shingle").agg(F.min("doc_id").alias("b")), "shingle")
         # the texts that come first for all their shingles have no earlier candidate left: they stay
         kept = written(met.groupBy("doc_id").agg(F.min("b").alias("b"), F.first("n").alias("m")).where("b = doc_id").select("b", "m"), "kept")
-        pairs = met.join(kept, "b").where(F.col("doc_id") > F.col("b")).where(sized).select(F.col("doc_id").alias("a"), "b").distinct()
+        pairs = met.join(kept, "b").where(F.col("doc_id") > F.col("b")).where(sized).groupBy(F.col("doc_id").alias("a"), "b", "n", "m").count().where(asked).select("a", "b")
         like = written(_alike(pairs, sets, least).groupBy("a").agg(F.min("b").alias("b")), "alike")
         decided = kept.select(F.col("b").alias("doc_id")).union(like.select(F.col("a").alias("doc_id")))
         gone = gone.union(like.select(F.col("a").alias("doc_id"), F.col("b").alias("leader")))
         few = 50 * decided.count() < met.select("doc_id").distinct().count()
-        index = written(_several(index.join(decided, "doc_id", "left_anti")), "index")
+        index = written(_shared(index.join(decided, "doc_id", "left_anti")), "index")
         if few:
             break
     left = index.select("shingle", F.col("doc_id").alias("a"), "n")
-    pairs = left.join(index.select("shingle", F.col("doc_id").alias("b"), F.col("n").alias("m")), "shingle").where("a > b").where(sized).select("a", "b").distinct()
+    pairs = left.join(index.select("shingle", F.col("doc_id").alias("b"), F.col("n").alias("m")), "shingle").where("a > b").where(sized).groupBy("a", "b", "n", "m").count().where(asked).select("a", "b")
     edges = written(_alike(pairs, sets, least), "alike")
     while not edges.isEmpty():
         # what has no earlier text alike to it that may stay, stays
