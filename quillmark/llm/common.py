@@ -6,10 +6,12 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 ARROW = {
     "long": pa.int64(),
@@ -82,12 +84,18 @@ def work_folder(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet to the shared folder and read again: computed once, and safe when executors are lost.
 
-    The tables stay until clear_work() or until the folder's owner removes them.
+    The tables stay until the scratch() around them ends, until clear_work(), or until the folder's owner removes them.
     """
     return kept_until(df, name)[0]
 
 
+#: Paths written within each open scratch(), the innermost last.
+_SCRATCH: list[list[str]] = []
+
+
 def _written_to(df: DataFrame, path: str) -> DataFrame:
+    if _SCRATCH:
+        _SCRATCH[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -103,10 +111,59 @@ def _remove(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes what written() leaves inside, at the end. Frames made inside can't be used afterwards; write their rows before."""
+    paths: list[str] = []
+    _SCRATCH.append(paths)
+    try:
+        yield
+    finally:
+        _SCRATCH.remove(paths)
+        for path in paths:
+            _remove(spark, path)
+
+
+def lasting(df: DataFrame, name: str) -> tuple[DataFrame, Callable[[], None]]:
+    """kept_until(), for a table that outlives the scratch() around it."""
+    held, _SCRATCH[:] = list(_SCRATCH), []
+    try:
+        return kept_until(df, name)
+    finally:
+        _SCRATCH[:] = held
+
+
 def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner remove the shuffle files of finished steps now and not when the driver happens to collect garbage."""
+    """Lets Spark's cleaner remove the shuffle files of finished steps now and not when the driver happens to collect garbage.
+
+    Only disk is spared; without a driver JVM at hand nothing happens.
+    """
     gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    if (jvm := getattr(spark, "_jvm", None)) is not None:
+        jvm.System.gc()
+
+
+#: Values whose totals running() forms together.
+TOGETHER = 64
+
+
+def running(values: Column, zero: Column, combine: Callable[[Column, Column], Column]) -> Column:
+    """For each of an array's values the combination of all values before it (zero for the first).
+
+    Totals are formed within runs of TOGETHER values and over the runs, so that long arrays take time in proportion, about.
+    """
+    total = lambda part, start: F.aggregate(part, start, combine)
+    of = lambda i: F.floor(i / TOGETHER).cast("int")
+
+    def each(own: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(0), F.greatest(of(F.size(own) - 1), F.lit(0))), lambda g: total(F.slice(own, g * TOGETHER + 1, TOGETHER), zero))
+        start = F.struct(zero.alias("at"), F.slice(F.array(zero), 1, 0).alias("out"))
+        add = lambda state, x: F.struct(combine(state["at"], x).alias("at"), F.concat(state["out"], F.array(state["at"])).alias("out"))
+        begins = F.aggregate(runs, start, add, lambda state: state["out"])
+        return F.transform(F.array(begins), lambda b: F.transform(own, lambda _, i: total(F.slice(own, of(i) * TOGETHER + 1, i % TOGETHER), F.get(b, of(i)))))[0]
+
+    # one-element transforms name a value, so that it is computed once
+    return F.transform(F.array(values), each)[0]
 
 
 def clear_work(spark: SparkSession) -> None:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import groupby
+from itertools import groupby, islice
 from operator import itemgetter
 from zlib import crc32
 
@@ -23,6 +23,8 @@ from .common import map_rows, written
 WORDS, SHAPES, DIM, PLACES = 8192, 1024, 32, 2
 #: Rows of the table that travel together, words whose units a worker remembers.
 ROWS, KEPT_WORDS = 512, 200_000
+#: Rows that the network scores at once.
+SCORED = 1024
 #: Labelled rows the network is fitted on at most, those with the smallest hashes of their ids.
 SAMPLE = 20_000
 _RUNS = [(re.compile(rb"[a-z]+"), b"a"), (re.compile(rb"[A-Z]+"), b"A"), (re.compile(rb"[0-9]+"), b"0"), (re.compile(rb"[\x80-\xff]+"), b"x"), (re.compile(rb"(?:ax|xa)[ax]*"), b"a")]
@@ -183,8 +185,10 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold
 
     def step(rows: Iterator[tuple]) -> Iterator[tuple]:
         net = shared.value
-        for key, data in rows:
-            yield key, net if isinstance(net, float) else float(net.score(np.frombuffer(data, "<f4")[None, :].astype(float))[0])
+        while part := list(islice(rows, SCORED)):
+            keys, data = zip(*part, strict=True)
+            scores = [net] * len(keys) if isinstance(net, float) else net.score(np.frombuffer(b"".join(data), "<f4").reshape(len(keys), -1).astype(float)).tolist()
+            yield from zip(keys, scores, strict=True)
 
     scored = map_rows(features, "doc_id long, score double", step)
     return scored.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import running, written
 
 #: Fixed values of the base patterns: (kind, pattern, least length of its last group, quick test that every hit passes).
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)|\z)"""
@@ -38,16 +38,17 @@ def found(text: Column, kind: str, pattern: str, test: str) -> Column:
     tiled = F.lit(r"(?s).*?" + pattern)
     whole, hit = F.regexp_extract_all(text, tiled, F.lit(0)), F.regexp_extract_all(text, tiled, F.lit(1))
     value = F.regexp_extract_all(text, tiled, F.lit(2)) if kind == "assign" else hit
-    span = "struct<kind:int,start:int,end:int>"
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{span}>").alias("out"))
+    none = F.array().cast("array<struct<kind:int,start:int,end:int>>")
+    least = 6 if kind == "assign" else 1
 
-    def add(state: Column, x: Column) -> Column:
-        end = state["at"] + F.length(x["whole"])
-        one = F.struct(F.lit(KINDS.index(kind)).alias("kind"), (end - F.length(x["hit"])).alias("start"), end.alias("end"))
-        return F.struct(end.alias("at"), F.when(F.length(x["value"]) >= (6 if kind == "assign" else 1), F.concat(state["out"], F.array(one))).otherwise(state["out"]).alias("out"))
+    def placed(tiles: Column) -> Column:
+        before = running(F.transform(tiles, lambda x: F.length(x["whole"])), F.lit(0), lambda a, b: a + b)
+        ends = F.zip_with(tiles, before, lambda x, at: F.struct(F.length(x["value"]).alias("n"), F.length(x["hit"]).alias("hit"), (at + F.length(x["whole"])).alias("end")))
+        long = F.filter(ends, lambda x: x["n"] >= least)
+        return F.transform(long, lambda x: F.struct(F.lit(KINDS.index(kind)).alias("kind"), (x["end"] - x["hit"]).alias("start"), x["end"].alias("end")))
 
     tiles = F.arrays_zip(whole.alias("whole"), hit.alias("hit"), value.alias("value"))
-    return F.when(text.rlike(test), F.aggregate(tiles, start, add, lambda s: s["out"])).otherwise(F.array().cast(f"array<{span}>"))
+    return F.when(text.rlike(test), F.transform(F.array(tiles), placed)[0]).otherwise(none)
 
 
 def base_spans(text: Column) -> Column:
@@ -114,13 +115,15 @@ def scan(docs: DataFrame, scope: int = SCOPE, id_col: str = "doc_id", text_col:
 
 
 def redacted(text: Column, spans: Column, mask: str = "[secret]") -> Column:
-    """text with the union of its spans (sorted by start) masked; each stretch becomes one mask."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def add(state: Column, s: Column) -> Column:
-        apart = s["start"] > state["at"]
-        gap = F.substr(text, state["at"] + 1, s["start"] - state["at"])
-        fresh = F.when(apart, F.array(gap, F.lit(mask))).when(F.size(state["out"]) == 0, F.array(F.lit(mask))).otherwise(F.array().cast("array<string>"))
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.concat(state["out"], fresh).alias("out"))
-
-    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(spans, start, add, lambda s: F.concat(F.array_join(s["out"], ""), F.substr(text, s["at"] + 1, F.length(text) + 1))))
+    """text with the union of its spans (sorted by start) masked; each stretch becomes one mask. Null stays null."""
+
+    def masked(own: Column) -> Column:
+        # what spans before a span have covered, up to which place
+        upto = running(F.transform(own, lambda s: s["end"]), F.lit(0), lambda a, b: F.greatest(a, b))
+        both = F.zip_with(own, upto, lambda s, at: F.struct(at.alias("at"), s["start"].alias("start"), s["end"].alias("end")))
+        gap = lambda x: F.substr(text, x["at"] + 1, x["start"] - x["at"])
+        piece = lambda x, i: F.when(x["start"] > x["at"], F.concat(gap(x), F.lit(mask))).when(i == 0, F.lit(mask)).otherwise("")
+        end = F.array_max(F.transform(own, lambda s: s["end"]))
+        return F.concat(F.array_join(F.transform(both, piece), ""), F.substr(text, end + 1, F.length(text) + 1))
+
+    return F.when(F.size(spans) == 0, text).otherwise(F.transform(F.array(spans), masked)[0])

@@ -59,6 +59,19 @@ def test_redaction(spark):
     assert got == {1: "x [secret] [secret] y 😀 [secret]", 2: None, 3: "clean"}
 
 
+def test_secrets_in_a_text_with_thousands(spark):
+    parts = [f"token=abcdef{i:06d} {'deadbeef' * 3}{i:x}zz" for i in range(3000)]
+    text = "é " + " 😀 ".join(parts) + " tail"
+    frame = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    found = secret_scan.scan(frame).select(secret_scan.as_text(F.col("base")).alias("base"), secret_scan.redacted(F.lit(text), F.col("spans")).alias("clean")).first()
+    assert found.base == plain_spans(text)[0]
+    spans, want, at = sorted((int(a), int(b)) for _, a, b in (x.split(":") for x in plain_spans(text)[1].split(","))), [], 0
+    for i, (a, b) in enumerate(spans):
+        want += [text[at:a], "[secret]"] if a > at else [] if i else ["[secret]"]
+        at = max(at, b)
+    assert found.clean == "".join(want) + text[at:]
+
+
 # --- Merkle -------------------------------------------------------------------------------------------------------------------
 def plain_tree(text):
     """Root, sections and paragraphs with the number of their parts, leaves."""
@@ -201,6 +214,34 @@ def test_quality_on_held_out_labels(spark):
         assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.7)
 
 
+def test_quality_vectors_equal_a_plain_loop(docs, rows):
+    """Word vectors and pooled features, by sums over each word's neighbours."""
+    places, signs = quality.index_vectors()
+    table = np.zeros((quality.WORDS + quality.SHAPES, quality.DIM))
+    units = {}
+    for doc, text, *_ in rows:
+        packed = [quality.units(w) for w in (text or "").encode().split()]
+        units[doc] = [(u & 0xFFFF, (u >> 16) + quality.WORDS) for u in packed]
+        for i, own in enumerate(units[doc]):
+            for j in (i - 1, i + 1):
+                if 0 <= j < len(packed):
+                    for a in own:
+                        for b in units[doc][j]:
+                            for p, s in zip(places[b], signs[b], strict=True):
+                                table[a, p] += s
+    norms = np.linalg.norm(table, axis=1, keepdims=True)
+    want = table / np.where(norms == 0, 1, norms)
+    got = quality.word_vectors(docs)
+    assert np.allclose(got, want, atol=1e-6) and norms.any()
+    for r in quality.pooled(docs, got).collect():
+        own = units[r.doc_id]
+        n = max(1, len(own))
+        means = [sum((want[u[k]] for u in own), np.zeros(quality.DIM)) / n for k in (0, 1)]
+        counts = [Counter(u[k] for u in own) for k in (0, 1)]
+        more = [*(np.linalg.norm(m) for m in means), *(math.sqrt(sum(c * c for c in x.values())) / n for x in counts), len(counts[0]) / n, math.log1p(len(own))]
+        assert np.allclose(np.frombuffer(r.features, "<f4"), np.concatenate([*means, more]), atol=1e-5)
+
+
 def test_quality_without_labels(docs, labels, rows):
     for own, want in ((labels.where("false"), 0.5), (labels.where("quality = 1"), 1.0)):
         assert {r.score for r in quality.classify(docs, own).collect()} == {want}
