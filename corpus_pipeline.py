@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmark.llm import bpe, mixing, quality, secret_scan, simhash
-from quillmark.llm.common import written
+from quillmark.llm.common import lasting, scratch
 from quillmark.llm.queries import VOCABULARY
 
 #: SQL can't express the stages; tests compare them with brute force.
@@ -101,8 +101,15 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of sf_dir; each result is written to the shared folder and read by the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over the documents of sf_dir; each result is written to the shared folder and read by the next.
+
+    What a stage leaves there is removed when its result is written, and each result when the next one is.
+    """
+    docs, done = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        with scratch(spark):
+            docs, now_done = lasting(stage(spark, docs, sf_dir), f"stage-{name}")
+        if done:
+            done()
+        done = now_done
     return STAGES[-1][1](spark, docs, sf_dir)
