@@ -19,10 +19,11 @@ ORACLES: dict[str, str] = {}
 #: SQL of the tables that several queries use.
 BASE = f"""with src as (select doc_id as source_id, coalesce(text, '') as text, lang, source as origin from documents),
 cut as (select source_id, lang, regexp_extract_all(text, '[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+') as p from src),
-psg as (select source_id, i::INT as passage_no, lang, length(array_to_string(p[1:i * {params.STRIDE}], ''))::INT as char_start, length(q)::INT as char_len,
+every as (select source_id, i::INT as passage_no, lang, length(array_to_string(p[1:i * {params.STRIDE}], ''))::INT as char_start, length(q)::INT as char_len,
     len(regexp_extract_all(lower(q), '[\\p{{L}}\\p{{N}}]+'))::INT as n_terms, q as quote
     from (select *, array_to_string(p[i * {params.STRIDE} + 1 : i * {params.STRIDE} + {params.SIZE}], '') as q
         from cut, range(0, greatest(1, ceil((len(p) - {params.SIZE}) / {params.STRIDE}.0)::BIGINT + 1)) r(i) where len(p) > 0)),
+psg as (select * from every where source_id in (select min(source_id) from src group by text)),
 post as (select term, source_id, passage_no, count(*) as tf, n_terms from (select source_id, passage_no, n_terms, unnest(regexp_extract_all(lower(quote), '[\\p{{L}}\\p{{N}}]+')) as term from psg)
     group by term, source_id, passage_no, n_terms),
 corpus as (select count(*) as n_passages, avg(n_terms) as mean_terms from psg),
@@ -48,7 +49,7 @@ def query(name: str, sql: str | None) -> Callable:
     def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
         QUERIES[name] = f
         if sql:
-            ORACLES[name] = sql if sql.startswith("with") else (BASE + sql if any(t in sql for t in ("src", "psg", "post", "corpus", "stats", "qst", "wanted", "scored", "hits", "ans", "gold")) else sql)
+            ORACLES[name] = sql if sql.startswith("with") else (BASE + sql if any(t in sql for t in ("src", "every", "psg", "post", "corpus", "stats", "qst", "wanted", "scored", "hits", "ans", "gold")) else sql)
         return f
 
     return add
@@ -59,8 +60,11 @@ def _passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def build_tables(sources: DataFrame, folder: str) -> dict[str, DataFrame]:
-    """The retrieval tables over sources, each written once to folder, so that the text is cut up once and not for every use."""
-    passages = write_table(prepare.split_passages(sources), folder, "passages")
+    """The retrieval tables over sources, each written once to folder, so that the text is cut up once and not for every use.
+
+    Of equal texts only the first is cut up, so that no passage is cited twice. Sources of one language only: select_language() first.
+    """
+    passages = write_table(prepare.split_passages(prepare.collapse_duplicates(sources)), folder, "passages")
     postings = write_table(retrieval.build_postings(passages), folder, "postings")
     corpus = write_table(retrieval.corpus_stats(passages), folder, "corpus")
     return {"passages": passages, "postings": postings, "corpus": corpus, "stats": write_table(retrieval.term_stats(postings, corpus), folder, "stats")}
@@ -100,7 +104,7 @@ def a1(spark, sf_dir):
     return prepare.select_language(read_sources(spark, sf_dir)).select("source_id", "lang", "origin", F.length("text").alias("n"))
 
 
-@query("a2_split_passages", "select source_id, passage_no, lang, char_start, char_len, n_terms, md5(quote) as digest from psg")
+@query("a2_split_passages", "select source_id, passage_no, lang, char_start, char_len, n_terms, md5(quote) as digest from every")
 def a2(spark, sf_dir):
     return _passages(spark, sf_dir).select("source_id", "passage_no", "lang", "char_start", "char_len", "n_terms", F.md5("quote").alias("digest"))
 
@@ -112,7 +116,7 @@ def a3(spark, sf_dir):
 
 @query("b1_build_postings", "select term, source_id, passage_no, tf, n_terms from post")
 def b1(spark, sf_dir):
-    return retrieval.build_postings(_passages(spark, sf_dir))
+    return tables(spark, sf_dir)["postings"]
 
 
 @query("b2_term_stats", "select term, df, round(idf, 6) as idf from stats")
@@ -190,14 +194,15 @@ def c9_short(spark, sf_dir):
 @query(
     "c10_retrieval_quality",
     """select k, round(avg((found > 0)::INT), 6) as hit_rate, round(sum(found) / sum(n), 6) as recall, round(avg(case when first <= k then 1.0::DOUBLE / first else 0 end), 6) as mrr
-    from (select question_id, k, min(rank) as first, count(*) as n, count_if(rank <= k) as found from gold left join hits using (question_id, source_id), (values (1), (5)) v(k) group by question_id, k) group by k""",
+    from (select question_id, k, min(rank) as first, count(*) as n, count_if(rank <= k) as found from (select distinct question_id, first as source_id from gold join (select source_id, min(source_id) over (partition by text) as first from src) using (source_id)) left join hits using (question_id, source_id), (values (1), (5)) v(k) group by question_id, k) group by k""",
 )
 def c10(spark, sf_dir):
-    gold = c9(spark, sf_dir).select(F.col("quote_id").alias("question_id"), "source_id")
+    found = c9(spark, sf_dir).select(F.col("quote_id").alias("question_id"), "source_id")
+    gold = found.join(prepare.duplicate_map(read_sources(spark, sf_dir)), "source_id").select("question_id", F.col("canonical_id").alias("source_id")).distinct()
     return qa.retrieval_quality(_hits(spark, sf_dir)[2], gold)
 
 
-@query("d1_source_report", "select origin, lang, grouping(origin, lang)::INT as level, count(*) as documents, count(distinct text) as texts, sum(length(text))::BIGINT as chars, sum(coalesce(n, 0))::BIGINT as passages from src left join (select source_id, count(*) as n from psg group by source_id) using (source_id) group by rollup (origin, lang)")
+@query("d1_source_report", "select origin, lang, grouping(origin, lang)::INT as level, count(*) as documents, count(distinct text) as texts, sum(length(text))::BIGINT as chars, sum(coalesce(n, 0))::BIGINT as passages from src left join (select source_id, count(*) as n from every group by source_id) using (source_id) group by rollup (origin, lang)")
 def d1(spark, sf_dir):
     return report.source_report(read_sources(spark, sf_dir), _passages(spark, sf_dir))
 
