@@ -139,30 +139,30 @@ def c2(spark, sf_dir):
     return _hits(spark, sf_dir)[1].withColumn("idf", F.round("idf", 6))
 
 
-@query("c3_score_passages", "select question_id, source_id, passage_no, round(score, 4) as score from scored")
+@query("c3_score_passages", "select question_id, source_id, passage_no, score from scored")
 def c3(spark, sf_dir):
     t = tables(spark, sf_dir)
     wanted = qa.question_terms(_questions(spark, sf_dir), t["stats"], t["corpus"])
-    return qa.score_passages(wanted, t["postings"], t["corpus"]).withColumn("score", F.round("score", 4))
+    return qa.score_passages(wanted, t["postings"], t["corpus"])
 
 
-@query("c4_top_passages", "select question_id, source_id, passage_no, round(score, 4) as score, rank from hits")
+@query("c4_top_passages", "select question_id, source_id, passage_no, score, rank from hits")
 def c4(spark, sf_dir):
-    return _hits(spark, sf_dir)[2].withColumn("score", F.round("score", 4))
+    return _hits(spark, sf_dir)[2]
 
 
-@query("c5_best_sentence", "select question_id, answer, round(weight, 4) as weight from ans")
+@query("c5_best_sentence", "select question_id, answer, weight from ans")
 def c5(spark, sf_dir):
     t, wanted, hits = _hits(spark, sf_dir)
-    return qa.best_sentence(hits, t["passages"], wanted).withColumn("weight", F.round("weight", 4))
+    return qa.best_sentence(hits, t["passages"], wanted)
 
 
-@query("c6_cited_answers", "select question_id, answer, rank, source_id, passage_no, char_start, char_len, round(score, 4) as score from hits join psg using (source_id, passage_no) join ans using (question_id)")
+@query("c6_cited_answers", "select question_id, answer, rank, source_id, passage_no, char_start, char_len, score from hits join psg using (source_id, passage_no) join ans using (question_id)")
 def c6(spark, sf_dir):
     t, wanted, hits = _hits(spark, sf_dir)
     answers = qa.cited_answers(hits, t["passages"], qa.best_sentence(hits, t["passages"], wanted))
     each = answers.select("question_id", "answer", F.explode("citations").alias("c")).select("question_id", "answer", "c.*")
-    return each.select("question_id", "answer", "rank", "source_id", "passage_no", "char_start", "char_len", F.round("score", 4).alias("score"))
+    return each.select("question_id", "answer", "rank", "source_id", "passage_no", "char_start", "char_len", "score")
 
 
 @query("c7_unanswered", BASE.replace("from benchmark),", "from benchmark union all select 'user:' || conv_id || ':' || turn, text from conversations where role = 'user'),", 1) + "select question_id, question from qst where question_id not in (select question_id from hits)")
@@ -207,22 +207,22 @@ def d1(spark, sf_dir):
     return report.source_report(read_sources(spark, sf_dir), _passages(spark, sf_dir))
 
 
-@query("d2_key_terms", f"select origin, term, round(weight, 4) as weight, rank from (select *, row_number() over (partition by origin order by weight desc, term)::INT as rank from (select origin, term, round(sum(tf) * any_value(idf), 6) as weight from post join src using (source_id) join stats using (term) group by origin, term)) where rank <= {params.KEY_TERMS}")
+@query("d2_key_terms", f"select origin, term, weight, rank from (select *, row_number() over (partition by origin order by weight desc, term)::INT as rank from (select origin, term, round(sum(tf) * any_value(idf), 6) as weight from post join src using (source_id) join stats using (term) group by origin, term)) where rank <= {params.KEY_TERMS}")
 def d2(spark, sf_dir):
     t = tables(spark, sf_dir)
-    return report.key_terms(t["postings"], t["stats"], read_sources(spark, sf_dir)).withColumn("weight", F.round("weight", 4))
+    return report.key_terms(t["postings"], t["stats"], read_sources(spark, sf_dir))
 
 
 @query(
     "d3_cited_summary",
-    f"""select origin, rank, sentence, spot.source_id as source_id, spot.passage_no as passage_no, round(weight, 4) as weight from (select *, row_number() over (partition by origin order by weight desc, spot, sentence)::INT as rank from (
+    f"""select origin, rank, sentence, spot.source_id as source_id, spot.passage_no as passage_no, weight from (select *, row_number() over (partition by origin order by weight desc, spot, sentence)::INT as rank from (
     select origin, sentence, spot, round(avg(idf), 6) as weight from (select *, unnest(regexp_extract_all(lower(sentence), '[\\p{{L}}\\p{{N}}]+')) as term from (
     select origin, sentence, min(struct_pack(source_id := source_id, passage_no := passage_no)) as spot from (select source_id, passage_no, origin, trim(unnest(regexp_extract_all(quote, '[^.!?]+[.!?]*'))) as sentence from psg join src using (source_id))
     where len(regexp_extract_all(lower(sentence), '[\\p{{L}}\\p{{N}}]+')) >= 5 group by origin, sentence)) join stats using (term) group by origin, sentence, spot)) where rank <= {params.SUMMARY}""",
 )
 def d3(spark, sf_dir):
     t = tables(spark, sf_dir)
-    return report.cited_summary(t["passages"], read_sources(spark, sf_dir), t["stats"]).withColumn("weight", F.round("weight", 4))
+    return report.cited_summary(t["passages"], read_sources(spark, sf_dir), t["stats"])
 
 
 @query(
