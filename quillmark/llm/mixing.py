@@ -54,7 +54,8 @@ def mix(tokens: DataFrame, budget: float | None = None, entropy_share: float | N
     tokens: token_table(). budget: tokens of the mixture, all tokens where None. Returns doc_id, source, n_tokens, epoch, block,
     block_rank (the block's place in that epoch's permutation of its source). Whole epochs hold every document; the last
     epoch holds blocks in order of the permutation, and of the block that crosses the budget the documents, by hash, that fit.
-    A source without tokens is used once. Rows repeated in tokens count each; an empty table gives no rows.
+    A source without tokens is used once. Rows repeated in tokens count each; an empty table gives no rows. Null ids stay null; all of a
+    source's share one block. Blocks and documents whose hashes tie go by their numbers, ids and tokens.
 
     A hot source is dealt out by its blocks, whose number grows with it; only sums of blocks come together by source.
     """

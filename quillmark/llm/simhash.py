@@ -221,7 +221,8 @@ def links(nodes: DataFrame, radius: int = 2, tree_size: int = TREE_SIZE, sent: i
 def components(edges: DataFrame) -> DataFrame:
     """node and its component's smallest node, by large-star and small-star rounds until nothing changes.
 
-    Each round's edges are written to the shared folder; the driver sees one count a round.
+    Each round's edges are written to the shared folder; the driver sees one count a round. Edges with a null end, or from a node to
+    itself, are none; repeated edges count once; no edges give no rows.
     """
     edges = written(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     if edges.isEmpty():

@@ -10,9 +10,10 @@ can be built in pieces by minimizer:
 3. A path met again in a later document repeats as a whole. Where a minimizer has paths of different content, the graph
    branches; the paths' first sources are opened into single windows there, and these are matched in the same way.
 
-A minimizer's 64-bit hash and a 64-bit digest of the words at the source coordinates must both agree, so equal
-digests of different words play no part at any size of corpus. Hot paths are pre-aggregated before the shuffle and their join is
-left to Spark's skew handling; a document's own spans are bounded by its length.
+A minimizer's 64-bit hash and a 64-bit digest of the words at the source coordinates must both agree; the words themselves are not
+compared again. Degrees are judged for a minimizer's whole bucket and not for each 12-word node: a bucket with one content has no
+branching node. Hot paths are pre-aggregated before the shuffle and their join is left to Spark's skew handling; a document's own
+spans are bounded by its length.
 """
 
 from __future__ import annotations
