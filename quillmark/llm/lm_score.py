@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import from_planes, map_rows, planes, written
 
 #: Words with a symbol of their own, buckets of the others.
-OWN, BUCKETS = 2048, 2048
+OWN, BUCKETS = 1024, 1024
 #: Known words are those whose counts travel with the model, the counts of the others stay in Spark: training words for each known
 #: one, and bounds of their number.
 WORDS_A_KNOWN, FEWEST_KNOWN, MOST_KNOWN = 256, 1 << 12, 1 << 18
@@ -34,8 +34,9 @@ WORDS_A_KNOWN, FEWEST_KNOWN, MOST_KNOWN = 256, 1 << 12, 1 << 18
 ORDERS, WORDS_A_SLOT, FEWEST, MOST = 4, 64, 14, 21
 #: Words after which the weights are refined, step of the refinement, gates (three levels for each predictor with a history).
 BLOCK, RATE, GATES = 16, 0.02, 3 ** (ORDERS - 1)
-#: Words of a document that are worked on at once (whole blocks), and words of several documents together; bytes cut into words at once.
-SEGMENT, GROUP, CUT = 1 << 15, 1 << 17, 1 << 20
+#: Words of a document that are worked on at once (whole blocks), words of several documents together when scored and when
+#: gathered, and bytes cut into words at once.
+SEGMENT, GROUP, GATHERED, CUT = 1 << 15, 1 << 17, 1 << 18, 1 << 20
 #: Distinct words a task counts before it hands them on, cells of a table that travel together.
 COUNTED, CELLS = 200_000, 1 << 16
 _ODD = [np.uint32(x) for x in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F)]
@@ -171,14 +172,14 @@ def segments(rows: Iterable[tuple], own: Words) -> Iterator[Segment]:
         yield Segment((*key, len(data)), held, own, before, True)
 
 
-def groups(parts: Iterable[Segment]) -> Iterator[list[Segment]]:
-    """Segments in groups of about GROUP words; one that isn't its document's last ends a group."""
+def groups(parts: Iterable[Segment], most: int) -> Iterator[list[Segment]]:
+    """Segments in groups of about most words; one that isn't its document's last ends a group."""
     held: list[Segment] = []
     size = 0
     for part in parts:
         held.append(part)
         size += len(part.symbols)
-        if size >= GROUP or not part.last:
+        if size >= most or not part.last:
             yield held
             held, size = [], 0
     if held:
@@ -215,7 +216,7 @@ def tables(docs: DataFrame, own: Words, slots: int) -> np.ndarray:
     def gather(rows: Iterator[tuple]) -> Iterator[tuple]:
         words = shared.value
         table = np.zeros((ORDERS, slots * 2), np.int32)
-        for group in groups(segments(rows, words)):
+        for group in groups(segments(rows, words), GATHERED):
             symbols, one, two = (np.concatenate([getattr(s, x) for s in group]) for x in ("symbols", "one", "two"))
             place, lengths = words.code.places(symbols)
             bits = words.code.bits[place]
@@ -270,7 +271,7 @@ class Mixer:
         inputs = np.empty((ORDERS, len(place)), np.float32)
         gate = np.zeros(len(place), np.int32)
         for k, slot in enumerate(context_slots(self.code, place, lengths, one, two, slots)):
-            entry = self.table[k][slot]
+            entry = self.table[k].take(slot, mode="clip")
             inputs[k] = entry >> 2
             if k:
                 gate *= 3
@@ -292,11 +293,16 @@ class Mixer:
         for a, b, m in zip(edges, edges[1:], active.tolist(), strict=False):
             own = gate[a:b]
             x = inputs[:, a:b]
-            z = weights[0][own] * x[0]
+            z = weights[0].take(own, mode="clip")
+            z *= x[0]
             for k in range(1, ORDERS):
-                z += weights[k][own] * x[k]
-            p = 1 / (1 + np.exp(-np.clip(z, -12, 12, out=z)))
-            chances[a:b] = p
+                term = weights[k].take(own, mode="clip")
+                term *= x[k]
+                z += term
+            np.clip(z, -12, 12, out=z)
+            p = np.exp(np.negative(z, out=z), out=z)
+            p += 1
+            chances[a:b] = np.reciprocal(p, out=p)
             error = (1 - p) * np.float32(RATE)
             for k in range(ORDERS):
                 weights[k][: m * GATES] += np.bincount(own, error * x[k], m * GATES)
@@ -360,7 +366,7 @@ def score(docs: DataFrame, own: int = OWN, buckets: int = BUCKETS, known: int |
     def step(rows: Iterator[tuple]) -> Iterator[tuple]:
         own, table = model.value
         mixer = Mixer(own.code, table)
-        for group in groups(segments(rows, own)):
+        for group in groups(segments(rows, own), GROUP):
             for s, logs in zip(group, mixer.scores(group).tolist(), strict=True):
                 doc, h, n_bytes = s.key
                 met = s.place[s.place >= 0]

@@ -269,7 +269,7 @@ def check_base(got, texts):
         assert r.score <= 0
 
 
-@pytest.mark.parametrize("own,buckets,known", [(2048, 2048, None), (6, 3, 20), (0, 1, 0)])
+@pytest.mark.parametrize("own,buckets,known", [(1024, 1024, None), (6, 3, 20), (0, 1, 0)])
 def test_lm_base(docs, rows, own, buckets, known):
     check_base({r.doc_id: r for r in lm_score.score(docs, own=own, buckets=buckets, known=known).collect()}, {r[0]: r[1] for r in rows})
 
@@ -342,12 +342,12 @@ def plain_model(texts, own, buckets, known):
     return out
 
 
-@pytest.mark.parametrize("own,buckets,known", [(2048, 2048, None), (6, 3, 20), (0, 1, 0)])
+@pytest.mark.parametrize("own,buckets,known", [(1024, 1024, None), (6, 3, 20), (0, 1, 0)])
 def test_lm_score_equals_a_plain_loop(docs, rows, monkeypatch, own, buckets, known):
     texts = {r[0]: r[1] for r in rows}
     want = plain_model(texts, own, buckets, known)
     for segment, group, cut in ((1 << 15, 1 << 17, 1 << 20), (2 * lm_score.BLOCK, 40, 50)):
-        for name, value in (("SEGMENT", segment), ("GROUP", group), ("CUT", cut)):
+        for name, value in (("SEGMENT", segment), ("GROUP", group), ("GATHERED", group), ("CUT", cut)):
             monkeypatch.setattr(lm_score, name, value)
         got = lm_score.score(docs.coalesce(1), own=own, buckets=buckets, known=known).collect()
         for r in got:
