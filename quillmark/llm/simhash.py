@@ -266,10 +266,10 @@ def _named(distinct: DataFrame, radius: int, tree_size: int = TREE_SIZE) -> Data
 
 #: Slots in which shingles are counted to put the common ones last (a fixed size), and counts that travel together.
 SEEN, ROWS = 1 << 20, 1 << 15
-#: Of n shingles, a text shows 1 + n / SHARED more than it must, and two texts are compared if they share so many of what they show.
-SHARED = 10
+#: Of n shingles, a text shows n / SHARED more than it must, and two texts are compared if they share 1 more than that of what they show.
+SHARED = 40
 #: Pairs of texts that are compared at once, for each shingle of a text.
-GROUP = 64
+GROUP = 8
 
 
 def shingle_hashes(data: bytes, words_each: int) -> np.ndarray:
@@ -318,7 +318,7 @@ def _seen(texts: DataFrame, words_each: int) -> np.ndarray:
 
 
 def _shared(index: DataFrame) -> DataFrame:
-    """The rows of the index (shingle, doc_id, n) whose shingle another row has, too. Sorted rows pass by; no group is held."""
+    """The rows of the index (shingle, doc_id, n, w) whose shingle another row has, too. Sorted rows pass by; no group is held."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, given = None, True
@@ -336,7 +336,14 @@ def _shared(index: DataFrame) -> DataFrame:
             yield batch.filter(pa.array(keep))
             last, given = batch.slice(len(own) - 1), bool(keep[-1])
 
-    return index.select("shingle", "doc_id", "n").repartition("shingle").sortWithinPartitions("shingle").mapInArrow(step, "shingle bigint, doc_id bigint, n int")
+    return index.select("shingle", "doc_id", "n", "w").repartition("shingle").sortWithinPartitions("shingle").mapInArrow(step, "shingle bigint, doc_id bigint, n int, w bigint")
+
+
+def _merged(index: DataFrame) -> DataFrame:
+    """The index with one shingle for all that the same texts hold, such as those of a passage, and in w how many these are."""
+    sums = [F.expr(f"bit_xor(xxhash64(doc_id, {seed}))").alias(f"x{seed}") for seed in range(2)]
+    alike = index.groupBy("shingle").agg(*sums, F.count("*").alias("texts"), F.sum("doc_id").alias("ids"))
+    return index.drop("w").join(alike.groupBy("x0", "x1", "texts", "ids").agg(F.min("shingle").alias("shingle"), F.count("*").alias("w")).select("shingle", "w"), "shingle")
 
 
 def _alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -369,7 +376,8 @@ def near_copies(docs: DataFrame, words_each: int = 5, least: float = 0.8, radius
        to its group's first goes.
     2. Of the texts left, in order of id, one that is alike to a kept one goes, any other is kept. No pair is missed here: put in one
        order, sets of n shingles that are alike share k of the first (1 - least) * n + k, so a join on these finds all pairs; k is
-       1 + n / SHARED of the smaller set. The order is by hash, with what many texts hold at the end.
+       1 + n / SHARED of the smaller set. The order is by hash, with what many texts hold at the end. Shingles that the same texts
+       show count together.
 
     So no two kept texts are alike, and each leader is kept or goes for an earlier leader that it is alike to.
 
@@ -409,11 +417,11 @@ def near_copies(docs: DataFrame, words_each: int = 5, least: float = 0.8, radius
     heads = sketched.join(own, ["doc_id", "h", "m"]).select("doc_id", "n", "fp", "shown")
     heads = written(heads if unique else heads.dropDuplicates(["doc_id"]), "heads")
     release(spark)
-    index = written(_shared(map_rows(heads.select("doc_id", "n", "shown"), "shingle long, doc_id long, n int", opened)), "index")
+    index = written(_shared(map_rows(heads.select("doc_id", "n", "shown"), "shingle long, doc_id long, n int", opened).withColumn("w", F.lit(1).cast("long"))), "index")
     release(spark)
     # a text that shares less than its smallest possible partner asks for takes no part
     enough = index.groupBy("doc_id", "n").count().where(F.col("count") >= 1 + F.floor(F.col("n") * F.lit(least) / SHARED - F.lit(1e-9))).select("doc_id")
-    index = written(_shared(index.join(enough, "doc_id")), "index")
+    index = written(_merged(_shared(index.join(enough, "doc_id"))), "index")
     some = rows.join(index.select("doc_id").distinct(), "doc_id", "left_semi").join(own, ["doc_id", "h", "m"]).select("doc_id", "data")
     sets = written(map_rows(some if unique else some.dropDuplicates(["doc_id"]), "doc_id long, shingles binary", hashes), "shingles")
     distinct = written(heads.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
@@ -423,12 +431,12 @@ def near_copies(docs: DataFrame, words_each: int = 5, least: float = 0.8, radius
     release(spark)
     gone = copies.where("doc_id != leader").select("doc_id", "leader").union(like.select(F.col("a").alias("doc_id"), F.col("b").alias("leader")))
     sized = F.least("n", "m") >= F.greatest("n", "m") * F.lit(least) - F.lit(1e-9)
-    asked = F.col("count") >= 1 + F.floor(F.least("n", "m") / SHARED)
+    asked = F.col("shared") >= 1 + F.floor(F.least("n", "m") / SHARED)
     while _crowded(index, group):
         met = index.join(index.groupBy("shingle").agg(F.min("doc_id").alias("b")), "shingle")
         # the texts that come first for all their shingles have no earlier candidate left: they stay
         kept = written(met.groupBy("doc_id").agg(F.min("b").alias("b"), F.first("n").alias("m")).where("b = doc_id").select("b", "m"), "kept")
-        pairs = met.join(kept, "b").where(F.col("doc_id") > F.col("b")).where(sized).groupBy(F.col("doc_id").alias("a"), "b", "n", "m").count().where(asked).select("a", "b")
+        pairs = met.join(kept, "b").where(F.col("doc_id") > F.col("b")).where(sized).groupBy(F.col("doc_id").alias("a"), "b", "n", "m").agg(F.sum("w").alias("shared")).where(asked).select("a", "b")
         like = written(_alike(pairs, sets, least).groupBy("a").agg(F.min("b").alias("b")), "alike")
         decided = kept.select(F.col("b").alias("doc_id")).union(like.select(F.col("a").alias("doc_id")))
         gone = gone.union(like.select(F.col("a").alias("doc_id"), F.col("b").alias("leader")))
@@ -436,8 +444,8 @@ def near_copies(docs: DataFrame, words_each: int = 5, least: float = 0.8, radius
         index = written(_shared(index.join(decided, "doc_id", "left_anti")), "index")
         if few:
             break
-    left = index.select("shingle", F.col("doc_id").alias("a"), "n")
-    pairs = left.join(index.select("shingle", F.col("doc_id").alias("b"), F.col("n").alias("m")), "shingle").where("a > b").where(sized).groupBy("a", "b", "n", "m").count().where(asked).select("a", "b")
+    left = index.select("shingle", F.col("doc_id").alias("a"), "n", "w")
+    pairs = left.join(index.select("shingle", F.col("doc_id").alias("b"), F.col("n").alias("m")), "shingle").where("a > b").where(sized).groupBy("a", "b", "n", "m").agg(F.sum("w").alias("shared")).where(asked).select("a", "b")
     edges = written(_alike(pairs, sets, least), "alike")
     while not edges.isEmpty():
         # what has no earlier text alike to it that may stay, stays
