@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, conversation_repair, line_quality, lm_score, media, merkle, mixing, quality, secret_scan, simhash, substring_dedup, token_counts
+from . import bpe, collocations, conversation_repair, line_quality, lm_score, media, merkle, mixing, quality, secret_scan, simhash, substring_dedup, token_counts
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -90,12 +90,16 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.digests(conversation_repair.repair(conversation_repair.damaged(_table(spark, sf_dir, "conversations"))))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
 def op13_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = line_quality.clean_lines(_table(spark, sf_dir, "documents"))
     failed = [F.col("n_failed")[i].alias(f"n_{r}") for i, r in enumerate(line_quality.RULES)]
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", *failed)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe, op2_simhash, op3_mixing, op4_token_counts, op5_quality, op6_substring_dedup, op7_merkle, op8_media, op9_secret_scan, op10_lm_score, op11_conversation_repair, op13_line_quality)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe, op2_simhash, op3_mixing, op4_token_counts, op5_quality, op6_substring_dedup, op7_merkle, op8_media, op9_secret_scan, op10_lm_score, op11_conversation_repair, op12_collocations, op13_line_quality)}
 #: The others are beyond SQL and are tested against brute force.
 ORACLES = {"op3_mixing": mixing.oracle(), "op13_line_quality": line_quality.oracle()}
