@@ -26,8 +26,8 @@ BREAKS = b".,;:!?\x0a\x0b\x0c\x0d"
 FOLD = bytes.maketrans(bytes(range(65, 91)) + BREAKS + b"\t", bytes(range(97, 123)) + b"\n" * len(BREAKS) + b" ")
 #: Most words of a phrase, fewest occurrences of a candidate, and the share of a hundred at which a longer one takes its place.
 MOST_WORDS, LEAST, SHARE, TOP = 3, 10, 50, 2000
-#: Bytes of a chunk, about, and bytes of all chunks for one hash partition (some five million phrases).
-CHUNK, EACH = 8_000_000, 8_000_000
+#: Bytes of a chunk, about, and bytes of all chunks for one hash partition (some four million phrases).
+CHUNK, EACH = 4_000_000, 8_000_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -116,12 +116,12 @@ class Words:
         letters = np.frombuffer(data, np.uint8)
         breaks = letters == 10
         solid = ~(breaks | (letters == 32))
-        starts = np.flatnonzero(solid & np.concatenate(([True], ~solid[:-1])))
-        kept = letters[solid]
-        offsets = np.append(np.cumsum(solid, dtype=np.int64)[starts] - 1, len(kept))
-        table = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(kept)]).dictionary_encode()
-        self.ids, self.known = table.indices.to_numpy().astype(np.int64), table.dictionary
-        self.piece = np.cumsum(breaks, dtype=np.int64)[starts]
+        edges = np.flatnonzero(np.diff(solid.view(np.int8), prepend=np.int8(0), append=np.int8(0)))
+        starts, ends = edges[::2], edges[1::2]
+        offsets = np.concatenate(([0], np.cumsum(ends - starts)))
+        table = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(letters[solid])]).dictionary_encode()
+        self.ids, self.known = table.indices.to_numpy(), table.dictionary
+        self.piece = np.searchsorted(np.flatnonzero(breaks), starts).astype(np.int32)
         seed = xxhash.xxh64_intdigest(lang.encode()) & 0xFFFFFFFF
         self.hashes = np.array([xxhash.xxh3_64_intdigest(w, seed) for w in self.known.to_pylist()], np.uint64)
 
@@ -139,11 +139,12 @@ class Words:
                 state = (state ^ (state >> np.uint64(31))) + words[n - 1 :]
             places = np.flatnonzero(self.whole(n))
             mixed = state[places] * _MIX
-            yield n, places, mixed ^ (mixed >> np.uint64(29))
+            mixed ^= mixed >> np.uint64(29)
+            yield n, places, mixed
 
     def exact(self, n: int, places: np.ndarray) -> Iterator[tuple[str, int]]:
         """The phrases of n words at places, told apart by their words, and how often each is there."""
-        state = self.ids[places]
+        state = self.ids[places].astype(np.int64)
         for k in range(1, n):
             _, state = np.unique(state, return_inverse=True)
             state = state * len(self.known) + self.ids[places + k]
@@ -153,9 +154,9 @@ class Words:
             yield b" ".join(words).decode(), count
 
 
-def _parts(hashes: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash partition and key within it."""
-    return ((hashes >> np.uint64(32)) % np.uint64(parts)).astype(np.int64), hashes.astype(np.uint32)
+def _placed(hashes: np.ndarray, parts: int) -> np.ndarray:
+    """Hash partition above the 32-bit key within it."""
+    return ((hashes >> np.uint64(32)) % np.uint64(parts) << np.uint64(32)) | (hashes & np.uint64(0xFFFFFFFF))
 
 
 def _packed(keys: np.ndarray) -> bytes:
@@ -174,8 +175,7 @@ def survivors(table: DataFrame, parts: int, least: int = LEAST, most: int = MOST
         for chunk, lang, data in rows:
             found = Words(lang, data)
             every = np.concatenate([h for _, _, h in found.phrase_hashes(most)])
-            part, key = _parts(every, parts)
-            both, counts = np.unique((part.astype(np.uint64) << np.uint64(32)) | key, return_counts=True)
+            both, counts = np.unique(_placed(every, parts), return_counts=True)
             bounds = np.searchsorted(both, np.arange(parts + 1, dtype=np.uint64) << np.uint64(32))
             for p, (lo, hi) in enumerate(zip(bounds, bounds[1:], strict=False)):
                 if lo < hi:
@@ -206,7 +206,7 @@ def survivors(table: DataFrame, parts: int, least: int = LEAST, most: int = MOST
                 if len(own):
                     yield chunk, p, _packed(own)
 
-    sent = map_rows(table, "part int, kind int, chunk long, mass long, keys binary, some binary, counts binary", send)
+    sent = map_rows(table, "part int, kind int, chunk long, mass long, keys binary, some binary, counts binary", send, rows=1)
     return map_rows(sent.repartition("part").sortWithinPartitions("part", "kind", "chunk"), "chunk long, part int, keys binary", gather)
 
 
@@ -230,14 +230,13 @@ def frequent(docs: DataFrame, least: int = LEAST, most: int = MOST_WORDS, chunk:
                 words, known = Words(lang, data), np.concatenate(held) if held else np.zeros(0, np.uint64)
                 yield lang, None, 0, len(words.ids)
                 for n, places, hashes in words.phrase_hashes(most):
-                    part, key = _parts(hashes, parts)
-                    own = (part.astype(np.uint64) << np.uint64(32)) | key
+                    own = _placed(hashes, parts)
                     at = np.minimum(np.searchsorted(known, own), max(len(known) - 1, 0))
                     places = places[known[at] == own] if len(known) else places[:0]
                     yield from ((lang, phrase, n, f) for phrase, f in words.exact(n, places))
 
     dealt = one.union(two).repartition("chunk").sortWithinPartitions("chunk", "kind", "part")
-    counted = map_rows(dealt, "lang string, phrase string, n_words int, f long", count)
+    counted = map_rows(dealt, "lang string, phrase string, n_words int, f long", count, rows=1)
     summed = counted.groupBy("lang", "phrase", "n_words").agg(F.sum("f").alias("f")).where((F.col("f") >= least) | F.col("phrase").isNull())
     out = written(summed, "phrases")
     release(docs.sparkSession)

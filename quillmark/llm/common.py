@@ -34,11 +34,11 @@ def arrow_schema(ddl: str) -> pa.Schema:
     return pa.schema([pa.field(*(lambda n, t: (n, ARROW[t]))(*part.split())) for part in ddl.split(", ")])
 
 
-def taken(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
+def taken(batches: Iterable[pa.RecordBatch], rows: int = TAKE_ROWS) -> Iterator[tuple]:
     """The rows of Arrow batches as tuples, a few at a time so that long texts do not pile up as Python objects."""
     for batch in batches:
-        for at in range(0, batch.num_rows, TAKE_ROWS):
-            yield from zip(*(c.to_pylist() for c in batch.slice(at, TAKE_ROWS).columns), strict=True)
+        for at in range(0, batch.num_rows, rows):
+            yield from zip(*(c.to_pylist() for c in batch.slice(at, rows).columns), strict=True)
 
 
 def given(rows: Iterable[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
@@ -55,10 +55,11 @@ def given(rows: Iterable[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), schema.types, strict=True)], schema=schema)
 
 
-def map_rows(df: DataFrame, ddl: str, step: Callable[[Iterator[tuple]], Iterable[tuple]]) -> DataFrame:
-    """step sees each partition's rows as a stream of tuples and yields rows of the schema ddl; both go through Arrow."""
+def map_rows(df: DataFrame, ddl: str, step: Callable[[Iterator[tuple]], Iterable[tuple]], rows: int = TAKE_ROWS) -> DataFrame:
+    """step sees each partition's rows as a stream of tuples, rows of them at a time, and yields rows of the schema ddl; both go through
+    Arrow."""
     schema = arrow_schema(ddl)
-    return df.mapInArrow(lambda batches: given(step(taken(batches)), schema), ddl.replace("long", "bigint"))
+    return df.mapInArrow(lambda batches: given(step(taken(batches, rows)), schema), ddl.replace("long", "bigint"))
 
 
 def planes(counts: np.ndarray) -> bytes:
