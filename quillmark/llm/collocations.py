@@ -79,7 +79,7 @@ def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def chunks(docs: DataFrame, size: int = CHUNK, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
-    """chunk, lang, data: whole texts, folded, with line ends between them; a text beyond size is cut where pieces end."""
+    """chunk, lang, size, data: whole texts, folded, with line ends between them, compressed; a text beyond size is cut where pieces end."""
 
     def cut(data: bytes) -> Iterator[bytes]:
         at = 0
@@ -99,21 +99,24 @@ def chunks(docs: DataFrame, size: int = CHUNK, lang_col: str = "lang", text_col:
                 held.setdefault(lang, []).append(data)
                 sizes[lang] = sizes.get(lang, 0) + len(data)
                 if sizes[lang] >= size:
-                    yield number, lang, b"\n".join(held.pop(lang))
+                    yield number, lang, *packed(b"\n".join(held.pop(lang)))
                     number, sizes[lang] = number + 1, 0
         for lang, own in held.items():
-            yield number, lang, b"\n".join(own)
+            yield number, lang, *packed(b"\n".join(own))
             number += 1
 
+    def packed(data: bytes) -> tuple[int, bytes]:
+        return len(data), pa.compress(data, "zstd", asbytes=True)
+
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    return written(map_rows(docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), text.alias("text")), "chunk long, lang string, data binary", step), "chunks")
+    return written(map_rows(docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), text.alias("text")), "chunk long, lang string, size long, data binary", step), "chunks")
 
 
 class Words:
     """The words of a chunk as numbers, and which of them stand in one piece."""
 
-    def __init__(self, lang: str, data: bytes) -> None:
-        letters = np.frombuffer(data, np.uint8)
+    def __init__(self, lang: str, size: int, data: bytes) -> None:
+        letters = np.frombuffer(pa.decompress(data, size, "zstd"), np.uint8) if size else np.zeros(0, np.uint8)
         breaks = letters == 10
         solid = ~(breaks | (letters == 32))
         edges = np.flatnonzero(np.diff(solid.view(np.int8), prepend=np.int8(0), append=np.int8(0)))
@@ -172,8 +175,8 @@ def survivors(table: DataFrame, parts: int, least: int = LEAST, most: int = MOST
     """chunk, part, keys: of the hashes of each chunk's phrases, those that Misra-Gries summaries of their hash partitions let survive."""
 
     def send(rows: Iterator[tuple]) -> Iterator[tuple]:
-        for chunk, lang, data in rows:
-            found = Words(lang, data)
+        for chunk, *text in rows:
+            found = Words(*text)
             every = np.concatenate([h for _, _, h in found.phrase_hashes(most)])
             both, counts = np.unique(_placed(every, parts), return_counts=True)
             bounds = np.searchsorted(both, np.arange(parts + 1, dtype=np.uint64) << np.uint64(32))
@@ -214,20 +217,20 @@ def frequent(docs: DataFrame, least: int = LEAST, most: int = MOST_WORDS, chunk:
     """lang, phrase, n_words, f of all phrases of up to most words that occur least times or more in a language, exactly; and with a
     null phrase, the count of all words of each language."""
     table = chunks(docs, chunk, lang_col, text_col)
-    size = table.agg(F.sum(F.octet_length("data"))).first()[0] or 0
+    size = table.agg(F.sum("size")).first()[0] or 0
     parts = size // each + 1
     kept = survivors(table, parts, least, most)
-    one = kept.select("chunk", F.lit(0).alias("kind"), "part", "keys", F.lit(None).cast("string").alias("lang"), F.lit(None).cast("binary").alias("data"))
-    two = table.select("chunk", F.lit(1).alias("kind"), F.lit(None).cast("int").alias("part"), F.lit(None).cast("binary").alias("keys"), "lang", "data")
+    one = kept.select("chunk", F.lit(0).alias("kind"), "part", "keys", F.lit(None).cast("string").alias("lang"), F.lit(None).cast("long").alias("size"), F.lit(None).cast("binary").alias("data"))
+    two = table.select("chunk", F.lit(1).alias("kind"), F.lit(None).cast("int").alias("part"), F.lit(None).cast("binary").alias("keys"), "lang", "size", "data")
 
     def count(rows: Iterator[tuple]) -> Iterator[tuple]:
         for _, group in groupby(rows, itemgetter(0)):
             held = []
-            for _, kind, part, keys, lang, data in group:
+            for _, kind, part, keys, lang, size, data in group:
                 if not kind:
                     held.append((np.uint64(part) << np.uint64(32)) | _unpacked(keys).astype(np.uint64))
                     continue
-                words, known = Words(lang, data), np.concatenate(held) if held else np.zeros(0, np.uint64)
+                words, known = Words(lang, size, data), np.concatenate(held) if held else np.zeros(0, np.uint64)
                 yield lang, None, 0, len(words.ids)
                 for n, places, hashes in words.phrase_hashes(most):
                     own = _placed(hashes, parts)
