@@ -14,6 +14,7 @@ from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
@@ -145,30 +146,47 @@ class Words:
             mixed ^= mixed >> np.uint64(29)
             yield n, places, mixed
 
-    def exact(self, n: int, places: np.ndarray) -> Iterator[tuple[str, int]]:
-        """The phrases of n words at places, told apart by their words, and how often each is there."""
+    def exact(self, n: int, places: np.ndarray, parts: np.ndarray) -> Iterator[tuple[int, int, bytes, bytes]]:
+        """The phrases of n words at places, told apart by their words: for each of their hash partitions how many, the phrases and how
+        often each is there."""
         state = self.ids[places].astype(np.int64)
         for k in range(1, n):
             _, state = np.unique(state, return_inverse=True)
             state = state * len(self.known) + self.ids[places + k]
         _, first, counts = np.unique(state, return_index=True, return_counts=True)
-        columns = [self.known.take(pa.array(self.ids[places[first] + k])).to_pylist() for k in range(n)]
-        for *words, count in zip(*columns, counts.tolist(), strict=True):
-            yield b" ".join(words).decode(), count
+        words = [self.known.take(pa.array(self.ids[places[first] + k])) for k in range(n)]
+        phrases = pc.binary_join_element_wise(*words, pa.scalar(b" ", pa.large_binary())) if n > 1 else words[0]
+        order = pc.sort_indices(pa.table({"part": parts[first], "phrase": phrases}), sort_keys=[("part", "ascending"), ("phrase", "ascending")]).to_numpy()
+        parts, phrases, counts = parts[first][order], phrases.take(pa.array(order)), counts[order]
+        starts = np.flatnonzero(np.diff(parts, prepend=-1))
+        for lo, hi in zip(starts, [*starts[1:], len(parts)], strict=True):
+            yield int(parts[lo]), int(hi - lo), _small(b"\n".join(phrases[lo:hi].to_pylist())), _small(planes(counts[lo:hi]))
+
+
+#: Bits of a key within its hash partition; keys that meet by chance only let more survive.
+KEY = 28
 
 
 def _placed(hashes: np.ndarray, parts: int) -> np.ndarray:
-    """Hash partition above the 32-bit key within it."""
-    return ((hashes >> np.uint64(32)) % np.uint64(parts) << np.uint64(32)) | (hashes & np.uint64(0xFFFFFFFF))
+    """Hash partition above the key within it."""
+    return ((hashes >> np.uint64(32)) % np.uint64(parts) << np.uint64(32)) | (hashes & np.uint64((1 << KEY) - 1))
+
+
+def _small(data: bytes) -> bytes:
+    return len(data).to_bytes(4, "little") + pa.compress(data, "zstd", asbytes=True)
+
+
+def _large(data: bytes) -> bytes:
+    return pa.decompress(data[4:], size, "zstd", asbytes=True) if (size := int.from_bytes(data[:4], "little")) else b""
 
 
 def _packed(keys: np.ndarray) -> bytes:
     """Sorted keys as steps from one to the next."""
-    return planes(np.diff(keys, prepend=np.uint32(0)))
+    return _small(planes(np.diff(keys, prepend=np.uint32(0))))
 
 
 def _unpacked(data: bytes) -> np.ndarray:
-    return np.cumsum(from_planes(data)).astype(np.uint32)
+    return np.cumsum(from_planes(_large(data))).astype(np.uint32)
 
 
 def survivors(table: DataFrame, parts: int, least: int = LEAST, most: int = MOST_WORDS) -> DataFrame:
@@ -186,7 +204,7 @@ def survivors(table: DataFrame, parts: int, least: int = LEAST, most: int = MOST
                     some = np.flatnonzero(n > 1)
                     yield p, 0, chunk, int(n.sum()), None, None, None
                     # places of counts above one, among the keys, and these counts
-                    yield p, 1, chunk, None, _packed(keys), _packed(some.astype(np.uint32)), planes(n[some])
+                    yield p, 1, chunk, None, _packed(keys), _packed(some.astype(np.uint32)), _small(planes(n[some]))
 
     def gather(rows: Iterator[tuple]) -> Iterator[tuple]:
         for p, group in groupby(rows, itemgetter(0)):
@@ -198,7 +216,7 @@ def survivors(table: DataFrame, parts: int, least: int = LEAST, most: int = MOST
                 summary = summary or Summary(mass, least)
                 own = _unpacked(keys)
                 every = np.ones(len(own), np.int64)
-                every[_unpacked(some)] = from_planes(counts)
+                every[_unpacked(some)] = from_planes(_large(counts))
                 summary.add(own, every)
                 blocks.append((chunk, keys))
             kept = summary.survivors()
@@ -231,16 +249,32 @@ def frequent(docs: DataFrame, least: int = LEAST, most: int = MOST_WORDS, chunk:
                     held.append((np.uint64(part) << np.uint64(32)) | _unpacked(keys).astype(np.uint64))
                     continue
                 words, known = Words(lang, size, data), np.concatenate(held) if held else np.zeros(0, np.uint64)
-                yield lang, None, 0, len(words.ids)
+                yield lang, -1, 0, len(words.ids), None, None
                 for n, places, hashes in words.phrase_hashes(most):
                     own = _placed(hashes, parts)
                     at = np.minimum(np.searchsorted(known, own), max(len(known) - 1, 0))
-                    places = places[known[at] == own] if len(known) else places[:0]
-                    yield from ((lang, phrase, n, f) for phrase, f in words.exact(n, places))
+                    met = known[at] == own if len(known) else np.zeros(len(own), bool)
+                    if met.any():
+                        yield from ((lang, part, n, *block) for part, *block in words.exact(n, places[met], (own[met] >> np.uint64(32)).astype(np.int64)))
+
+    def add_up(rows: Iterator[tuple]) -> Iterator[tuple]:
+        for (lang, part, n), group in groupby(rows, itemgetter(0, 1, 2)):
+            if part < 0:
+                yield lang, None, 0, sum(row[3] for row in group)
+                continue
+            phrases, counts = [], []
+            for *_, block, each_count in group:
+                phrases.append(pa.array(_large(block).split(b"\n"), pa.binary()))
+                counts.append(from_planes(_large(each_count)))
+            both = pa.table({"phrase": pa.chunked_array(phrases), "f": np.concatenate(counts)}).group_by("phrase").aggregate([("f", "sum")])
+            both = both.filter(pc.greater_equal(both["f_sum"], least))
+            for phrase, f in zip(both["phrase"].to_pylist(), both["f_sum"].to_pylist(), strict=True):
+                yield lang, phrase.decode(), n, f
 
     dealt = one.union(two).repartition("chunk").sortWithinPartitions("chunk", "kind", "part")
-    counted = map_rows(dealt, "lang string, phrase string, n_words int, f long", count, rows=1)
-    summed = counted.groupBy("lang", "phrase", "n_words").agg(F.sum("f").alias("f")).where((F.col("f") >= least) | F.col("phrase").isNull())
+    counted = map_rows(dealt, "lang string, part int, n_words int, n long, phrases binary, counts binary", count, rows=1)
+    place = ["lang", "part", "n_words"]
+    summed = map_rows(counted.repartition(*place).sortWithinPartitions(*place), "lang string, phrase string, n_words int, f long", add_up)
     out = written(summed, "phrases")
     release(docs.sparkSession)
     return out
@@ -267,9 +301,12 @@ def collocations(docs: DataFrame, least: int = LEAST, most: int = MOST_WORDS, sh
     inner = F.flatten(F.transform(F.sequence(F.lit(2), F.col("n_words") - 1), lambda n: F.transform(F.sequence(F.lit(1), F.col("n_words") - n + 1), lambda at: joined(F.col("w"), at, n))))
     within = candidates.where("n_words > 2").select("lang", F.explode(inner).alias("phrase"), "a").groupBy("lang", "phrase").agg(F.max("a").alias("longer"))
     alone = candidates.join(within, ["lang", "phrase"], "left").where(F.col("longer").isNull() | (F.col("longer") * 100 < F.col("a") * share))
+    # each part of each cut is looked up once, in one join
     cuts = alone.select("lang", "phrase", "a", F.explode(F.transform(F.sequence(F.lit(1), F.col("n_words") - 1), lambda k: F.struct(k.alias("k"), joined(F.col("w"), F.lit(1), k).alias("one"), joined(F.col("w"), k + 1, F.col("n_words")).alias("two")))).alias("c")).select("lang", "phrase", "a", "c.*")
-    side = lambda name, f: phrases.select("lang", F.col("phrase").alias(name), F.col("f").alias(f))
-    scored = cuts.join(side("one", "l"), ["lang", "one"]).join(side("two", "r"), ["lang", "two"]).withColumn("score", pair_score(F.col("a"), F.col("l"), F.col("r")))
+    sides = cuts.select("lang", "phrase", "a", "k", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("one").alias("part")), F.struct(F.lit(1).alias("side"), F.col("two").alias("part")))).alias("s")).select("lang", "phrase", "a", "k", "s.*")
+    looked = sides.join(phrases.select("lang", F.col("phrase").alias("part"), "f"), ["lang", "part"])
+    f_of = lambda n: F.max(F.when(F.col("side") == n, F.col("f")))
+    scored = looked.groupBy("lang", "phrase", "a", "k").agg(f_of(0).alias("l"), f_of(1).alias("r")).withColumn("score", pair_score(F.col("a"), F.col("l"), F.col("r")))
     lowest = scored.groupBy("lang", "phrase", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("best")).select("lang", "phrase", "a", "best.l", "best.r", "best.score")
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
     ranked = lowest.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
