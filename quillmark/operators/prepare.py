@@ -47,8 +47,8 @@ def split_passages(sources: DataFrame, size: int = params.SIZE, stride: int = pa
 
 def duplicate_map(sources: DataFrame) -> DataFrame:
     """A3: source_id and canonical_id, the lowest id with the same text. Membership stays in rows, so a text with very many copies is
-    never one value."""
-    marked = sources.select("source_id", F.sha2("text", 256).alias("digest"))
+    never one value. Sources without a text (null) are copies of each other, and not of those with an empty one."""
+    marked = sources.select("source_id", F.coalesce(F.sha2("text", 256), F.lit("")).alias("digest"))
     return marked.join(marked.groupBy("digest").agg(F.min("source_id").alias("canonical_id")), "digest").select("source_id", "canonical_id")
 
 

@@ -15,11 +15,15 @@ def question_set(df: DataFrame, kind: str) -> DataFrame:
 
 
 def question_terms(questions: DataFrame, stats: DataFrame, corpus: DataFrame, max_df_share: float = params.MAX_DF_SHARE, max_terms: int = params.MAX_TERMS) -> DataFrame:
-    """question_id, term, idf: distinct terms, too common ones dropped, the rarest kept."""
+    """question_id, term, idf: distinct terms, too common ones dropped, the rarest kept; what else stats has of a term comes along.
+
+    Null questions have no terms.
+    """
+    more = [c for c in stats.columns if c not in ("term", "df", "idf")]
     each = questions.select("question_id", F.explode(F.array_distinct(terms(F.col("question")))).alias("term"))
     rare = each.join(stats, "term").crossJoin(F.broadcast(corpus.select("n_passages"))).where(F.col("df") <= F.col("n_passages") * max_df_share)
     order = Window.partitionBy("question_id").orderBy("df", "term")
-    return rare.withColumn("place", F.row_number().over(order)).where(F.col("place") <= max_terms).select("question_id", "term", "idf")
+    return rare.withColumn("place", F.row_number().over(order)).where(F.col("place") <= max_terms).select("question_id", "term", "idf", *more)
 
 
 def score_passages(wanted: DataFrame, postings: DataFrame, corpus: DataFrame, k1: float = params.K1, b: float = params.B) -> DataFrame:

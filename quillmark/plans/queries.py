@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import params
 from ..functions.text import words
-from ..operators import prepare, qa, report, retrieval
+from ..operators import index, prepare, qa, report, retrieval
 from ..sources.tables import fresh_folder, read_sources, table, write_table
 from ..streaming.answers import answer_batch
 
@@ -67,7 +67,9 @@ def build_tables(sources: DataFrame, folder: str) -> dict[str, DataFrame]:
     passages = write_table(prepare.split_passages(prepare.collapse_duplicates(sources)), folder, "passages")
     postings = write_table(retrieval.build_postings(passages), folder, "postings")
     corpus = write_table(retrieval.corpus_stats(passages), folder, "corpus")
-    return {"passages": passages, "postings": postings, "corpus": corpus, "stats": write_table(retrieval.term_stats(postings, corpus), folder, "stats")}
+    stats = write_table(index.term_layout(retrieval.term_stats(postings, corpus), index.slot_count(postings.count())), folder, "stats")
+    blocks = index.build_blocks(postings, stats, corpus).repartition("slot", "piece").sortWithinPartitions("slot", "term", "range")
+    return {"passages": passages, "postings": postings, "corpus": corpus, "stats": stats, "blocks": write_table(blocks, folder, "blocks", ("slot",))}
 
 
 #: The tables that a session has built, by session and folder of sources.
@@ -85,14 +87,34 @@ def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return _BUILT[key]
 
 
+#: The word indexes that a session has built.
+_WORDS: dict[tuple[str, str], tuple[DataFrame, DataFrame]] = {}
+
+
+def word_index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The positions of all words, and the runs of characters of the distinct ones, built once a session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _WORDS:
+        folder = fresh_folder(spark, "words")
+        positions = write_table(index.build_positions(read_sources(spark, sf_dir)), folder, "positions")
+        _WORDS[key] = positions, write_table(index.build_grams(positions), folder, "grams")
+    return _WORDS[key]
+
+
 def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return qa.question_set(table(spark, sf_dir, "benchmark"), "benchmark")
 
 
-def _hits(spark: SparkSession, sf_dir: str) -> tuple[dict[str, DataFrame], DataFrame, DataFrame]:
+def _wanted(spark: SparkSession, sf_dir: str, questions: DataFrame | None = None) -> tuple[dict[str, DataFrame], DataFrame]:
+    """The tables, and the terms of the questions, written once for all steps that ask for them."""
     t = tables(spark, sf_dir)
-    wanted = qa.question_terms(_questions(spark, sf_dir), t["stats"], t["corpus"])
-    return t, wanted, qa.top_passages(qa.score_passages(wanted, t["postings"], t["corpus"]))
+    wanted = qa.question_terms(_questions(spark, sf_dir) if questions is None else questions, t["stats"], t["corpus"])
+    return t, write_table(wanted, fresh_folder(spark, "batch"), "wanted")
+
+
+def _hits(spark: SparkSession, sf_dir: str) -> tuple[dict[str, DataFrame], DataFrame, DataFrame]:
+    t, wanted = _wanted(spark, sf_dir)
+    return t, wanted, index.top_by_blocks(wanted, t["blocks"], t["corpus"])
 
 
 def _quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,7 +143,7 @@ def b1(spark, sf_dir):
 
 @query("b2_term_stats", "select term, df, round(idf, 6) as idf from stats")
 def b2(spark, sf_dir):
-    return tables(spark, sf_dir)["stats"].withColumn("idf", F.round("idf", 6))
+    return tables(spark, sf_dir)["stats"].select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query("b3_corpus_stats", "select n_passages, round(mean_terms, 6) as mean_terms from corpus")
@@ -136,14 +158,13 @@ def c1(spark, sf_dir):
 
 @query("c2_question_terms", "select question_id, term, round(idf, 6) as idf from wanted")
 def c2(spark, sf_dir):
-    return _hits(spark, sf_dir)[1].withColumn("idf", F.round("idf", 6))
+    return _wanted(spark, sf_dir)[1].select("question_id", "term", F.round("idf", 6).alias("idf"))
 
 
 @query("c3_score_passages", "select question_id, source_id, passage_no, score from scored")
 def c3(spark, sf_dir):
-    t = tables(spark, sf_dir)
-    wanted = qa.question_terms(_questions(spark, sf_dir), t["stats"], t["corpus"])
-    return qa.score_passages(wanted, t["postings"], t["corpus"])
+    t, wanted = _wanted(spark, sf_dir)
+    return index.score_blocks(wanted, t["blocks"], t["corpus"])
 
 
 @query("c4_top_passages", "select question_id, source_id, passage_no, score, rank from hits")
@@ -167,9 +188,9 @@ def c6(spark, sf_dir):
 
 @query("c7_unanswered", BASE.replace("from benchmark),", "from benchmark union all select 'user:' || conv_id || ':' || turn, text from conversations where role = 'user'),", 1) + "select question_id, question from qst where question_id not in (select question_id from hits)")
 def c7(spark, sf_dir):
-    t, questions = tables(spark, sf_dir), c1(spark, sf_dir)
-    hits = qa.top_passages(qa.score_passages(qa.question_terms(questions, t["stats"], t["corpus"]), t["postings"], t["corpus"]))
-    return qa.unanswered(questions, hits)
+    questions = c1(spark, sf_dir)
+    t, wanted = _wanted(spark, sf_dir, questions)
+    return qa.unanswered(questions, index.top_by_blocks(wanted, t["blocks"], t["corpus"]))
 
 
 @query("c8_check_citations", "select question_id, rank, source_id, case when substr(text, char_start + 1, char_len) = quote then 'exact' when contains(text, quote) then 'moved' else 'missing' end as verdict from hits join psg using (source_id, passage_no) join ans using (question_id) left join src using (source_id)")
@@ -191,6 +212,23 @@ def c9_short(spark, sf_dir):
     return short.select("quote_id", F.size(words(F.col("quote"))).alias("n_words"))
 
 
+#: Short quotes: user turns of fewer words than C9 looks up by their anchor, and pieces of benchmark items, cut within words.
+SHORT = f"""select 'user:' || conv_id || ':' || turn as quote_id, text as quote from conversations where role = 'user' and len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) between 1 and {params.ANCHOR + 1}
+    union all select 'cut' || n || ':' || item_id, substr(text, 6, n) from benchmark, (values (4), (9), (25)) v(n) where len(regexp_extract_all(substr(text, 6, n), '[^\\x20\\x09-\\x0D]+')) > 0"""
+
+
+@query("c9_short_positions", f"select quote_id, doc_id as source_id, instr(d.text, quote)::INT as position from ({SHORT}) join documents d on contains(d.text, quote)")
+def c9_positions(spark, sf_dir):
+    """Quotes of one word and more by the positional index."""
+    turns = qa.question_set(table(spark, sf_dir, "conversations"), "user").select(F.col("question_id").alias("quote_id"), F.col("question").alias("quote"))
+    pieces = [table(spark, sf_dir, "benchmark").select(F.concat_ws(":", F.lit(f"cut{n}"), "item_id").alias("quote_id"), F.substring("text", 6, n).alias("quote")) for n in (4, 9, 25)]
+    quotes = qa.short_quotes(turns)
+    for piece in pieces:
+        quotes = quotes.union(piece)
+    sources, (positions, grams) = read_sources(spark, sf_dir), word_index(spark, sf_dir)
+    return index.find_short_quotes(quotes, sources, positions, grams)
+
+
 @query(
     "c10_retrieval_quality",
     """select k, round(avg((found > 0)::INT), 6) as hit_rate, round(sum(found) / sum(n), 6) as recall, round(avg(case when first <= k then 1.0::DOUBLE / first else 0 end), 6) as mrr

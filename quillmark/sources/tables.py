@@ -16,9 +16,9 @@ def read_sources(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").select(F.col("doc_id").alias("source_id"), F.coalesce("text", F.lit("")).alias("text"), "lang", F.col("source").alias("origin"))
 
 
-def write_table(df: DataFrame, folder: str, name: str) -> DataFrame:
-    """df written as Parquet, for tables that several jobs use, and read again."""
-    df.write.mode("overwrite").parquet(f"{folder}/{name}.parquet")
+def write_table(df: DataFrame, folder: str, name: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """df written as Parquet, for tables that several jobs use, and read again. by: columns, the last of df, that name its folders."""
+    df.write.mode("overwrite").partitionBy(*by).parquet(f"{folder}/{name}.parquet")
     return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}.parquet")
 
 

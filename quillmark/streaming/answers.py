@@ -4,13 +4,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators import qa
+from ..operators import index, qa
 
 
 def answer_batch(questions: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
-    """Citations of a batch of questions against the retrieval tables (passages, postings, stats, corpus)."""
+    """Citations of a batch of questions against the retrieval tables (passages, blocks, stats, corpus). Only the slots of the
+    batch's terms are read."""
     wanted = qa.question_terms(questions, tables["stats"], tables["corpus"])
-    hits = qa.top_passages(qa.score_passages(wanted, tables["postings"], tables["corpus"]))
+    hits = index.top_by_blocks(wanted, tables["blocks"], tables["corpus"])
     return qa.citations(hits, tables["passages"], qa.best_sentence(hits, tables["passages"], wanted))
 
 
