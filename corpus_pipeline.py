@@ -43,12 +43,16 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: of equal texts, and of texts whose 5-word shingles are 0.8 alike or more.
 
-    Repeated rows of one id and text become one. Null texts count as empty, and so as copies of each other. Rows with a null id
-    stay. Of equal texts the smallest id stays.
+    Repeated rows of one id and text become one, the first by all columns as JSON. Null texts count as empty, and so as copies of each
+    other. Rows with a null id all stay. Of equal texts the smallest id stays.
     """
     kept = _without(docs, simhash.near_copies(docs, words_each=5, least=0.8).select("doc_id"))
-    unique = docs.groupBy("doc_id", F.xxhash64("text")).count().where("count > 1").isEmpty()
-    return kept if unique else kept.dropDuplicates(["doc_id", "text"])
+    named = F.col("doc_id").isNotNull()
+    if docs.where(named).groupBy("doc_id", F.xxhash64("text")).count().where("count > 1").isEmpty():
+        return kept
+    row, own = F.struct(*(F.col(f"`{c}`") for c in docs.columns)), _mark(docs) + "row"
+    once = kept.where(named).groupBy("doc_id", "text").agg(F.min_by(row, F.to_json(row)).alias(own)).select(f"{own}.*")
+    return once.union(kept.where(~named))
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,6 +15,6 @@ TOP_K, PER_SOURCE = 5, 1
 ANCHOR = 8
 KEY_TERMS, SUMMARY = 10, 5
 #: Postings of a slot of the index, and slots at most; passages of a range, about; postings of a term in one piece.
-POSTINGS_PER_SLOT, MOST_SLOTS, RANGE, SPLIT = 100_000, 4096, 1024, 100_000
+POSTINGS_PER_SLOT, MOST_SLOTS, RANGE, SPLIT = 100_000, 4096, 64, 100_000
 #: Characters of the runs by which parts of words are found.
 GRAM = 3
