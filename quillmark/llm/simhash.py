@@ -12,6 +12,7 @@ Links are reported as a spanning forest of each bucket, never as all pairs withi
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import groupby, islice
 from operator import itemgetter
 
@@ -318,7 +319,7 @@ def _seen(texts: DataFrame, words_each: int) -> np.ndarray:
 
 
 def _shared(index: DataFrame) -> DataFrame:
-    """The rows of the index (shingle, doc_id, n, w) whose shingle another row has, too. Sorted rows pass by; no group is held."""
+    """The rows of the index whose shingle another row has, too. Sorted rows pass by; no group is held."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, given = None, True
@@ -336,7 +337,8 @@ def _shared(index: DataFrame) -> DataFrame:
             yield batch.filter(pa.array(keep))
             last, given = batch.slice(len(own) - 1), bool(keep[-1])
 
-    return index.select("shingle", "doc_id", "n", "w").repartition("shingle").sortWithinPartitions("shingle").mapInArrow(step, "shingle bigint, doc_id bigint, n int, w bigint")
+    ordered = index.select("shingle", *(c for c in index.columns if c != "shingle"))
+    return ordered.repartition("shingle").sortWithinPartitions("shingle").mapInArrow(step, ordered.schema)
 
 
 def _merged(index: DataFrame) -> DataFrame:
@@ -362,10 +364,47 @@ def _alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 
 def _crowded(index: DataFrame, group: int) -> bool:
     """Whether the index makes more than group pairs of texts for each of its rows."""
-    each = index.groupBy("shingle").count().agg(F.sum(F.col("count").cast("double") * (F.col("count") - 1) / 2), F.sum("count")).first()
+    light, heavy = F.count_if(~F.col("heavy")).cast("double"), F.count_if("heavy").cast("double")
+    each = index.groupBy("shingle").agg(light.alias("l"), heavy.alias("h")).agg(F.sum(F.col("l") * (F.col("l") - 1) / 2 + F.col("l") * F.col("h")), F.sum(F.col("l") + F.col("h"))).first()
     return (each[0] or 0) > group * (each[1] or 0)
 
 
+#: Texts that share a shingle before their own ones are counted (any number gives the same result).
+CROWD = 16
+
+
+def _heavy(index: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """doc_id of texts of which no two are alike, among those that meet in crowded shingles.
+
+    Of s shingles that others of these texts have, and u that none of them has, two texts share at most the lesser s, and together have at least
+    the greater s and both u. So they are alike only if both u together are at most (1 - least) / least of the lesser s, which isn't so
+    if each u is above half of that share of its s. Texts that fill in one template, or quote one passage, are such.
+    """
+    crowded = index.groupBy("shingle").agg(F.count("*").alias("texts")).where(F.col("texts") >= CROWD).select("shingle")
+    some = index.join(crowded, "shingle").select("doc_id").distinct()
+
+    def opened(rows: Iterator[tuple]) -> Iterator[tuple]:
+        for doc, data in rows:
+            every = np.frombuffer(data, np.int64)
+            for x in every.tolist():
+                yield x, doc, len(every)
+
+    every = map_rows(sets.join(some, "doc_id").select("doc_id", "shingles"), "shingle long, doc_id long, n int", opened)
+    shared = _shared(every).groupBy("doc_id", "n").agg(F.count("*").alias("s"))
+    return shared.where((F.col("n") - F.col("s")) * F.lit(2 * least) > F.col("s") * F.lit(1 - least) + F.lit(1e-6)).select("doc_id")
+
+
+def _settled(edges: DataFrame) -> Iterator[DataFrame]:
+    """(a, b): of texts joined by edges (a alike to the earlier b), in order of id, each that is alike to one that stays."""
+    while not edges.isEmpty():
+        # what has no earlier text alike to it that may stay, stays
+        kept = edges.select("b").distinct().join(edges.select(F.col("a").alias("b")), "b", "left_anti")
+        like = written(edges.join(kept, "b").groupBy("a").agg(F.min("b").alias("b")), "alike")
+        yield like
+        out = like.select("a")
+        edges = written(edges.join(out, "a", "left_anti").join(out.select(F.col("a").alias("b")), "b", "left_anti").select("a", "b"), "edges")
+
+
 def near_copies(docs: DataFrame, words_each: int = 5, least: float = 0.8, radius: int = 3, group: int = GROUP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, leader) of the documents that repeat an earlier one, so that one document of each group stays.
 
@@ -379,7 +418,11 @@ def near_copies(docs: DataFrame, words_each: int = 5, least: float = 0.8, radius
        1 + n / SHARED of the smaller set. The order is by hash, with what many texts hold at the end. Shingles that the same texts
        show count together.
 
-    So no two kept texts are alike, and each leader is kept or goes for an earlier leader that it is alike to.
+    3. A text that went in step 1 for one that goes in step 2 is compared with that one's own leader; if it isn't alike to it, it is
+       decided anew: in order of id it goes if it is alike to a text that stays, else it stays.
+
+    So no two kept texts are alike, and each text that goes is alike to one that stays. Pairs of texts that have too many shingles of
+    their own are never made (see _heavy()).
 
     While texts and their shingles make more than group pairs for each of them, rounds decide the texts that have no earlier candidate
     left and compare only them with the others, as long as that decides a fiftieth of the texts or more. These rounds save pairs and
@@ -424,34 +467,64 @@ def near_copies(docs: DataFrame, words_each: int = 5, least: float = 0.8, radius
     index = written(_merged(_shared(index.join(enough, "doc_id"))), "index")
     some = rows.join(index.select("doc_id").distinct(), "doc_id", "left_semi").join(own, ["doc_id", "h", "m"]).select("doc_id", "data")
     sets = written(map_rows(some if unique else some.dropDuplicates(["doc_id"]), "doc_id long, shingles binary", hashes), "shingles")
+    heavy = _heavy(index, sets, least).withColumn("heavy", F.lit(True))
+    index = whole = written(index.join(heavy, "doc_id", "left").withColumn("heavy", F.coalesce("heavy", F.lit(False))), "index")
+    release(spark)
     distinct = written(heads.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
     near = heads.select("doc_id", "fp").join(_named(distinct, radius), "fp").where("doc_id != component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
-    like = written(_alike(near, sets, least), "alike")
-    index = written(_shared(index.join(like.select(F.col("a").alias("doc_id")), "doc_id", "left_anti")), "index")
+    first = written(_alike(near, sets, least), "alike")
+    index = written(_shared(index.join(first.select(F.col("a").alias("doc_id")), "doc_id", "left_anti")), "index")
     release(spark)
-    gone = copies.where("doc_id != leader").select("doc_id", "leader").union(like.select(F.col("a").alias("doc_id"), F.col("b").alias("leader")))
+    second: list[DataFrame] = []
     sized = F.least("n", "m") >= F.greatest("n", "m") * F.lit(least) - F.lit(1e-9)
     asked = F.col("shared") >= 1 + F.floor(F.least("n", "m") / SHARED)
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        return _alike(pairs.where(sized).groupBy("a", "b", "n", "m").agg(F.sum("w").alias("shared")).where(asked).select("a", "b"), sets, least)
+
     while _crowded(index, group):
         met = index.join(index.groupBy("shingle").agg(F.min("doc_id").alias("b")), "shingle")
         # the texts that come first for all their shingles have no earlier candidate left: they stay
-        kept = written(met.groupBy("doc_id").agg(F.min("b").alias("b"), F.first("n").alias("m")).where("b = doc_id").select("b", "m"), "kept")
-        pairs = met.join(kept, "b").where(F.col("doc_id") > F.col("b")).where(sized).groupBy(F.col("doc_id").alias("a"), "b", "n", "m").agg(F.sum("w").alias("shared")).where(asked).select("a", "b")
-        like = written(_alike(pairs, sets, least).groupBy("a").agg(F.min("b").alias("b")), "alike")
+        kept = written(met.groupBy("doc_id").agg(F.min("b").alias("b"), F.first("n").alias("m"), F.first("heavy").alias("too")).where("b = doc_id").select("b", "m", "too"), "kept")
+        like = written(compared(met.join(kept, "b").where("doc_id > b and not (heavy and too)").withColumnRenamed("doc_id", "a")).groupBy("a").agg(F.min("b").alias("b")), "alike")
+        second.append(like)
         decided = kept.select(F.col("b").alias("doc_id")).union(like.select(F.col("a").alias("doc_id")))
-        gone = gone.union(like.select(F.col("a").alias("doc_id"), F.col("b").alias("leader")))
         few = 50 * decided.count() < met.select("doc_id").distinct().count()
         index = written(_shared(index.join(decided, "doc_id", "left_anti")), "index")
         if few:
             break
-    left = index.select("shingle", F.col("doc_id").alias("a"), "n", "w")
-    pairs = left.join(index.select("shingle", F.col("doc_id").alias("b"), F.col("n").alias("m")), "shingle").where("a > b").where(sized).groupBy("a", "b", "n", "m").agg(F.sum("w").alias("shared")).where(asked).select("a", "b")
-    edges = written(_alike(pairs, sets, least), "alike")
-    while not edges.isEmpty():
-        # what has no earlier text alike to it that may stay, stays
-        kept = edges.select("b").distinct().join(edges.select(F.col("a").alias("b")), "b", "left_anti")
-        like = written(edges.join(kept, "b").groupBy("a").agg(F.min("b").alias("b")), "alike")
-        gone = gone.union(like.select(F.col("a").alias("doc_id"), F.col("b").alias("leader")))
-        out = like.select("a")
-        edges = written(edges.join(out, "a", "left_anti").join(out.select(F.col("a").alias("b")), "b", "left_anti").select("a", "b"), "edges")
-    return gone
+    second += _settled(written(compared(_pairs(index, index)), "alike"))
+    # who went for a text that went itself
+    went = reduce(DataFrame.union, second) if second else first.limit(0)
+    lost = written(first.join(went.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").select("a", F.col("c").alias("b")), "lost")
+    decided = [first.join(lost.select("a"), "a", "left_anti"), *second]
+    if not lost.isEmpty():
+        decided.append(written(_alike(lost, sets, least), "alike"))
+        anew = written(lost.join(decided[-1].select("a"), "a", "left_anti").select(F.col("a").alias("doc_id")), "anew")
+        if not anew.isEmpty():
+            gone = reduce(DataFrame.union, decided).select(F.col("a").alias("doc_id"))
+            left = written(_shared(whole.join(gone, "doc_id", "left_anti")), "index")
+            fresh = anew.withColumn("fresh", F.lit(True))
+            edges = written(compared(_pairs(left.join(anew, "doc_id"), left)), "alike")
+            marked = edges.join(fresh.withColumnRenamed("doc_id", "a").withColumnRenamed("fresh", "a_fresh"), "a", "left").join(fresh.withColumnRenamed("doc_id", "b").withColumnRenamed("fresh", "b_fresh"), "b", "left")
+            # beside one that stays, whatever its id
+            beside = marked.where("a_fresh is null or b_fresh is null").select(F.when(F.col("a_fresh"), F.col("a")).otherwise(F.col("b")).alias("a"), F.when(F.col("a_fresh"), F.col("b")).otherwise(F.col("a")).alias("b"))
+            decided.append(written(beside.groupBy("a").agg(F.min("b").alias("b")), "alike"))
+            out = decided[-1].select("a")
+            both = marked.where("a_fresh and b_fresh").select("a", "b").join(out, "a", "left_anti").join(out.withColumnRenamed("a", "b"), "b", "left_anti")
+            decided += _settled(written(both, "edges"))
+    same = copies.where("doc_id != leader").select("doc_id", "leader")
+    return same.union(reduce(DataFrame.union, decided).select(F.col("a").alias("doc_id"), F.col("b").alias("leader")))
+
+
+def _pairs(some: DataFrame, index: DataFrame) -> DataFrame:
+    """(a, b, n, m, w) for each shingle of texts a > b, one of them of some (rows of the index), at most one of them heavy."""
+    one = some.select("shingle", F.col("doc_id").alias("x"), "n", "w", F.col("heavy").alias("h"))
+    two = index.select("shingle", F.col("doc_id").alias("y"), F.col("n").alias("m"), F.col("heavy").alias("too"))
+    a, b = F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")
+    size = [F.when(F.col("x") > F.col("y"), F.col(p)).otherwise(F.col(q)).alias(p) for p, q in (("n", "m"), ("m", "n"))]
+    if some is index:
+        # light texts with all others; of two light ones, once
+        return one.join(two.where("not too"), "shingle").where("x != y and (h or x > y)").select(a, b, *size, "w")
+    met = one.join(two, "shingle").where("x != y and not (h and too)").select("shingle", a, b, *size, "w")
+    return met.dropDuplicates(["shingle", "a", "b"]).drop("shingle")
