@@ -370,7 +370,7 @@ def _crowded(index: DataFrame, group: int) -> bool:
 
 
 #: Texts that share a shingle before their own ones are counted (any number gives the same result).
-CROWD = 16
+CROWD = 64
 
 
 def _heavy(index: DataFrame, sets: DataFrame, least: float) -> DataFrame:
