@@ -348,6 +348,16 @@ def _merged(index: DataFrame) -> DataFrame:
     return index.drop("w").join(alike.groupBy("x0", "x1", "texts", "ids").agg(F.min("shingle").alias("shingle"), F.count("*").alias("w")).select("shingle", "w"), "shingle")
 
 
+#: Ids that are broadcast at most, 16 MB; more are joined by a shuffle.
+FEW = 1 << 20
+
+
+def _sets_of(ids: DataFrame, sets: DataFrame) -> DataFrame:
+    """The sets of the ids in the one column of ids. Few ids are broadcast, so that the other sets aren't moved."""
+    ids = written(ids.toDF("doc_id").distinct(), "ids")
+    return sets.join(F.broadcast(ids) if ids.count() <= FEW else ids, "doc_id", "left_semi")
+
+
 def _alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """Of the pairs (a, b) those whose sets of shingles have a Jaccard similarity of at least least."""
 
@@ -358,7 +368,8 @@ def _alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
             if shared >= least * (len(one) + len(two) - shared) - 1e-9:
                 yield a, b
 
-    side = lambda name, own: sets.select(F.col("doc_id").alias(name), F.col("shingles").alias(own))
+    pairs = written(pairs, "pairs")
+    side = lambda name, own: _sets_of(pairs.select(name), sets).select(F.col("doc_id").alias(name), F.col("shingles").alias(own))
     return map_rows(pairs.join(side("a", "one"), "a").join(side("b", "two"), "b").select("a", "b", "one", "two"), "a long, b long", compare)
 
 
