@@ -17,8 +17,12 @@ def corpus_stats(passages: DataFrame) -> DataFrame:
     return passages.agg(F.count("*").alias("n_passages"), F.avg("n_terms").alias("mean_terms"))
 
 
-def term_stats(postings: DataFrame, n_passages: DataFrame) -> DataFrame:
-    """B2: term, df, idf. n_passages: corpus_stats(), whose one row is broadcast."""
+def with_idf(counted: DataFrame, n_passages: DataFrame) -> DataFrame:
+    """term, df, idf from counts of passages by term (term, df)."""
     n, df = F.col("n_passages"), F.col("df")
-    counted = postings.groupBy("term").agg(F.count("*").alias("df"))
     return counted.crossJoin(F.broadcast(n_passages.select("n_passages"))).select("term", "df", F.log(1 + (n - df + 0.5) / (df + 0.5)).alias("idf"))
+
+
+def term_stats(postings: DataFrame, n_passages: DataFrame) -> DataFrame:
+    """B2: term, df, idf. n_passages: corpus_stats(), whose one row is broadcast."""
+    return with_idf(postings.groupBy("term").agg(F.count("*").alias("df")), n_passages)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import params
 from ..functions.text import words
-from ..operators import index, prepare, qa, report, retrieval
+from ..operators import index, prepare, qa, report, retrieval, segments
 from ..sources.tables import fresh_folder, read_sources, table, write_table
 from ..streaming.answers import answer_batch
 
@@ -67,7 +67,13 @@ def build_tables(sources: DataFrame, folder: str) -> dict[str, DataFrame]:
     passages = write_table(prepare.split_passages(prepare.collapse_duplicates(sources)), folder, "passages")
     postings = write_table(retrieval.build_postings(passages), folder, "postings")
     corpus = write_table(retrieval.corpus_stats(passages), folder, "corpus")
-    stats = write_table(index.term_layout(retrieval.term_stats(postings, corpus), index.slot_count(postings.count())), folder, "stats")
+    return with_blocks({"passages": passages, "postings": postings, "corpus": corpus, "stats": retrieval.term_stats(postings, corpus)}, folder)
+
+
+def with_blocks(t: dict[str, DataFrame], folder: str) -> dict[str, DataFrame]:
+    """passages, postings, corpus and stats, as of build_tables() or segments.live_tables(), with what questions are answered from."""
+    passages, postings, corpus = t["passages"], t["postings"], t["corpus"]
+    stats = write_table(index.term_layout(t["stats"], index.slot_count(postings.count())), folder, "stats")
     blocks = index.build_blocks(postings, stats, corpus).repartition("slot", "piece").sortWithinPartitions("slot", "term", "range")
     return {"passages": passages, "postings": postings, "corpus": corpus, "stats": stats, "blocks": write_table(blocks, folder, "blocks", ("slot",))}
 
@@ -151,6 +157,39 @@ def b3(spark, sf_dir):
     return tables(spark, sf_dir)["corpus"].withColumn("mean_terms", F.round("mean_terms", 6))
 
 
+#: The indexes in segments that a session has built.
+_SEGMENTS: dict[tuple[str, str], str] = {}
+
+
+def segment_index(spark: SparkSession, sf_dir: str) -> str:
+    """An index of all sources that came in three batches, built once a session.
+
+    First all sources, each second one with half of its text, and a copy of each third one under an id below all others; then the whole
+    texts; then the copies go, and the first sources stand for their texts again.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _SEGMENTS:
+        folder, sources = fresh_folder(spark, "segments"), read_sources(spark, sf_dir).select("source_id", "text", "lang")
+        halves = sources.withColumn("text", F.when(F.col("source_id") % 2 == 0, F.substring("text", F.lit(1), F.floor(F.length("text") / 2).cast("int"))).otherwise(F.col("text")))
+        copies = sources.where("source_id % 3 = 0").withColumn("source_id", -1 - F.col("source_id"))
+        segments.apply_batch(spark, folder, halves.union(copies))
+        segments.apply_batch(spark, folder, sources.where("source_id % 2 = 0"))
+        segments.apply_batch(spark, folder, sources.where("false"), copies.select("source_id"))
+        _SEGMENTS[key] = folder
+    return _SEGMENTS[key]
+
+
+@query("b4_live_stats", "select term, df, round(idf, 6) as idf from stats")
+def b4(spark, sf_dir):
+    live = segments.live_tables(segments.open_index(spark, segment_index(spark, sf_dir)))
+    return live["stats"].withColumn("idf", F.round("idf", 6))
+
+
+@query("b5_live_postings", "select term, source_id, passage_no, tf, n_terms from post")
+def b5(spark, sf_dir):
+    return segments.live_tables(segments.open_index(spark, segment_index(spark, sf_dir)))["postings"]
+
+
 @query("c1_question_set", "select 'user:' || conv_id || ':' || turn as question_id, text as question from conversations where role = 'user' union all select question_id, question from qst")
 def c1(spark, sf_dir):
     return qa.question_set(table(spark, sf_dir, "conversations"), "user").union(_questions(spark, sf_dir))
