@@ -8,6 +8,7 @@ import struct
 import zlib
 from array import array
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -239,6 +240,21 @@ def test_templates_make_no_pairs_of_their_texts(spark, monkeypatch):
         assert gone == plain_near_copies(texts).keys() and sum(compared) <= 3 * n
 
 
+@pytest.mark.parametrize("few", [0, 3, 100])
+def test_comparisons_by_broadcast_and_by_shuffle(spark, monkeypatch, few):
+    """The same pairs, whether ids are few or not; no pairs, and ids without a set, give none."""
+    monkeypatch.setattr(simhash, "FEW", few)
+    r = random.Random(5)
+    held = {d: np.unique(np.array([r.randrange(30) for _ in range(r.randint(1, 40))], np.uint64)) for d in range(20)}
+    sets = spark.createDataFrame([(d, x.tobytes()) for d, x in held.items()], "doc_id long, shingles binary")
+    pairs = [(a, b) for a in range(22) for b in range(a)]
+    alike = lambda a, b: len(set(held[a]) & set(held[b])) >= 0.6 * len(set(held[a]) | set(held[b]))
+    want = sorted((a, b) for a, b in pairs if a in held and b in held and alike(a, b))
+    frame = spark.createDataFrame(pairs, "a long, b long")
+    assert sorted(map(tuple, simhash._alike(frame, sets, 0.6).collect())) == want and want
+    assert simhash._alike(frame.where("a < 0"), sets, 0.6).isEmpty()
+
+
 @pytest.mark.parametrize("seen", [1 << 20, 1 << 5])
 def test_near_copies_of_a_table(spark, monkeypatch, seen):
     """Every pair at 0.8 or more has lost a member, and the rest is as the plain rule has it, with crowded slots, too."""
