@@ -3,7 +3,7 @@
 A paragraph is a line; a section is a run of paragraphs that ends at a blank line, or where a paragraph's own digest says so. A
 paragraph's leaves end where its words say so. All borders follow from the content near them, so an edit moves none further on.
 Leaves hash their text, paragraphs their leaves, sections their paragraphs, the root its sections. Equal roots mean equal texts;
-where roots differ, branches whose digests the other tree lacks locate the edit.
+where roots differ, only branches whose digests the other tree lacks are entered, down to the leaves that were edited.
 """
 
 from __future__ import annotations
@@ -14,13 +14,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import running, written
 
 #: Code points of a leaf at most, and of one that ends at a border (a vowel or a stop before a space) at least.
 LEAF, LEAST = 64, 17
 LEAVES = rf"[^\n]{{{LEAST - 2},{LEAF - 2}}}?[aeiou.,;:!?]\x20|[^\n]{{1,{LEAF}}}\n?|\n"
-#: Hex digits kept of a leaf's digest in a fingerprint, and of the others but the root's.
-DIGITS, ABOVE = 6, 8
+#: Signs of base 64 kept of a leaf's digest in a fingerprint (48 bits), and hex digits of the others but the root's.
+SIGNS, ABOVE = 8, 16
 #: First hex digits of a paragraph's digest with which it ends a section, and the digest of a blank line's paragraph.
 ENDING, BLANK = ("0", "1"), hashlib.md5(hashlib.md5(b"\n").hexdigest().encode()).hexdigest()
 
@@ -56,7 +56,7 @@ def leaves(text: Column) -> Column:
 
 def fingerprint(text: Column) -> Column:
     """root|sections|paragraphs|leaves: the root's 128 bits; the first digits of the section and paragraph digests, each with the
-    number of its parts; the first digits of the leaves' digests without anything between. An empty text has a root only; null
+    number of its parts; the first 48 bits of each leaf's digest in base 64 without anything between. An empty text has a root only; null
     stays null."""
     named = lambda digests, ends: F.array_join(F.zip_with(digests, _lengths(ends), lambda d, n: F.concat_ws(":", F.substring(d, 1, ABOVE), n)), ",")
 
@@ -74,7 +74,8 @@ def fingerprint(text: Column) -> Column:
         return _let(F.struct(t["leaves"], t["ends"], t["paragraphs"], t["section_ends"], _above(t["paragraphs"], t["section_ends"]).alias("sections")), last)
 
     def last(t: Column) -> Column:
-        short = F.array_join(F.transform(t["leaves"], lambda d: F.substring(d, 1, DIGITS)), "")
+        # some sessions break base 64 into lines
+        short = F.translate(F.base64(F.unhex(F.array_join(F.transform(t["leaves"], lambda d: F.substring(d, 1, SIGNS * 3 // 2)), ""))), "\r\n", "")
         return F.concat_ws("|", F.md5(F.array_join(t["sections"], "")), named(t["sections"], t["section_ends"]), named(t["paragraphs"], t["ends"]), short)
 
     return F.when(text.isNotNull(), _let(leaves(text), first))
@@ -90,54 +91,89 @@ def _level(print_: Column, level: int) -> Column:
 
 
 def _leaves_of(print_: Column) -> Column:
-    return F.regexp_extract_all(F.element_at(F.split(print_, "[|]"), 4), F.lit(f".{{{DIGITS}}}"), F.lit(0))
+    return F.regexp_extract_all(F.element_at(F.split(print_, "[|]"), 4), F.lit(f".{{{SIGNS}}}"), F.lit(0))
+
+
+def _numbered(items: Column) -> Column:
+    """The items in order; an item that repeats carries how many equal ones come before it."""
+
+    def numbers(s: Column) -> Column:
+        starts = F.filter(F.transform(s, lambda x, i: F.when((i == 0) | (F.get(s, i - 1)["v"] != x["v"]), i)), lambda i: i.isNotNull())
+        return _let(starts, lambda at: F.transform(F.sort_array(F.flatten(F.transform(at, lambda b, k: run(s, at, b, k)))), lambda x: x["v"]))
+
+    def run(s: Column, at: Column, b: Column, k: Column) -> Column:
+        equal = F.slice(s, b + 1, F.coalesce(F.get(at, k + 1), F.size(s)) - b)
+        return F.transform(equal, lambda x, j: F.struct(x["i"].alias("i"), F.when(j == 0, x["v"]).otherwise(F.concat_ws("#", x["v"], j)).alias("v")))
+
+    ordered = F.sort_array(F.transform(items, lambda v, i: F.struct(v.alias("v"), i.alias("i"))))
+    return F.when(F.size(F.array_distinct(items)) == F.size(items), items).otherwise(_let(ordered, numbers))
+
+
+def _lacking(x: Column, y: Column) -> Column:
+    """Places (from 0) in x, ascending, of the items that y lacks; of equal items y's number is spared, the first ones."""
+    side = lambda items, own: F.transform(_numbered(items), lambda v, i: F.struct(v.alias("v"), F.lit(own).alias("own"), i.alias("i")))
+    only = lambda s: F.filter(s, lambda e, j: (e["own"] == 1) & ((j == 0) | (F.get(s, j - 1)["v"] != e["v"])))
+    return F.when(F.size(x) == 0, F.array().cast("array<int>")).otherwise(_let(F.sort_array(F.concat(side(x, 1), side(y, 0))), lambda s: F.sort_array(F.transform(only(s), lambda e: e["i"]))))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """0 to 1: equal leaves over the leaves of the longer text, both without repeats; 1 for equal roots; null if either is null."""
+    """0 to 1: equal leaves, repeats included, over the leaves of the longer text; 1 for equal roots; null if either is null."""
 
     def share(x: Column, y: Column) -> Column:
-        most = F.greatest(F.size(F.array_distinct(x)), F.size(F.array_distinct(y)))
-        return F.when(most == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(x, y)) / most)
+        most = F.greatest(F.size(x), F.size(y))
+        return F.when(most == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(_numbered(x), _numbered(y))) / most)
 
     other = _let(F.struct(_leaves_of(a).alias("x"), _leaves_of(b).alias("y")), lambda t: share(t["x"], t["y"]))
     return F.when(a.isNull() | b.isNull(), F.lit(None).cast("double")).when(root(a) == root(b), F.lit(1.0)).otherwise(other)
 
 
+EDITS = "array<struct<section:int,paragraph:int,leaf:int>>"
+
+
 def edits(a: Column, b: Column) -> Column:
     """array<struct<section, paragraph, leaf>> (places in a, from 0) of the leaves of a that b lacks, in order.
 
-    Only branches whose digests b lacks are entered: sections first, then their paragraphs, then leaves. A branch that only moved
-    is no edit. Equal roots give an empty array, null fingerprints null. Time grows with a's leaves times those that b lacks.
+    Sections that both trees have are left out, then paragraphs that both have among the parts of the other sections, then
+    leaves among the parts of the other paragraphs. Of parts that repeat, as many are left out as b has, the first ones. A branch that
+    only moved is no edit. Equal roots give an empty array, null fingerprints null. Time grows with the sizes of the two trees,
+    but for a sort at each level.
     """
-    none = F.array().cast("array<struct<section:int,paragraph:int,leaf:int>>")
     digest = lambda x: F.substring(x, 1, ABOVE)
-    parts = lambda x: F.substring_index(x, ":", -1).cast("int")
-    before = lambda counts, i: F.aggregate(F.slice(counts, 1, i), F.lit(0), lambda s, n: s + n)
+    zero, plus = F.lit(0), lambda s, n: s + n
 
-    def changed(t: Column) -> Column:
-        lacks = lambda have, others: F.array_except(F.transform(have, digest), F.transform(others, digest))
-        return _let(F.struct(t["sa"], t["pa"], t["la"], lacks(t["sa"], t["sb"]).alias("s"), lacks(t["pa"], t["pb"]).alias("p"), F.array_except(t["la"], t["lb"]).alias("l")), located)
+    def branches(level: Column) -> Column:
+        """i, digest, place of the first part and number of parts of each branch."""
+        counts = F.transform(level, lambda x: F.substring_index(x, ":", -1).cast("int"))
+        branch = lambda x, i, at: F.struct(i.alias("i"), digest(x).alias("d"), F.get(at, i).alias("at"), F.substring_index(x, ":", -1).cast("int").alias("n"))
+        return F.when(F.size(level) > 0, _let(running(counts, zero, plus), lambda at: F.transform(level, lambda x, i: branch(x, i, at)))).otherwise(F.array().cast("array<struct<i:int,d:string,at:int,n:int>>"))
 
-    def located(t: Column) -> Column:
-        sections = F.filter(F.transform(t["sa"], lambda x, i: F.struct(i.alias("i"), before(F.transform(t["sa"], parts), i).alias("at"), parts(x).alias("n"), digest(x).alias("d"))), lambda x: F.array_contains(t["s"], x["d"]))
-        paragraphs = F.transform(t["pa"], lambda x, i: F.struct(i.alias("i"), before(F.transform(t["pa"], parts), i).alias("at"), parts(x).alias("n"), digest(x).alias("d")))
-        inside = lambda s: F.filter(F.slice(paragraphs, s["at"] + 1, s["n"]), lambda x: F.array_contains(t["p"], x["d"]))
-        places = lambda p: F.filter(F.sequence(p["at"], p["at"] + p["n"] - 1), lambda j: F.array_contains(t["l"], F.get(t["la"], j)))
-        each = lambda s: F.flatten(F.transform(inside(s), lambda p: F.transform(places(p), lambda j: F.struct(s["i"].alias("section"), p["i"].alias("paragraph"), j.alias("leaf")))))
-        return F.flatten(F.transform(sections, each))
+    def differing(own: Column, other: Column) -> Column:
+        of = lambda t: F.transform(t, lambda x: x["d"])
+        return F.transform(_lacking(of(own), of(other)), lambda i: F.get(own, i))
 
-    trees = F.struct(_level(a, 2).alias("sa"), _level(b, 2).alias("sb"), _level(a, 3).alias("pa"), _level(b, 3).alias("pb"), _leaves_of(a).alias("la"), _leaves_of(b).alias("lb"))
-    return F.when(a.isNull() | b.isNull(), F.lit(None).cast("array<struct<section:int,paragraph:int,leaf:int>>")).when(root(a) == root(b), none).otherwise(_let(trees, changed))
+    def parts(of: Column, level: Column) -> Column:
+        """The branches of the next level inside each branch, with its place."""
+        return F.flatten(F.transform(of, lambda s: F.transform(F.slice(level, s["at"] + 1, s["n"]), lambda p: F.struct(s["i"].alias("above"), p["i"].alias("i"), p["d"].alias("d"), p["at"].alias("at"), p["n"].alias("n")))))
 
+    def leaves_in(of: Column, level: Column) -> Column:
+        return F.flatten(F.transform(of, lambda p: F.transform(F.slice(level, p["at"] + 1, p["n"]), lambda d, j: F.struct(p["above"].alias("section"), p["i"].alias("paragraph"), (p["at"] + j).alias("leaf"), d.alias("d")))))
 
-def first_edit(a: Column, b: Column) -> Column:
-    """The place (from 0) of the first leaf of a that b lacks, and how many different such leaves a has; null and 0 where there is none."""
+    def sections(t: Column) -> Column:
+        return _let(F.struct(*rest(t), differing(t["sa"], t["sb"]).alias("sa"), differing(t["sb"], t["sa"]).alias("sb")), paragraphs)
 
-    def lacking(t: Column) -> Column:
-        return _let(F.struct(t["x"], F.array_except(t["x"], t["y"]).alias("gone")), lambda s: F.struct(F.when(F.size(s["gone"]) > 0, F.array_position(s["x"], F.get(s["gone"], 0)) - 1).alias("leaf"), F.size(s["gone"]).alias("n")))
+    def rest(t: Column) -> list[Column]:
+        return [t[n].alias(n) for n in ("pa", "pb", "la", "lb")]
+
+    def paragraphs(t: Column) -> Column:
+        inside = F.struct(parts(t["sa"], t["pa"]).alias("pa"), parts(t["sb"], t["pb"]).alias("pb"), t["la"], t["lb"])
+        return _let(inside, lambda p: _let(F.struct(differing(p["pa"], p["pb"]).alias("pa"), differing(p["pb"], p["pa"]).alias("pb"), p["la"], p["lb"]), last))
+
+    def last(t: Column) -> Column:
+        inside = F.struct(leaves_in(t["pa"], t["la"]).alias("x"), leaves_in(t["pb"], t["lb"]).alias("y"))
+        return F.transform(_let(inside, lambda p: differing(p["x"], p["y"])), lambda x: F.struct(x["section"], x["paragraph"], x["leaf"]))
 
-    return _let(F.struct(_leaves_of(a).alias("x"), _leaves_of(b).alias("y")), lacking)
+    trees = F.struct(*(branches(_level(x, n)).alias(name) for x, n, name in ((a, 2, "sa"), (b, 2, "sb"), (a, 3, "pa"), (b, 3, "pb"))), _leaves_of(a).alias("la"), _leaves_of(b).alias("lb"))
+    return F.when(a.isNull() | b.isNull(), F.lit(None).cast(EDITS)).when(root(a) == root(b), F.array().cast(EDITS)).otherwise(_let(trees, sections).cast(EDITS))
 
 
 def with_before(keys: DataFrame) -> DataFrame:

@@ -47,7 +47,7 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = merkle.compare_with_next(_table(spark, sf_dir, "documents"))
     own, edited = F.col("fingerprint"), F.col("edited_fingerprint")
-    both = both.withColumn("edit", merkle.first_edit(own, edited))
+    both = both.withColumn("edit", merkle.edits(own, edited))
     return both.select(
         "doc_id",
         "n_chars",
@@ -56,8 +56,8 @@ def op7_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
         "edited_fingerprint",
         merkle.likeness(own, edited).alias("near_edited"),
         merkle.likeness(own, F.col("next_fingerprint")).alias("near_next"),
-        F.col("edit.n").alias("n_edited"),
-        F.col("edit.leaf").alias("first_edited"),
+        F.size("edit").alias("n_edited"),
+        F.get(F.col("edit"), 0)["leaf"].alias("first_edited"),
     )
 
 

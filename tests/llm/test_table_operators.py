@@ -1,7 +1,9 @@
 """Mixing, quality, Merkle fingerprints, secret scans and LM scoring against brute force."""
 
+import base64
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -89,21 +91,26 @@ def plain_tree(text):
             line = line[n:]
         leaves += own
         digest = md5("".join(own))
-        paragraphs.append(f"{digest[:8]}:{len(own)}")
+        paragraphs.append(f"{digest[:16]}:{len(own)}")
         runs[-1].append(digest)
         if digest[0] in "01" or own == [md5("\n")]:
             runs.append([])
     runs = [r for r in runs if r]
     sections = [md5("".join(r)) for r in runs]
     assert at == 0
-    return "|".join([md5("".join(sections)), ",".join(f"{s[:8]}:{len(r)}" for s, r in zip(sections, runs, strict=True)), ",".join(paragraphs), "".join(x[: merkle.DIGITS] for x in leaves)])
+    return "|".join([md5("".join(sections)), ",".join(f"{s[:16]}:{len(r)}" for s, r in zip(sections, runs, strict=True)), ",".join(paragraphs), base64.b64encode(bytes.fromhex("".join(x[:12] for x in leaves))).decode()])
+
+
+def plain_leaves(print_):
+    found = print_.split("|")[3]
+    return Counter(found[i : i + 8] for i in range(0, len(found), 8))
 
 
 def plain_likeness(a, b):
     if a.split("|")[0] == b.split("|")[0]:
         return 1.0
-    x, y = ({p.split("|")[3][i : i + merkle.DIGITS] for i in range(0, len(p.split("|")[3]), merkle.DIGITS)} for p in (a, b))
-    return len(x & y) / max(len(x), len(y))
+    x, y = plain_leaves(a), plain_leaves(b)
+    return (x & y).total() / max(x.total(), y.total())
 
 
 def check_merkle(got, texts):
@@ -117,6 +124,9 @@ def check_merkle(got, texts):
         assert (r.fingerprint, r.edited_fingerprint) == (plain_tree(text), plain_tree(edited))
         assert math.isclose(r.near_edited, plain_likeness(plain_tree(text), plain_tree(edited)))
         assert math.isclose(r.near_next, plain_likeness(plain_tree(text), plain_tree(after)))
+        if "n_edited" in r:
+            gone = plain_leaves(plain_tree(text)) - plain_leaves(plain_tree(edited))
+            assert r.n_edited == gone.total() and (r.first_edited is None) == (not gone)
 
 
 def digest_columns(both):
@@ -137,8 +147,8 @@ def test_merkle_table(spark):
 def found_edits(spark, pairs):
     frame = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i long, a string, b string")
     a, b = merkle.fingerprint(F.col("a")), merkle.fingerprint(F.col("b"))
-    rows = frame.select("i", a.alias("a"), b.alias("b")).select("i", merkle.edits(F.col("a"), F.col("b")).alias("e"), merkle.likeness(F.col("a"), F.col("b")).alias("near"), merkle.first_edit(F.col("a"), F.col("b")).alias("first"), "a")
-    return [([tuple(x) for x in r.e], r.near, tuple(r.first), r.a) for r in rows.orderBy("i").collect()]
+    rows = frame.select("i", a.alias("a"), b.alias("b")).select("i", merkle.edits(F.col("a"), F.col("b")).alias("e"), merkle.likeness(F.col("a"), F.col("b")).alias("near"), "a", "b")
+    return [([tuple(x) for x in r.e], r.near, r.a, r.b) for r in rows.orderBy("i").collect()]
 
 
 def test_merkle_edits(spark):
@@ -153,14 +163,35 @@ def test_merkle_edits(spark):
     assert got[0][0] == [] and got[0][1] == 1.0
     # a changed or an inserted line is the one leaf that differs, wherever the lines after it lie
     for i in (1, 2):
-        assert [x[1:] for x in got[i][0]] == [(20, 20)] and got[i][2] == (20, 1)
+        assert [x[1:] for x in got[i][0]] == [(20, 20)]
     assert got[3][0] == []
     # one sign or one word in a long line touches one place
     for i in (4, 5):
         places = [leaf for *_, leaf in got[i][0]]
         assert got[i][1] > 0.9 and 0 < len(places) <= 3 and max(places) - min(places) < 3
     assert got[4][0][0] == (0, 0, 0)
-    assert got[6][0] == [] and got[6][1] == 0.0 and len(got[7][0]) == len(got[7][3].split("|")[3]) // merkle.DIGITS and got[8][1] == 1.0
+    assert got[6][0] == [] and got[6][1] == 0.0 and len(got[7][0]) == plain_leaves(got[7][2]).total() and got[8][1] == 1.0
+
+
+def test_merkle_edits_of_repeats_and_moves(spark):
+    draw = random.Random(3)
+    lines = [f"line {i} of some words that are here\n" for i in range(12)]
+    pairs = [("same line\n" * 50, "same line\n" * 10), ("same line\n" * 10, "same line\n" * 50)]
+    pairs += [("".join(draw.choices(lines, k=draw.randint(0, 80))), "".join(draw.choices(lines, k=draw.randint(0, 80)))) for _ in range(40)]
+    unlike = [" ".join(f"{draw.getrandbits(40):x}" for _ in range(100_000)) for _ in range(2)]
+    moved = ["".join(f"{i} {j} a line of it\n" for j in range(30)) for i in range(6)]
+    pairs += [tuple(unlike), ("".join(moved), "".join(moved[3:] + moved[:3]))]
+    got = found_edits(spark, pairs)
+    for (e, near, a, b), texts in zip(got, pairs, strict=True):
+        x, y = plain_leaves(a), plain_leaves(b)
+        assert [a, b] == [plain_tree(t) for t in texts] and math.isclose(near, plain_likeness(a, b))
+        leaf = [a.split("|")[3][8 * i : 8 * i + 8] for *_, i in e]
+        # with repeats, what the descent reaches is just what the flat lists of leaves differ by
+        assert Counter(leaf) == x - y and e == sorted(set(e))
+        inner = [[int(p.split(":")[1]) for p in a.split("|")[n].split(",") if p] for n in (1, 2)]
+        above = [[k for k, n in enumerate(counts) for _ in range(n)] for counts in inner]
+        assert all(above[1][i] == p and above[0][p] == s for s, p, i in e)
+    assert got[0][1] == 0.2 and len(got[0][0]) == 40 and got[1][0] == [] and got[-2][1] == 0.0 and got[-1][0] == []
 
 
 def test_merkle_of_nulls(spark):
