@@ -48,6 +48,29 @@ def block_hash(*parts: Column | str) -> Column:
     return F.md5(F.concat_ws("|", *parts))
 
 
+def running_sums(rows: DataFrame, groups: list[str], order: list[str], value: str, name: str) -> DataFrame:
+    """rows with two more columns: rank, the row's place in its group from 1, and before, the sum of value over the rows before it.
+
+    Rows are range-partitioned by group and order and written, so a group of any size lies in as many partitions as its rows
+    need; within a partition a window adds up, and what a partition's first group has in the partitions before comes from one
+    row for each partition. Rows must differ in order, unless they are equal in all columns that matter. Values are not null.
+    """
+    dealt = written(rows.repartitionByRange(*groups, *order).withColumn("pid", F.spark_partition_id()), name)
+    group = F.struct(*groups)
+    parts = dealt.groupBy("pid", *groups).agg(F.sum(value).alias("total"), F.count("*").alias("n"))
+    ends = parts.groupBy("pid").agg(F.min(group).alias("first"), F.max(F.struct(group.alias("g"), "total", "n")).alias("last"))
+    upto = Window.partitionBy("last.g").orderBy("pid").rowsBetween(Window.unboundedPreceding, 0)
+    ends = ends.select("pid", "first", F.struct(F.col("last.g").alias("g"), F.sum("last.total").over(upto).alias("total"), F.sum("last.n").over(upto).alias("n")).alias("upto"))
+    # one row for each partition
+    ends = ends.withColumn("past", F.lag("upto").over(Window.orderBy("pid"))).where(F.col("past.g") == F.col("first")).select("pid", "first", "past")
+    inside = Window.partitionBy("pid", *groups).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    own = dealt.withColumn("own_rank", F.count("*").over(inside)).withColumn("own", F.sum(value).over(inside) - F.col(value))
+    goes_on = F.when(group == F.col("first"), F.col("past"))
+    met = own.join(F.broadcast(ends), "pid", "left").withColumn("past", goes_on)
+    rank, before = F.col("own_rank") + F.coalesce("past.n", F.lit(0)), F.col("own") + F.coalesce("past.total", F.lit(0))
+    return met.select(*rows.columns, rank.alias("rank"), before.alias("before"))
+
+
 def mix(tokens: DataFrame, budget: float | None = None, entropy_share: float | None = None, most_repeats: float | None = 2.0, block_tokens: int = BLOCK_TOKENS, seed: int = 1) -> DataFrame:
     """One row for each document and epoch in which it is used.
 
@@ -57,9 +80,12 @@ def mix(tokens: DataFrame, budget: float | None = None, entropy_share: float | N
     A source without tokens is used once. Rows repeated in tokens count each; an empty table gives no rows. Null ids stay null; all of a
     source's share one block. Blocks and documents whose hashes tie go by their numbers, ids and tokens.
 
-    A hot source is dealt out by its blocks, whose number grows with it; only sums of blocks come together by source.
+    Sums within blocks and over a source's blocks go by ranges of rows (running_sums), so neither a hot source, nor one without
+    tokens, nor the null ids of one come together in one task.
     """
     tokens = written(tokens.select("doc_id", "source", "n_tokens"), "tokens")
+    # places in the files just written: equal rows go to different ranges, the same ones if a task runs again
+    tokens = tokens.withColumn("tie", F.xxhash64("_metadata.file_path", "_metadata.row_index"))
     per_source = tokens.groupBy("source").agg(F.sum("n_tokens").alias("tokens"))
     per_all = per_source.agg(F.sum("tokens").alias("total"), F.count_if(F.col("tokens") > 0).alias("sources"))
     totals = written(per_source.crossJoin(F.broadcast(per_all)), "totals")  # per_all is one row
@@ -75,13 +101,14 @@ def mix(tokens: DataFrame, budget: float | None = None, entropy_share: float | N
     )
     key = block_hash(F.lit(seed), F.col("doc_id"))
     number = F.conv(F.substring("key", 1, 8), 16, 10).cast("long")
-    placed = tokens.withColumn("key", key).join(plan.select("source", "blocks"), "source").select("doc_id", "source", "n_tokens", "key", F.pmod(number, F.col("blocks")).alias("block"))
-    in_block = Window.partitionBy("source", "block").orderBy("key", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, 0)
-    placed = placed.withColumn("upto", F.sum("n_tokens").over(in_block))
+    placed = tokens.withColumn("key", key).join(plan.select("source", "blocks"), "source").select("doc_id", "source", "n_tokens", "key", "tie", F.pmod(number, F.col("blocks")).alias("block"))
+    placed = running_sums(placed, ["source", "block"], ["key", "doc_id", "n_tokens", "tie"], "n_tokens", "placed")
+    placed = placed.select("doc_id", "source", "n_tokens", "block", (F.col("before") + F.col("n_tokens")).alias("upto"))
     sums = placed.groupBy("source", "block").agg(F.sum("n_tokens").alias("block_tokens"))
-    each = sums.join(plan, "source").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("whole"))).alias("epoch"))
-    order = Window.partitionBy("source", "epoch").orderBy(block_hash(F.lit(seed), "source", "epoch", "block"), "block")
-    ranked = each.select("source", "block", "epoch", "whole", "rest", F.row_number().over(order).cast("long").alias("block_rank"), (F.sum("block_tokens").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("block_tokens")).alias("before"))
+    each = sums.join(plan, "source").select("source", "block", "block_tokens", "whole", "rest", F.explode(F.sequence(F.lit(0).cast("long"), F.col("whole"))).alias("epoch"))
+    each = each.withColumn("h", block_hash(F.lit(seed), "source", "epoch", "block"))
+    ranked = running_sums(each, ["source", "epoch"], ["h", "block"], "block_tokens", "ranked")
+    ranked = ranked.select("source", "block", "epoch", "whole", "rest", F.col("rank").alias("block_rank"), "before")
     used = placed.join(ranked, ["source", "block"]).where((F.col("epoch") < F.col("whole")) | ((F.col("rest") > 0) & (F.col("before") + F.col("upto") <= F.col("rest"))))
     return used.select("doc_id", "source", "n_tokens", "epoch", "block", "block_rank")
 

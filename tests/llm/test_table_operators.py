@@ -210,6 +210,35 @@ def test_mixing_equals_sql(spark):
     assert sorted(map(tuple, got.select(names).collect())) == sorted(want) and want
 
 
+@pytest.mark.parametrize("parts", [1, 7, 40])
+def test_running_sums(spark, parts):
+    draw = random.Random(parts)
+    rows = [(draw.choice("aaaab"), draw.choice([0, 0, 0, 1, 2]), None if draw.random() < 0.3 else draw.randint(0, 9), draw.randint(0, 5), i) for i in range(400)]
+    frame = spark.createDataFrame(rows, "s string, e long, k long, v long, tie long")
+    held = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = sorted(map(tuple, mixing.running_sums(frame, ["s", "e"], ["k", "tie"], "v", "sums").collect()), key=lambda r: r[4])
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", held)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want, count, total = {}, Counter(), Counter()
+    for s, e, k, v, tie in sorted(rows, key=lambda r: (r[0], r[1], r[2] is not None, r[2] or 0, r[4])):
+        count[s, e] += 1
+        want[tie] = (s, e, k, v, tie, count[s, e], total[s, e])
+        total[s, e] += v
+    assert got == [want[i] for i in range(400)]
+
+
+def test_mixing_of_null_ids_and_empty_sources(spark):
+    rows = [(None, "a", 3)] * 40 + [(i, "a", 5) for i in range(20)] + [(i, "none", 0) for i in range(50)] + [(None, "none", 0)] * 5
+    tokens = spark.createDataFrame(rows, "doc_id long, source string, n_tokens long")
+    got = mixing.mix(tokens, most_repeats=None, entropy_share=0.0, block_tokens=50).collect()
+    assert Counter((r.doc_id, r.source, r.n_tokens) for r in got) == Counter(rows)
+    assert len({r.block for r in got if r.doc_id is None and r.source == "a"}) == 1
+
+
 @pytest.mark.parametrize("target", [{"most_repeats": 1.5}, {"most_repeats": 4.0}, {"entropy_share": 0.98}])
 def test_mixing_budgets(spark, target):
     tokens = mixing.token_table(spark.read.parquet(f"{SMALL}/documents.parquet"))
