@@ -4,7 +4,8 @@ Fingerprints within a radius r agree on at least one of r + 1 blocks of their bi
 buckets, one for each block's value. A bucket's fingerprints form shard trees of bounded size: BK-trees whose children are
 keyed by the Hamming distance to their parent, and a search follows only the edges within the radius. Each tree is built once, by
 the task that holds its shard, and its members are linked there. Where a bucket has several shards, their trees are broadcast as
-flat arrays to the other shards' fingerprints, as long as all of them together are small; else each travels by a shuffle to them.
+flat arrays to the other shards' fingerprints, which search the arrays as they are, as long as all of them together are small; else
+each travels by a shuffle to them.
 
 Links are reported as a spanning forest of each bucket, never as all pairs within a group.
 """
@@ -28,6 +29,8 @@ from .common import from_planes, map_rows, planes, release, written
 TREE_SIZE = 20_000
 #: Bytes of trees that are broadcast at most.
 SENT = 32_000_000
+#: Fingerprints that visit a flat tree at once, and those taken to be sorted by bucket.
+ASKED, HELD = 512, 16_384
 #: Shingles whose bits are counted at once.
 BLOCK = 65_536
 _STEP = np.dtype([("value", "<u8"), ("above", "<u4"), ("edge", "u1")])
@@ -69,39 +72,17 @@ class BKTree:
 
     def __init__(self) -> None:
         self.root: tuple[int, dict] | None = None
-        self.steps: list[tuple[int, int, int]] = []
-        self.places: dict[int, int] = {}
 
     def insert(self, value: int) -> None:
-        above = edge = 0
         if self.root is None:
             self.root = (value, {})
-        else:
-            node = self.root
-            while edge := (node[0] ^ value).bit_count():
-                if (child := node[1].get(edge)) is None:
-                    node[1][edge] = (value, {})
-                    above = self.places[node[0]]
-                    break
-                node = child
-            else:
+            return
+        node = self.root
+        while edge := (node[0] ^ value).bit_count():
+            if (child := node[1].get(edge)) is None:
+                node[1][edge] = (value, {})
                 return
-        self.places[value] = len(self.steps)
-        self.steps.append((value, above, edge))
-
-    def packed(self) -> bytes:
-        """The tree as a flat array of values, places of their parents and edges, in order of insertion."""
-        return np.array(self.steps, _STEP).tobytes()
-
-    @classmethod
-    def unpacked(cls, data: bytes) -> BKTree:
-        tree, nodes = cls(), []
-        for value, above, edge in np.frombuffer(data, _STEP).tolist():
-            nodes.append((value, {}))
-            if edge:
-                nodes[above][1][edge] = nodes[-1]
-        tree.root = nodes[0] if nodes else None
-        return tree
+            node = child
 
     def within(self, value: int, radius: int) -> Iterator[int]:
         """The tree's values at most radius away; a subtree is entered only if its edge can hold one."""
@@ -115,6 +96,39 @@ class BKTree:
                 if (child := children.get(edge)) is not None:
                     todo.append(child)
 
+    def packed(self) -> bytes:
+        """The tree as a flat array of values, places of their parents and edges: level by level, children in order of their edges, so
+        that the array is sorted by parent and edge."""
+        steps, nodes = [(self.root[0], 0, 0)], [self.root]
+        for place, (_, children) in enumerate(nodes):
+            for edge in sorted(children):
+                steps.append((children[edge][0], place, edge))
+                nodes.append(children[edge])
+        return np.array(steps, _STEP).tobytes()
+
+
+class FlatTree:
+    """A packed BKTree, searched where it lies: 16 bytes a node beside the packed 13, no objects."""
+
+    def __init__(self, data: bytes) -> None:
+        steps = np.frombuffer(data, _STEP)
+        self.values = np.ascontiguousarray(steps["value"])
+        self.keys = steps["above"].astype(np.int64) * 128 + steps["edge"]
+
+    def within(self, asked: np.ndarray, radius: int) -> Iterator[tuple[int, int]]:
+        """(asked value, tree's value) of all pairs at most radius apart, for unsigned 64-bit values, ASKED of them at a time, a
+        level of the tree after the other. Only edges within the radius are followed."""
+        for at in range(0, len(asked), ASKED):
+            value = asked[at : at + ASKED]
+            node = np.zeros(len(value), np.int64)
+            while len(node):
+                distance = np.bitwise_count(value ^ self.values[node]).astype(np.int64)
+                near = distance <= radius
+                yield from zip(value[near].tolist(), self.values[node[near]].tolist(), strict=True)
+                first = np.searchsorted(self.keys, node * 128 + np.maximum(distance - radius, 1))
+                n = np.searchsorted(self.keys, node * 128 + distance + radius, "right") - first
+                value, node = np.repeat(value, n), np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+
 
 class Forest:
     """Union-find over the linked values only; edges() join just what the links join."""
@@ -183,9 +197,8 @@ def links(nodes: DataFrame, radius: int = 2, tree_size: int = TREE_SIZE, sent: i
     # between shards: a fingerprint visits the trees of its bucket's shards before its own
     asking = kept.where("shard > 0").select("bucket", F.col("shard").alias("chunk"), "fp")
 
-    def visit(tree: BKTree, fp: int, linked: Forest) -> None:
-        value = fp & MASK
-        for other in tree.within(value, radius):
+    def visit(data: bytes, fps: list[int], linked: Forest) -> None:
+        for value, other in FlatTree(data).within(np.array(fps, np.int64).view(np.uint64), radius):
             linked.link(value, other)
 
     if size <= sent:
@@ -194,12 +207,13 @@ def links(nodes: DataFrame, radius: int = 2, tree_size: int = TREE_SIZE, sent: i
         def search(rows: Iterator[tuple]) -> Iterator[tuple]:
             near: dict[int, list] = {}
             for bucket, shard, tree in held.value:
-                near.setdefault(bucket, []).append((shard, BKTree.unpacked(tree)))
+                near.setdefault(bucket, []).append((shard, tree))
             linked = Forest()
-            for bucket, chunk, fp in rows:
-                for shard, tree in near.get(bucket, ()):
-                    if shard < chunk:
-                        visit(tree, fp, linked)
+            while part := sorted(islice(rows, HELD)):
+                for bucket, group in groupby(part, itemgetter(0)):
+                    own = list(group)
+                    for shard, tree in near.get(bucket, ()):
+                        visit(tree, [fp for _, chunk, fp in own if shard < chunk], linked)
             yield from ((_signed(a), _signed(b)) for a, b in linked.edges())
 
         return edges.union(map_rows(asking, "a long, b long", search))
@@ -211,9 +225,9 @@ def links(nodes: DataFrame, radius: int = 2, tree_size: int = TREE_SIZE, sent: i
 
     def search_one(rows: Iterator[tuple]) -> Iterator[tuple]:
         for _, group in groupby(rows, itemgetter(0, 1, 2)):
-            tree, linked = BKTree.unpacked(next(group)[3]), Forest()
-            for *_, fp in group:
-                visit(tree, fp, linked)
+            tree, linked = next(group)[3], Forest()
+            while fps := [fp for *_, fp in islice(group, HELD)]:
+                visit(tree, fps, linked)
             yield from ((_signed(a), _signed(b)) for a, b in linked.edges())
 
     return edges.union(map_rows(met, "a long, b long", search_one))

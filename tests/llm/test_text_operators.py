@@ -269,6 +269,22 @@ def sets_of_nothing():
     return set(simhash.shingle_hashes(b"", 5).tolist())
 
 
+@pytest.mark.parametrize("radius", [0, 2, 3, 20])
+def test_flat_tree(radius):
+    r = random.Random(radius)
+    base = [r.getrandbits(64) for _ in range(30)]
+    values = sorted({v ^ sum(1 << r.randrange(64) for _ in range(r.randint(0, 5))) & (1 << 64) - 1 for v in base * 40})
+    asked = r.sample(values, 600) + [r.getrandbits(64) for _ in range(100)]
+    tree = simhash.BKTree()
+    for v in values + values[:10]:
+        tree.insert(v)
+    flat = simhash.FlatTree(tree.packed())
+    got = list(flat.within(np.array(asked, np.uint64), radius))
+    want = [(a, v) for a in asked for v in values if (a ^ v).bit_count() <= radius]
+    assert sorted(got) == sorted(want)
+    assert sorted((a, v) for a in asked for v in tree.within(a, radius)) == sorted(want)
+
+
 def test_simhash_chains(spark):
     r = random.Random(4)
     values = [r.getrandbits(64) for _ in range(40)]
