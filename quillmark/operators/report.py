@@ -17,10 +17,12 @@ def source_report(sources: DataFrame, passages: DataFrame) -> DataFrame:
     return each.rollup("origin", "lang").agg(F.grouping_id().cast("int").alias("level"), F.count("*").alias("documents"), F.countDistinct("digest").alias("texts"), F.sum("chars").alias("chars"), F.sum("n").alias("passages"))
 
 
-def key_terms(postings: DataFrame, stats: DataFrame, sources: DataFrame, n: int = params.KEY_TERMS) -> DataFrame:
-    """Origin, term, weight, rank: the terms of the largest tf-idf of each origin."""
-    by_source = postings.groupBy("term", "source_id").agg(F.sum("tf").alias("tf"))
-    by_origin = by_source.join(sources.select("source_id", "origin"), "source_id").groupBy("origin", "term").agg(F.sum("tf").alias("tf"))
+def key_terms(terms: DataFrame, stats: DataFrame, n: int = params.KEY_TERMS) -> DataFrame:
+    """Origin, term, weight, rank: the terms of the largest tf-idf of each origin.
+
+    terms: origin and term of every occurrence; they are counted where they are read, before they move.
+    """
+    by_origin = terms.groupBy("origin", "term").agg(F.count("*").alias("tf"))
     weighed = by_origin.join(stats, "term").select("origin", "term", F.round(F.col("tf") * F.col("idf"), 6).alias("weight"))
     order = Window.partitionBy("origin").orderBy(F.desc("weight"), "term")
     return weighed.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
