@@ -20,9 +20,9 @@ def source_report(sources: DataFrame, passages: DataFrame) -> DataFrame:
 def key_terms(terms: DataFrame, stats: DataFrame, n: int = params.KEY_TERMS) -> DataFrame:
     """Origin, term, weight, rank: the terms of the largest tf-idf of each origin.
 
-    terms: origin and term of every occurrence; they are counted where they are read, before they move.
+    terms: origin, term and n, how often it is there; they are added up where they are read, before they move.
     """
-    by_origin = terms.groupBy("origin", "term").agg(F.count("*").alias("tf"))
+    by_origin = terms.groupBy("origin", "term").agg(F.sum("n").alias("tf"))
     weighed = by_origin.join(stats, "term").select("origin", "term", F.round(F.col("tf") * F.col("idf"), 6).alias("weight"))
     order = Window.partitionBy("origin").orderBy(F.desc("weight"), "term")
     return weighed.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
