@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import terms
 from ..sources.commits import committed, remove
 from . import prepare, retrieval
 
@@ -112,7 +113,7 @@ def apply_batch(spark: SparkSession, folder: str, sources: DataFrame, removed: D
     cut = prepare.split_passages(new.select("source_id", "text", "lang"))
     copied = _live(old["passages"], old["dead"]).join(moved, F.col("source_id") == F.col("had")).withColumn("source_id", F.col("now")).withColumn("lang", F.col("said"))
     passages = _written(cut.union(copied.select(*cut.columns)).withColumn("seg", F.lit(seg).cast("long")), path, "passages")
-    postings = _written(retrieval.build_postings(passages).withColumn("seg", F.lit(seg).cast("long")), path, "postings")
+    postings = _written(retrieval.passage_postings(passages.withColumn("terms", terms(F.col("quote")))).withColumn("seg", F.lit(seg).cast("long")), path, "postings")
 
     off = lambda name: _live(old[name], old["dead"]).join(dead.select("source_id"), "source_id", "left_semi")
     change = postings.select("term", F.lit(1).alias("df")).union(off("postings").select("term", F.lit(-1)))
