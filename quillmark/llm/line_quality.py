@@ -59,11 +59,11 @@ def failed_rule(line: Column, words: Column) -> Column:
 
 
 def judged_lines(text: Column) -> Column:
-    """array<struct<line, words, failed>> of the \\n-split lines, in order. A null text has none."""
+    """array<struct<line, words, failed, chars>> of the \\n-split lines, in order; chars are those of the words. A null text has none."""
 
     def one(line: Column) -> Column:
         own = F.struct(line.alias("line"), F.regexp_extract_all(line, F.lit(WORD), F.lit(0)).alias("words"))
-        return _once(own, lambda x: F.struct(x["line"].alias("line"), x["words"].alias("words"), failed_rule(x["line"], x["words"]).alias("failed")))
+        return _once(own, lambda x: F.struct(x["line"].alias("line"), x["words"].alias("words"), failed_rule(x["line"], x["words"]).alias("failed"), F.length(F.array_join(x["words"], "")).alias("chars")))
 
     return F.transform(F.split(text, "\n"), one)
 
@@ -100,7 +100,7 @@ def clean_lines(docs: DataFrame, least_kept: int = LEAST_KEPT, id_col: str = "do
     empty table gives none. Other columns are not carried on.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    solid = lambda lines: F.aggregate(F.transform(lines, lambda x: F.length(F.array_join(x["words"], ""))), F.lit(0).cast("long"), lambda a, b: a + b)
+    solid = lambda lines: F.aggregate(F.transform(lines, lambda x: x["chars"]), F.lit(0).cast("long"), lambda a, b: a + b)
     read = docs.select(F.col(id_col).cast("long").alias("doc_id"), judged_lines(text).alias("lines"), _count(text, SYMBOL).cast("long").alias("n_symbols"))
 
     def failures(lines: Column, rule: str) -> Column:

@@ -86,3 +86,8 @@ def test_query_keeps_the_good_and_equals_its_sql(spark):
     labelled = got.join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id")
     assert labelled.where("quality = 1 and not base_failed and not kept").isEmpty()
     assert 10 * labelled.where("quality = 0 and kept").count() <= labelled.where("quality = 0").count()
+
+
+def test_characters_of_words_are_counted_once_a_line(spark):
+    text = spark.createDataFrame([("ab  cd\n\né\U0001f600 x",)], "text string")
+    assert [r.chars for r in text.select(line_quality.judged_lines(F.col("text")).alias("lines")).first().lines] == [4, 0, 3]
