@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmark.llm import bpe, mixing, quality, secret_scan, simhash
-from quillmark.llm.common import lasting, scratch
+from quillmark.llm.common import lasting, scratch, settled
 from quillmark.llm.queries import VOCABULARY
 
 #: SQL can't express the stages; tests compare them with brute force.
@@ -46,7 +46,8 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Repeated rows of one id and text become one, the first by all columns as JSON. Null texts count as empty, and so as copies of each
     other. Rows with a null id all stay. Of equal texts the smallest id stays.
     """
-    kept = _without(docs, simhash.near_copies(docs, words_each=5, least=0.8).select("doc_id"))
+    gone = settled(spark, lambda: simhash.near_copies(docs, words_each=5, least=0.8).select("doc_id"), "gone")
+    kept = _without(docs, simhash.sent(gone))
     named = F.col("doc_id").isNotNull()
     if docs.where(named).groupBy("doc_id", F.xxhash64("text")).count().where("count > 1").isEmpty():
         return kept

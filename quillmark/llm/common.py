@@ -125,6 +125,18 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             _remove(spark, path)
 
 
+def settled(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """written() of what make() gives, without the tables that were written on the way to it: they go as soon as its rows are there."""
+    path = f"{work_folder(spark)}/quillmark/{name}-{uuid.uuid4().hex}"
+    with scratch(spark):
+        df = make()
+        df.write.parquet(path)
+    if _SCRATCH:
+        _SCRATCH[-1].append(path)
+    release(spark)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def lasting(df: DataFrame, name: str) -> tuple[DataFrame, Callable[[], None]]:
     """kept_until(), for a table that outlives the scratch() around it."""
     held, _SCRATCH[:] = list(_SCRATCH), []

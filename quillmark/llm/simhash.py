@@ -308,9 +308,10 @@ def print_of(hashes: np.ndarray) -> int:
 
 
 def _seen(texts: DataFrame, words_each: int) -> np.ndarray:
-    """About how many texts hold the shingles of each slot, 0 where that is next to the mean of all slots.
+    """How many texts hold the shingles of each slot.
 
-    Its fixed size is what reaches the driver (4 MB). Shingles that a given share of texts hold stand out at any size of corpus.
+    Its fixed size is what reaches the driver (4 MB). What a shingle adds to its slot grows with the corpus, and the spread of all slots with
+    its root only, so shingles that a given share of texts hold stand out the more, the larger it is.
     """
 
     def count(rows: Iterator[tuple]) -> Iterator[tuple]:
@@ -329,7 +330,7 @@ def _seen(texts: DataFrame, words_each: int) -> np.ndarray:
     out = np.zeros(SEEN, np.uint32)
     for at, data in map_rows(parts.repartition("at").sortWithinPartitions("at"), "at long, data binary", total).collect():
         out[at : at + ROWS] = np.frombuffer(data, "<u4")
-    return np.where(out > 2 * out.mean() + 16, out, 0)
+    return out
 
 
 def _shared(index: DataFrame) -> DataFrame:
@@ -356,20 +357,25 @@ def _shared(index: DataFrame) -> DataFrame:
 
 
 def _merged(index: DataFrame) -> DataFrame:
-    """The index with one shingle for all that the same texts hold, such as those of a passage, and in w how many these are."""
+    """The index with one shingle for all that the same texts hold, such as those of a passage, and in w how many these are. It is the one
+    that comes first in the order of shingles, and so in each of these texts."""
     sums = [F.expr(f"bit_xor(xxhash64(doc_id, {seed}))").alias(f"x{seed}") for seed in range(2)]
-    alike = index.groupBy("shingle").agg(*sums, F.count("*").alias("texts"), F.sum("doc_id").alias("ids"))
-    return index.drop("w").join(alike.groupBy("x0", "x1", "texts", "ids").agg(F.min("shingle").alias("shingle"), F.count("*").alias("w")).select("shingle", "w"), "shingle")
+    alike = index.groupBy("shingle").agg(*sums, F.count("*").alias("texts"), F.sum("doc_id").alias("ids"), F.min("p").alias("p"))
+    return index.drop("w").join(alike.groupBy("x0", "x1", "texts", "ids").agg(F.min_by("shingle", "p").alias("shingle"), F.count("*").alias("w")).select("shingle", "w"), "shingle")
 
 
 #: Ids that are broadcast at most, 16 MB; more are joined by a shuffle.
 FEW = 1 << 20
 
 
+def sent(ids: DataFrame) -> DataFrame:
+    """ids, a table that was written: broadcast if they are few, so that what they are joined to isn't moved."""
+    return F.broadcast(ids) if ids.count() <= FEW else ids
+
+
 def _sets_of(ids: DataFrame, sets: DataFrame) -> DataFrame:
-    """The sets of the ids in the one column of ids. Few ids are broadcast, so that the other sets aren't moved."""
-    ids = written(ids.toDF("doc_id").distinct(), "ids")
-    return sets.join(F.broadcast(ids) if ids.count() <= FEW else ids, "doc_id", "left_semi")
+    """The sets of the ids in the one column of ids."""
+    return sets.join(sent(written(ids.toDF("doc_id").distinct(), "ids")), "doc_id", "left_semi")
 
 
 def _alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -406,7 +412,7 @@ def _heavy(index: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     if each u is above half of that share of its s. Texts that fill in one template, or quote one passage, are such.
     """
     crowded = index.groupBy("shingle").agg(F.count("*").alias("texts")).where(F.col("texts") >= CROWD).select("shingle")
-    some = index.join(crowded, "shingle").select("doc_id").distinct()
+    some = written(index.join(crowded, "shingle").select("doc_id").distinct(), "ids")
 
     def opened(rows: Iterator[tuple]) -> Iterator[tuple]:
         for doc, data in rows:
@@ -414,7 +420,7 @@ def _heavy(index: DataFrame, sets: DataFrame, least: float) -> DataFrame:
             for x in every.tolist():
                 yield x, doc, len(every)
 
-    every = map_rows(sets.join(some, "doc_id").select("doc_id", "shingles"), "shingle long, doc_id long, n int", opened)
+    every = map_rows(sets.join(sent(some), "doc_id", "left_semi").select("doc_id", "shingles"), "shingle long, doc_id long, n int", opened)
     shared = _shared(every).groupBy("doc_id", "n").agg(F.count("*").alias("s"))
     return shared.where((F.col("n") - F.col("s")) * F.lit(2 * least) > F.col("s") * F.lit(1 - least) + F.lit(1e-6)).select("doc_id")
 
@@ -440,8 +446,8 @@ def near_copies(docs: DataFrame, words_each: int = 5, least: float = 0.8, radius
        to its group's first goes.
     2. Of the texts left, in order of id, one that is alike to a kept one goes, any other is kept. No pair is missed here: put in one
        order, sets of n shingles that are alike share k of the first (1 - least) * n + k, so a join on these finds all pairs; k is
-       1 + n / SHARED of the smaller set. The order is by hash, with what many texts hold at the end. Shingles that the same texts
-       show count together.
+       1 + n / SHARED of the smaller set. The order is by how full a shingle's slot is (_seen()), so what many texts hold comes late. A shingle counts for a pair of
+       texts only if it stands so far in front in both that all they must share can follow it. Shingles that the same texts show count together.
 
     3. A text that went in step 1 for one that goes in step 2 is compared with that one's own leader; if it isn't alike to it, it is
        decided anew: in order of id it goes if it is alike to a text that stays, else it stays.
@@ -462,7 +468,17 @@ def near_copies(docs: DataFrame, words_each: int = 5, least: float = 0.8, radius
     marked = rows.groupBy("doc_id", "h", "m").agg(F.count("*").alias("rows"))
     copies = written(marked.join(marked.groupBy("h", "m").agg(F.min("doc_id").alias("leader")), ["h", "m"]), "copies")
     own = copies.where("doc_id = leader").groupBy("doc_id").agg(F.min(F.struct("h", "m")).alias("one")).select("doc_id", "one.h", "one.m")
-    unique = copies.where("rows > 1").isEmpty()
+    # ids that are no first of their text, or that repeat: most ids are there once, and their texts stay where they are read
+    told = copies.groupBy("doc_id").agg((F.sum("rows") > 1).alias("repeated"), F.max(F.col("doc_id") == F.col("leader")).alias("first"))
+    odd = written(told.where("repeated or not first"), "odd")
+    again = odd.where("repeated and first").select("doc_id")
+    unique = again.isEmpty()
+
+    def firsts(every: DataFrame) -> DataFrame:
+        """Of rows with doc_id, h and m those of the first of each text, one for each id."""
+        once = every.join(sent(odd.select("doc_id")), "doc_id", "left_anti")
+        return once if unique else once.unionByName(every.join(again, "doc_id", "left_semi").join(own, ["doc_id", "h", "m"]).dropDuplicates(["doc_id"]))
+
     shared = spark.sparkContext.broadcast(_seen(rows, words_each))
 
     def sketch(rows: Iterator[tuple]) -> Iterator[tuple]:
@@ -473,25 +489,26 @@ def near_copies(docs: DataFrame, words_each: int = 5, least: float = 0.8, radius
             yield doc, h, m, n, _signed(print_of(every)), every[order[: int((1 - least) * n + 1e-9) + 1 + n // SHARED]].tobytes()
 
     def opened(rows: Iterator[tuple]) -> Iterator[tuple]:
-        for doc, n, shown in rows:
-            for x in np.frombuffer(shown, np.int64).tolist():
-                yield x, doc, n
+        for doc, shown in rows:
+            for p, x in enumerate(np.frombuffer(shown, np.int64).tolist()):
+                yield x, doc, p
 
     def hashes(rows: Iterator[tuple]) -> Iterator[tuple]:
         for doc, data in rows:
             yield doc, shingle_hashes(data, words_each).tobytes()
 
     sketched = map_rows(rows.select("doc_id", "h", "m", "data"), "doc_id long, h long, m string, n int, fp long, shown binary", sketch)
-    heads = sketched.join(own, ["doc_id", "h", "m"]).select("doc_id", "n", "fp", "shown")
-    heads = written(heads if unique else heads.dropDuplicates(["doc_id"]), "heads")
+    heads = written(firsts(sketched).select("doc_id", "n", "fp", "shown"), "heads")
     release(spark)
-    index = written(_shared(map_rows(heads.select("doc_id", "n", "shown"), "shingle long, doc_id long, n int", opened).withColumn("w", F.lit(1).cast("long"))), "index")
+    index = written(_shared(map_rows(heads.select("doc_id", "shown"), "shingle long, doc_id long, p int", opened)), "index")
     release(spark)
     # a text that shares less than its smallest possible partner asks for takes no part
-    enough = index.groupBy("doc_id", "n").count().where(F.col("count") >= 1 + F.floor(F.col("n") * F.lit(least) / SHARED - F.lit(1e-9))).select("doc_id")
-    index = written(_merged(_shared(index.join(enough, "doc_id"))), "index")
-    some = rows.join(index.select("doc_id").distinct(), "doc_id", "left_semi").join(own, ["doc_id", "h", "m"]).select("doc_id", "data")
-    sets = written(map_rows(some if unique else some.dropDuplicates(["doc_id"]), "doc_id long, shingles binary", hashes), "shingles")
+    counted = index.groupBy("doc_id").count().join(heads.select("doc_id", "n"), "doc_id")
+    enough = written(counted.where(F.col("count") >= 1 + F.floor(F.col("n") * F.lit(least) / SHARED - F.lit(1e-9))).select("doc_id", "n"), "enough")
+    index = written(_merged(_shared(index.join(sent(enough), "doc_id"))), "index")
+    release(spark)
+    some = rows.join(sent(written(index.select("doc_id").distinct(), "ids")), "doc_id", "left_semi")
+    sets = written(map_rows(firsts(some).select("doc_id", "data"), "doc_id long, shingles binary", hashes), "shingles")
     heavy = _heavy(index, sets, least).withColumn("heavy", F.lit(True))
     index = whole = written(index.join(heavy, "doc_id", "left").withColumn("heavy", F.coalesce("heavy", F.lit(False))), "index")
     release(spark)
@@ -502,13 +519,17 @@ def near_copies(docs: DataFrame, words_each: int = 5, least: float = 0.8, radius
     release(spark)
     second: list[DataFrame] = []
     sized = F.least("n", "m") >= F.greatest("n", "m") * F.lit(least) - F.lit(1e-9)
-    asked = F.col("shared") >= 1 + F.floor(F.least("n", "m") / SHARED)
+    k = 1 + F.floor(F.least("n", "m") / SHARED)
+    # the first k that they share have all others that they must share behind them, in both
+    both = F.ceil((F.col("n") + F.col("m")) * F.lit(least / (1 + least)) - F.lit(1e-6))
+    placed = (F.col("p") < F.col("n") - both + k) & (F.col("q") < F.col("m") - both + k)
+    asked = F.col("shared") >= k
 
     def compared(pairs: DataFrame) -> DataFrame:
-        return _alike(pairs.where(sized).groupBy("a", "b", "n", "m").agg(F.sum("w").alias("shared")).where(asked).select("a", "b"), sets, least)
+        return _alike(pairs.where(sized & placed).groupBy("a", "b", "n", "m").agg(F.sum("w").alias("shared")).where(asked).select("a", "b"), sets, least)
 
     while _crowded(index, group):
-        met = index.join(index.groupBy("shingle").agg(F.min("doc_id").alias("b")), "shingle")
+        met = index.join(index.groupBy("shingle").agg(F.min("doc_id").alias("b"), F.min_by("p", "doc_id").alias("q")), "shingle")
         # the texts that come first for all their shingles have no earlier candidate left: they stay
         kept = written(met.groupBy("doc_id").agg(F.min("b").alias("b"), F.first("n").alias("m"), F.first("heavy").alias("too")).where("b = doc_id").select("b", "m", "too"), "kept")
         like = written(compared(met.join(kept, "b").where("doc_id > b and not (heavy and too)").withColumnRenamed("doc_id", "a")).groupBy("a").agg(F.min("b").alias("b")), "alike")
@@ -543,11 +564,11 @@ def near_copies(docs: DataFrame, words_each: int = 5, least: float = 0.8, radius
 
 
 def _pairs(some: DataFrame, index: DataFrame) -> DataFrame:
-    """(a, b, n, m, w) for each shingle of texts a > b, one of them of some (rows of the index), at most one of them heavy."""
-    one = some.select("shingle", F.col("doc_id").alias("x"), "n", "w", F.col("heavy").alias("h"))
-    two = index.select("shingle", F.col("doc_id").alias("y"), F.col("n").alias("m"), F.col("heavy").alias("too"))
+    """(a, b, n, m, p, q, w) for each shingle of texts a > b, one of them of some (rows of the index), at most one of them heavy."""
+    one = some.select("shingle", F.col("doc_id").alias("x"), "n", "p", "w", F.col("heavy").alias("h"))
+    two = index.select("shingle", F.col("doc_id").alias("y"), F.col("n").alias("m"), F.col("p").alias("q"), F.col("heavy").alias("too"))
     a, b = F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")
-    size = [F.when(F.col("x") > F.col("y"), F.col(p)).otherwise(F.col(q)).alias(p) for p, q in (("n", "m"), ("m", "n"))]
+    size = [F.when(F.col("x") > F.col("y"), F.col(p)).otherwise(F.col(q)).alias(p) for p, q in (("n", "m"), ("m", "n"), ("p", "q"), ("q", "p"))]
     if some is index:
         # light texts with all others; of two light ones, once
         return one.join(two.where("not too"), "shingle").where("x != y and (h or x > y)").select(a, b, *size, "w")

@@ -3,7 +3,7 @@ import hashlib
 import corpus_pipeline as cp
 from pyspark.sql import functions as F
 
-from quillmark.llm import quality, secret_scan, simhash
+from quillmark.llm import common, quality, secret_scan, simhash
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -39,6 +39,12 @@ def test_stages_one_by_one(spark):
     assert encoded.count() == mixed.count() and encoded.where(F.octet_length("ids") != 4 * F.col("n_tokens")).isEmpty()
 
 
+def test_near_duplicates_leave_no_tables_but_who_goes(spark, docs):
+    with common.scratch(spark):
+        count = cp.near_duplicate_stage(spark, docs, SMALL).count()
+        assert count > 0 and [path.rpartition("/")[2].partition("-")[0] for path in common._SCRATCH[-1]] == ["gone"]
+
+
 def test_run_and_odd_tables(spark, docs, rows):
     digest = lambda df: hashlib.sha256(str(sorted(map(tuple, df.select("doc_id", "n_tokens").collect()))).encode()).hexdigest()
     assert digest(cp.run(spark, SMALL)) == digest(cp.run(spark, SMALL))

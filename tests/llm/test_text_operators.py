@@ -240,6 +240,27 @@ def test_templates_make_no_pairs_of_their_texts(spark, monkeypatch):
         assert gone == plain_near_copies(texts).keys() and sum(compared) <= 3 * n
 
 
+def test_what_several_texts_hold_is_shown_late(spark, monkeypatch):
+    """Fifteen texts that quote one passage beside three times as many words of their own aren't paired by it."""
+    met = []
+    pairs = simhash._pairs
+    monkeypatch.setattr(simhash, "_pairs", lambda some, index: (met.append(pairs(some, index)), met[-1])[1])
+    passage = [f"p{i}" for i in range(30)]
+    texts = {d: " ".join([*(f"o{d}x{i}" for i in range(50)), *passage, *(f"o{d}y{i}" for i in range(50))]) for d in range(15)}
+    assert simhash.near_copies(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).isEmpty()
+    assert met and sum(frame.count() for frame in met) == 0
+
+
+@pytest.mark.parametrize("few", [0, 1 << 20])
+def test_near_copies_where_ids_repeat(spark, monkeypatch, few):
+    """Ids that come with several texts or rows, copies and null ids; by broadcast and by shuffle."""
+    monkeypatch.setattr(simhash, "FEW", few)
+    one, two = (" ".join(f"{c}{i}" for i in range(40)) for c in "ab")
+    rows = [(1, one), (2, one), (2, two), (3, two), (3, two), (4, two + " end"), (None, one), (5, one + " end"), (6, None)]
+    gone = {r.doc_id for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {4, 5} <= gone and not gone & {1, 6, None}
+
+
 @pytest.mark.parametrize("few", [0, 3, 100])
 def test_comparisons_by_broadcast_and_by_shuffle(spark, monkeypatch, few):
     """The same pairs, whether ids are few or not; no pairs, and ids without a set, give none."""
